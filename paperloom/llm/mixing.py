@@ -1,13 +1,13 @@
 """Problem 7: a selection in which every source reaches its target share of the total size.
 
-The total is the largest for which no source has to be repeated more often than allowed, so all
-shares can be met at once. Each source then needs `rate` copies of its size: every document gets
+Unless it is given, the total is the largest for which no source has to be repeated more often than
+allowed, so all shares can be met at once. Each source then needs `rate` copies of its size: every document gets
 floor(rate) of them, and the fraction that is left is its probability of one more. The cube method
 turns these probabilities into a selection: a step moves the probabilities of three documents along
 the null space of the constraints (number of documents, number of tokens) until one of them is 0 or
-1, which keeps both totals. This runs in salted blocks of each source; the two or fewer undecided
-documents of each block are gathered and moved on in the same way, and the last few are landed on
-the choice with the smallest miss in tokens.
+1, which keeps both totals. This runs in salted blocks of each source; the LANDING or fewer undecided
+documents of each block are gathered and moved on in the same way, and the last LANDING are landed
+on the choice, of all there are, with the smallest miss in tokens.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from paperloom.session import checkpoint
 
 EPS = 1e-9
+LANDING = 14
 UNITS = "source string, doc_id bigint, n_tokens bigint, whole int, p double"
 
 
@@ -30,14 +31,17 @@ def clean_source(source: Column) -> Column:
 
 
 def flight(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Move fractional probabilities through the null space of (1, size) until two or fewer are left."""
+    """Move fractional probabilities through the null space of (1, size) until LANDING or fewer are left.
+
+    The last LANDING - 2 rows stay as they are; two or fewer of the others remain undecided.
+    """
     p = p.astype(float).copy()
     held: list[int] = []
     draws = rng.random(len(p) + 4).tolist()
     turn = 0
-    for k in range(len(p)):
+    p[(p <= EPS) | (p >= 1 - EPS)] = np.round(p[(p <= EPS) | (p >= 1 - EPS)])
+    for k in range(len(p) - LANDING + 2):
         if not EPS < p[k] < 1 - EPS:
-            p[k] = round(p[k])
             continue
         held.append(k)
         if len(held) < 3:
@@ -65,15 +69,25 @@ def flight(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndar
     return p
 
 
+def flight_order(size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Rows from large to small, ties at random; at the end, for the landing, LANDING - 2 of all sizes
+    but the largest. The order leaves the inclusion probabilities as they are."""
+    order = rng.permutation(len(size))
+    order = order[np.argsort(-size[order], kind="stable")]
+    spread = np.unique(np.linspace(0.2, 1, LANDING - 2) * (len(size) - 1)).astype(int) if len(size) > 4 * LANDING else np.arange(0)
+    return np.concatenate([np.delete(order, spread), order[spread]])
+
+
 def land(p: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Decide the few fractional probabilities that are left, for the smallest miss in tokens (then
-    in documents)."""
+    """Decide the LANDING or fewer fractional probabilities that are left, for the smallest miss in
+    tokens (then in documents)."""
     open_ = np.flatnonzero((p > EPS) & (p < 1 - EPS))
     out = np.round(p)
     if len(open_):
         want, many = float(p[open_] @ size[open_]), float(p[open_].sum())
-        picks = [[m >> i & 1 for i in range(len(open_))] for m in range(1 << len(open_))]
-        out[open_] = min(picks, key=lambda s: (abs(float(np.dot(s, size[open_])) - want), abs(sum(s) - many), s))
+        picks = (np.arange(1 << len(open_))[:, None] >> np.arange(len(open_))) & 1
+        miss = np.round(np.abs(picks @ size[open_] - want), 6)
+        out[open_] = picks[np.lexsort((np.abs(picks.sum(axis=1) - many), miss))[0]]
     return out
 
 
@@ -81,18 +95,20 @@ def seed_of(source: str, block: int, seed: int) -> np.random.Generator:
     return np.random.default_rng([seed, block + 1, *source.encode()])
 
 
-def rates(available: list[tuple[str, int]], targets: list[tuple[str, float, int]]) -> dict[str, float]:
+def rates(available: list[tuple[str, int]], targets: list[tuple[str, float, int]], total: float | None = None) -> dict[str, float]:
     """Copies of each source's size that give the target shares, as large as the repeats allow.
 
-    A source without tokens or repeats can't reach any share; the others keep their proportions.
+    With a given total each source gets its share of it, or all its repeats where they fall short. A
+    source without tokens or repeats can't reach any share; the others keep their proportions.
     """
     have = dict(available)
     able = {s: (t, m * have.get(s, 0)) for s, t, m in targets if s and t and t > 0}
-    total = min((most / t for t, most in able.values() if most > 0), default=0.0)
-    return {s: total * t / have[s] if most > 0 else 0.0 for s, (t, most) in able.items()}
+    if total is None:
+        total = min((most / t for t, most in able.values() if most > 0), default=0.0)
+    return {s: min(total * t, most) / have[s] if most > 0 else 0.0 for s, (t, most) in able.items()}
 
 
-def mix(sizes: DataFrame, targets: DataFrame, block: int = 20_000, seed: int = 11) -> tuple[DataFrame, DataFrame]:
+def mix(sizes: DataFrame, targets: DataFrame, total: float | None = None, block: int = 20_000, seed: int = 11) -> tuple[DataFrame, DataFrame]:
     """(selection, report) of rows (doc_id, source, n_tokens) and targets (source, target_share, max_repeats).
 
     selection: doc_id, source, n_tokens, copies, with copies > 0. report: source, target_share,
@@ -105,7 +121,7 @@ def mix(sizes: DataFrame, targets: DataFrame, block: int = 20_000, seed: int = 1
     named = checkpoint(sizes.select("doc_id", clean_source(F.col("source")).alias("source"), F.col("n_tokens").cast("bigint").alias("n_tokens")))
     per = named.where("source is not null").groupBy("source").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("c"))
     have = {r["source"]: (r["t"], r["c"]) for r in per.join(F.broadcast(wanted.select("source")), "source", "left_semi").collect()}
-    rate = rates([(s, t) for s, (t, _) in have.items()], goal)
+    rate = rates([(s, t) for s, (t, _) in have.items()], goal, total)
     spark = sizes.sparkSession
     plan = spark.createDataFrame(
         [(s, float(r), max(1, -(-have[s][1] // block))) for s, r in rate.items() if s in have and r > 0], "source string, rate double, blocks int"
@@ -123,7 +139,7 @@ def mix(sizes: DataFrame, targets: DataFrame, block: int = 20_000, seed: int = 1
             group = group.sort_values(["doc_id", "n_tokens"], kind="stable")
             source, number = group["source"].iloc[0], int(group["block"].iloc[0])
             rng = seed_of(source, number, seed)
-            group = group.iloc[rng.permutation(len(group))]
+            group = group.iloc[flight_order(group["n_tokens"].to_numpy(), rng)]
             size = group["n_tokens"].to_numpy()
             p = flight(group["p"].to_numpy(), [int(v) for v in size], rng)
             if last:
@@ -146,11 +162,11 @@ def mix(sizes: DataFrame, targets: DataFrame, block: int = 20_000, seed: int = 1
         .where("copies > 0")
     )
     got = selection.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens"), F.count("*").alias("documents"), F.sum("copies").alias("copies"))
-    total = got.agg(F.sum("tokens").alias("total"))
+    whole = got.agg(F.sum("tokens").alias("total"))
     report = (
         wanted.join(got, "source", "left")
         .join(per.select("source", F.col("t").alias("available_tokens")), "source", "left")
-        .join(F.broadcast(total))  # one row
+        .join(F.broadcast(whole))  # one row
         .select(
             "source",
             F.round("target_share", 6).alias("target_share"),

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import common, language, neighbours, split
+from paperloom.llm import common, language, mail, mixing, neighbours, packing, scans, split, tokens
 from paperloom.session import read_table
 
 
@@ -17,10 +17,51 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "page_number", "start_off", "end_off").distinct()
 
 
+def _inspected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = common.pages_of(spark, sf_dir, scans.SCANNED)
+    clean = common.pages_of(spark, sf_dir, ("docx", "txt", "md", "eml"))
+    return scans.inspect_pages(pages, clean)
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _inspected(spark, sf_dir).where("kind <> 'text'").drop("text").distinct()
+
+
+def p3_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _inspected(spark, sf_dir).where("kind = 'text'").select("doc_id", "page_number", "text")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.neighbour_pairs(neighbours.nearest(read_table(spark, sf_dir, "embed_cache")))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = common.pages_of(spark, sf_dir, ("eml",))
+    lines = mail.reduce_mails(pages, mail.learn_closings(pages))
+    return lines.select("doc_id", "page_number", "line_no").distinct()
+
+
+def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read_table(spark, sf_dir, "documents")
+    return tokens.with_token_counts(documents, {"doc_id": F.col("doc_id"), "source": F.col("source")})
+
+
+def p6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_sizes(spark, sf_dir).drop("source"))
+
+
+def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.fill_report(p6_pack(spark, sf_dir))
+
+
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_sizes(spark, sf_dir), read_table(spark, sf_dir, "mix_targets"))[0]
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_sizes(spark, sf_dir), read_table(spark, sf_dir, "mix_targets"))[1]
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read_table(spark, sf_dir, "documents")
     return language.foreign_paragraphs(language.sentence_languages(documents, language.train(documents)))
