@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from paperloom.session import checkpoint
 
 EPS = 1e-9
-LANDING = 14
+LANDING = 16
 UNITS = "source string, doc_id bigint, n_tokens bigint, whole int, p double"
 
 
@@ -70,11 +70,11 @@ def flight(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndar
 
 
 def flight_order(size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Rows from large to small, ties at random; at the end, for the landing, LANDING - 2 of all sizes
-    but the largest. The order leaves the inclusion probabilities as they are."""
+    """Rows from large to small, ties at random; at the end, for the landing, LANDING - 2 of all sizes, the largest
+    too. The order leaves the inclusion probabilities as they are."""
     order = rng.permutation(len(size))
     order = order[np.argsort(-size[order], kind="stable")]
-    spread = np.unique(np.linspace(0.2, 1, LANDING - 2) * (len(size) - 1)).astype(int) if len(size) > 4 * LANDING else np.arange(0)
+    spread = np.unique(np.linspace(0, 1, LANDING - 2) * (len(size) - 1)).astype(int) if len(size) > 4 * LANDING else np.arange(0)
     return np.concatenate([np.delete(order, spread), order[spread]])
 
 

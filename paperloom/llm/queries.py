@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import common, language, mail, mixing, neighbours, packing, scans, split, tokens
+from paperloom.llm import common, entities, language, mail, mixing, neighbours, packing, scans, split, tokens
 from paperloom.session import read_table
 
 
@@ -17,6 +17,10 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "page_number", "start_off", "end_off").distinct()
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entities.mention_pairs(entities.link(read_table(spark, sf_dir, "entities"), read_table(spark, sf_dir, "files")))
+
+
 def _inspected(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = common.pages_of(spark, sf_dir, scans.SCANNED)
     clean = common.pages_of(spark, sf_dir, ("docx", "txt", "md", "eml"))
