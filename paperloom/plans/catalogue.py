@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from paperloom.plans import registry, retrieval_queries, text_queries  # noqa: F401
+from paperloom.plans import answer_queries, registry, retrieval_queries, text_queries  # noqa: F401
 from paperloom.plans.registry import Query
 
 FLAGSHIP = "hybrid_retrieve"
