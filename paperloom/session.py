@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,7 +29,21 @@ def local_session(app: str = "paperloom", cores: str = "*", **conf: str) -> Spar
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Make this package importable for the Python workers of the cluster, once for each context."""
+    sc, root = spark.sparkContext, Path(__file__).resolve().parent
+    if getattr(sc, "_paperloom_shipped", False) or not root.is_dir():
+        return
+    archive = Path(tempfile.mkdtemp(prefix="paperloom-code-")) / "paperloom_code.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, f"{root.name}/{p.relative_to(root)}")
+    sc.addPyFile(str(archive))  # Spark copies it to every executor
+    sc._paperloom_shipped = True
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
