@@ -161,17 +161,32 @@ def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
 
 
-LABELS = "kind string, block string, root string, core string, given string, middle string, suffix string, labels array<string>, backed boolean"
+LABELS = "kind string, block string, core string, given string, middle string, suffix string, labels array<string>, backed boolean"
 
 
-def resolve_families(group: pd.DataFrame) -> pd.DataFrame:
-    kind, block, root = group.iloc[0][["kind", "block", "root"]]
-    forms = group.groupby(["given", "middle", "suffix"], sort=True)["n"].sum().reset_index()
-    got = N.resolve([(kind, g, m, s, int(n)) for g, m, s, n in forms.itertuples(index=False)])
-    forms["labels"] = [[f"{block}|{root}|{x}" for x in labels] for labels, _ in got]
-    forms["backed"] = [b for _, b in got]
-    out = group[["kind", "block", "root", "core", "given", "middle", "suffix"]].merge(forms.drop(columns="n"), on=["given", "middle", "suffix"])
-    return out[["kind", "block", "root", "core", "given", "middle", "suffix", "labels", "backed"]]
+def resolve_families(families: DataFrame) -> DataFrame:
+    """The labels of each distinct form. families: kind, block, root, core, given, middle, suffix, n.
+
+    A row of the gathered table is a family: the distinct forms of its names, not their mentions.
+    """
+    gathered = families.groupBy("kind", "block", "root").agg(F.collect_list(F.struct(*FORM[1:], "n")).alias("forms"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for kind, block, root, forms in zip(batch["kind"], batch["block"], batch["root"], batch["forms"]):
+                count: dict[tuple[str, str, str], int] = {}
+                for f in forms:
+                    key = (f["given"], f["middle"], f["suffix"])
+                    count[key] = count.get(key, 0) + int(f["n"])
+                keys = sorted(count)
+                got = dict(zip(keys, N.resolve([(kind, *k, count[k]) for k in keys])))
+                for f in forms:
+                    labels, backed = got[f["given"], f["middle"], f["suffix"]]
+                    rows.append((kind, block, f["core"], f["given"], f["middle"], f["suffix"], [f"{block}|{root}|{x}" for x in labels], backed))
+            yield pd.DataFrame(rows, columns=["kind", "block", *FORM[1:], "labels", "backed"])
+
+    return gathered.mapInPandas(run, LABELS)
 
 
 def link(entities: DataFrame, files: DataFrame) -> DataFrame:
@@ -183,10 +198,10 @@ def link(entities: DataFrame, files: DataFrame) -> DataFrame:
     nodes = distinct.groupBy("kind", "block", "core").agg(F.sum("n").alias("n"))
     root = roots(nodes, checkpoint(similar_words(nodes.select("kind", "block", "core"))))
     families = distinct.join(root, ["kind", "block", "core"])
-    labels = families.groupBy("kind", "block", "root").applyInPandas(resolve_families, LABELS)
+    labels = resolve_families(families)
     # of several blocks that a nickname allows, those count where a full name stands behind it
     chosen = (
-        named.join(labels.drop("root"), ["kind", "block", *FORM[1:]])
+        named.join(labels, ["kind", "block", *FORM[1:]])
         .groupBy("key", "doc", "role", "kind", "acr")
         .agg(F.flatten(F.collect_set(F.when(F.col("backed"), F.col("labels")))).alias("good"), F.min_by("labels", "choice").alias("first"))
         .select("key", "doc", "role", "kind", "acr", F.when(F.size("good") > 0, F.array_distinct("good")).otherwise(F.col("first")).alias("labels"))
