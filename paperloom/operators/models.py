@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType, StringType, StructField, StructType
 
 
 class Embedder(Protocol):
@@ -57,7 +58,7 @@ def embed(rows: DataFrame, model: Embedder, batch: int = 64) -> DataFrame:
                     part["vector"], part["error"] = None, str(e)
                 yield part
 
-    schema = rows.schema.add("vector", "array<float>").add("error", "string")
+    schema = StructType([*rows.schema.fields, StructField("vector", ArrayType(FloatType())), StructField("error", StringType())])
     return rows.mapInPandas(run, schema)
 
 

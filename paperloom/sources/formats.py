@@ -230,7 +230,8 @@ def problem(content: Column, extension: Column, length: Column) -> Column:
 def load_files(spark: SparkSession, folder: str, provider: Callable[[bytes, str], list[str]] | None = None) -> DataFrame:
     """doc_id, file_path, file_name, content_hash, page_number, text, parse_error of the files in a folder.
 
-    A file that can't be read gives one row with its error; others go on. The id is a hash of path and
+    A file that can't be read gives one row with its error; others go on (files of no bytes at all are
+    passed over by the reader). The id is a hash of path and
     content, so that loading again gives the same ids.
     """
     raw = spark.read.format("binaryFile").load(folder).select("path", "length", "content")
