@@ -49,16 +49,16 @@ def words_of(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-def sentences_of(text: str, start: int, end: int) -> list[str]:
-    """Sentences of a paragraph; a fragment of under two words joins the sentence before it."""
-    out: list[str] = []
+def sentences_of(text: str, start: int, end: int) -> list[list[str]]:
+    """The words of each sentence of a paragraph; a fragment of under two words joins the sentence before it."""
+    out: list[list[str]] = []
     for a, b in line_spans(text, start, end):
-        part = text[a:b]
-        if sum(len(w) > 1 for w in words_of(part)) < 2 and out:
-            out[-1] += " " + part
+        words = words_of(text[a:b])
+        if out and sum(len(w) > 1 for w in words) < 2:
+            out[-1] += words
         else:
-            out.append(part)
-    return [s for s in out if sum(len(w) > 1 for w in words_of(s)) >= 2]
+            out.append(words)
+    return [ws for ws in out if sum(len(w) > 1 for w in ws) >= 2]
 
 
 def line_spans(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
@@ -75,7 +75,6 @@ class PieceModel:
 
     def __init__(self, pieces: dict[str, int], probabilities: np.ndarray):
         self.pieces, self.p = pieces, probabilities
-        self.rows = [tuple(r) for r in probabilities]
         self.cache: dict[str, np.ndarray] = {}
 
     def segments(self, word: str) -> list[tuple[int, int, int]]:
@@ -106,8 +105,23 @@ class PieceModel:
             self.cache[word] = known
         return known
 
-    def score(self, sentence: str) -> np.ndarray:
-        return np.sum([self.forward(w) for w in words_of(sentence)], axis=0)
+    def score(self, words: list[str]) -> np.ndarray:
+        return np.sum([self.forward(w) for w in words], axis=0)
+
+    def posteriors(self, sentences: list[list[str]]) -> np.ndarray:
+        """The probability of each language for each sentence, all sentences at once."""
+        if not sentences:
+            return np.zeros((0, self.p.shape[1]))
+        number: dict[str, int] = {}
+        at = [number.setdefault(w, len(number)) for ws in sentences for w in ws]
+        table = np.array([self.forward(w) for w in number])
+        begin = np.concatenate([[0], np.cumsum([len(ws) for ws in sentences])[:-1]])
+        s = np.add.reduceat(table[at], begin, axis=0)
+        e = np.exp(s - s.max(axis=1, keepdims=True))
+        return e / e.sum(axis=1, keepdims=True)
+
+    def posterior(self, sentence: str) -> np.ndarray:
+        return self.posteriors([words_of(sentence)])[0]
 
     def expect(self, word: str, language: int, weight: float, into: np.ndarray) -> None:
         """Add the expected piece counts of a word (forward-backward) to `into`."""
@@ -125,11 +139,6 @@ class PieceModel:
                 if k >= 0:
                     into[k] += weight * alpha[a] * q * beta[b] / alpha[n]
 
-    def posterior(self, sentence: str) -> np.ndarray:
-        s = self.score(sentence)
-        e = np.exp(s - s.max())
-        return e / e.sum()
-
 
 def vocabulary(path: str | None = None) -> list[str]:
     import sentencepiece
@@ -146,7 +155,7 @@ def fit(rows: list[tuple[str, str]], vocab: list[str], rounds: int = 4) -> Piece
         low = piece.lower()
         if len(low) <= LONGEST_PIECE and re.fullmatch(r"▁?[^\W\d_'’]*(?:['’][^\W\d_]*)*", low) and low not in pieces:
             pieces[low] = len(pieces)
-    sentences = [(LANGUAGES.index(lang), words_of(s)) for lang, t in rows for a, z in paragraphs(t) for s in sentences_of(t, a, z)]
+    sentences = [(LANGUAGES.index(lang), ws) for lang, t in rows for a, z in paragraphs(t) for ws in sentences_of(t, a, z)]
     for _, ws in sentences:
         for c in {c for w in ws for c in w}:
             pieces.setdefault(c, len(pieces))
@@ -192,15 +201,19 @@ def sentence_languages(documents: DataFrame, model: PieceModel) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pieces, p = shared.value
         local = PieceModel(pieces, p.astype(np.float64))
-        for batch in batches:
-            rows = []
+        for batch in (part.iloc[a : a + 500] for part in batches for a in range(0, max(len(part), 1), 500)):
+            rows, found = [], []
             for d, label, t in zip(batch["doc_id"], batch["label"], batch["text"]):
                 for n, (a, z) in enumerate(paragraphs(t or ""), 1):
-                    for k, s in enumerate(sentences_of(t, a, z), 1):
-                        q = local.posterior(s)
-                        best = int(q.argmax())
-                        rows.append((d, n, k, LANGUAGES[best], float(q[best]), label))
-            yield pd.DataFrame(rows, columns=["doc_id", "para_no", "sent_no", "lang", "confidence", "label"])
+                    for k, words in enumerate(sentences_of(t, a, z), 1):
+                        rows.append((d, n, k, label))
+                        found.append(words)
+            out = pd.DataFrame(rows, columns=["doc_id", "para_no", "sent_no", "label"])
+            q = local.posteriors(found)
+            best = q.argmax(axis=1) if len(q) else np.zeros(0, dtype=int)
+            out["lang"] = np.array(LANGUAGES, dtype=object)[best]
+            out["confidence"] = q[np.arange(len(q)), best]
+            yield out[["doc_id", "para_no", "sent_no", "lang", "confidence", "label"]]
 
     return documents.select("doc_id", "text", label_language(F.col("lang")).alias("label")).mapInPandas(run, SCHEMA + ", label string")
 
