@@ -86,8 +86,8 @@ def _count_sql(text: str, phrases: tuple[str, ...]) -> str:
 
 @query(rf"""with {_ANSWERS}, b as (select *, lower(answer) as low, len(regexp_extract_all(answer, ', p\.')) as cites, string_split(answer, '. ') as sent, list_distinct(list_filter(regexp_split_to_array(lower(answer), '\s+'), lambda x: strlen(x) > 3)) as long from a),
 d as (select *, len(list_filter(sent, lambda x: contains(x, '[') and contains(x, ', p.'))) / len(sent) as share, len(list_filter(long, lambda x: contains(lower(source), x))) / len(long) as grounded from b)
-select answer_id, round(greatest(0, least(1, 1.0 - 0.05 * {_count_sql("low", W.HEDGES)} + case when cites = 0 then -0.25 when cites = 1 then -0.05 when cites <= 4 then 0.05 else 0.1 end + case when len(sent) > 2 then case when share < 0.3 then -0.15 when share > 0.6 then 0.05 else 0 end else 0 end
- - case when len(long) > 0 and grounded < 0.5 then 0.2 else 0 end - case when strlen(answer) < 50 then 0.1 else 0 end - case when {sql_any("low", ("not present in the provided", "not found in the"))} then 0.15 else 0 end)), 6) as confidence from d""")
+select answer_id, round(cast(greatest(0, least(1, 1.0 - 0.05 * {_count_sql("low", W.HEDGES)} + case when cites = 0 then -0.25 when cites = 1 then -0.05 when cites <= 4 then 0.05 else 0.1 end + case when len(sent) > 2 then case when share < 0.3 then -0.15 when share > 0.6 then 0.05 else 0 end else 0 end
+ - case when len(long) > 0 and grounded < 0.5 then 0.2 else 0 end - case when strlen(answer) < 50 then 0.1 else 0 end - case when {sql_any("low", ("not present in the provided", "not found in the"))} then 0.15 else 0 end)) as double), 6) as confidence from d""")
 def answer_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = _answers(spark, sf_dir)
     return a.select("answer_id", F.round(A.confidence(F.col("answer"), F.col("source")), 6).alias("confidence"))
@@ -100,7 +100,7 @@ g as (select answer_id, case when chunk_index = 0 then 100.0 when chunk_index =
  case when len(br) = 0 then 0.0 else len(list_filter(br, lambda x: regexp_matches(x, '{A.CITED}') and trim(regexp_extract(x, '{A.CITED}', 1)) = file_name)) / len(br) * 100 end as cited,
  case when amounts is null or len(amounts) = 0 then 100.0 else len(list_filter(amounts, lambda x: contains(low, lower(x)))) / len(amounts) * 100 end as complete,
  greatest(0.0, 100.0 - least(30, 5 * {_count_sql("low", W.GRADED_HEDGES)}) - least(30, 10 * {_count_sql("low", W.FILLERS)}) - case when len(list_filter(regexp_split_to_array(answer, '\s+'), lambda x: x <> '')) > 800 then 20 else 0 end) as efficient from m)
-select answer_id, round(retrieval, 4) as retrieval, round(grounding, 4) as grounding, round(cited, 4) as cited, round(complete, 4) as complete, round(efficient, 4) as efficient, round(retrieval * 0.25 + grounding * 0.3 + cited * 0.15 + complete * 0.2 + efficient * 0.1, 4) as overall,
+select answer_id, round(cast(retrieval as double), 4) as retrieval, round(grounding, 4) as grounding, round(cited, 4) as cited, round(complete, 4) as complete, round(cast(efficient as double), 4) as efficient, round(retrieval * 0.25 + grounding * 0.3 + cited * 0.15 + complete * 0.2 + efficient * 0.1, 4) as overall,
  case when round(retrieval * 0.25 + grounding * 0.3 + cited * 0.15 + complete * 0.2 + efficient * 0.1, 4) >= 90 then 'A' when round(retrieval * 0.25 + grounding * 0.3 + cited * 0.15 + complete * 0.2 + efficient * 0.1, 4) >= 80 then 'B' when round(retrieval * 0.25 + grounding * 0.3 + cited * 0.15 + complete * 0.2 + efficient * 0.1, 4) >= 70 then 'C' when round(retrieval * 0.25 + grounding * 0.3 + cited * 0.15 + complete * 0.2 + efficient * 0.1, 4) >= 60 then 'D' else 'F' end as letter from g""")
 def grade_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     sheet = read_table(spark, sf_dir, "files").groupBy("doc_id").agg(F.max_by("fact_sheet.amounts", "loaded_at").alias("amounts"))
@@ -150,9 +150,9 @@ def _metrics(spark: SparkSession, sf_dir: str, top_k: int = 6) -> DataFrame:
     return per.select("doc_id", "role", "kind", "hit", "hit_place", F.coalesce(1.0 / F.col("hit"), F.lit(0.0)).alias("mrr"), F.coalesce(F.col("hit") == 1, F.lit(False)).alias("p1"), F.round(recall, 6).alias("recall"))
 
 
-@query(f"with {_EVAL} select doc_id, role, kind, hit, round(mrr, 6) as mrr, p1, recall, recall = 1 as passed from m")
+@query(f"with {_EVAL} select doc_id, role, kind, cast(hit as double) as hit, round(mrr, 6) as mrr, p1, recall, recall = 1 as passed from m")
 def eval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _metrics(spark, sf_dir).select("doc_id", "role", "kind", "hit", F.round("mrr", 6).alias("mrr"), "p1", "recall", (F.col("recall") == 1).alias("passed"))
+    return _metrics(spark, sf_dir).select("doc_id", "role", "kind", F.col("hit").cast("double").alias("hit"), F.round("mrr", 6).alias("mrr"), "p1", "recall", (F.col("recall") == 1).alias("passed"))
 
 
 @query(f"with {_EVAL} select role, kind, count(*) as cases, cast(sum(case when recall = 1 then 1 else 0 end) as bigint) as passed, round(avg(recall), 6) as recall, round(avg(mrr), 6) as mrr, round(avg(case when p1 then 1.0 else 0 end), 6) as p1 from m group by grouping sets ((), (role), (kind))")
@@ -164,12 +164,12 @@ def eval_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(f"with {_EVAL} select doc_id, hit_place as before, hit as now, case when hit_place is null and hit is null then 'neither' when hit_place is null then 'gained' when hit is null then 'lost' when hit < hit_place then 'better' when hit > hit_place then 'worse' else 'same' end as change, round(mrr - coalesce(1.0 / hit_place, 0), 6) as mrr_delta from m")
+@query(f"with {_EVAL} select doc_id, cast(hit_place as double) as before, cast(hit as double) as now, case when hit_place is null and hit is null then 'neither' when hit_place is null then 'gained' when hit is null then 'lost' when hit < hit_place then 'better' when hit > hit_place then 'worse' else 'same' end as change, round(mrr - coalesce(1.0 / hit_place, 0), 6) as mrr_delta from m")
 def eval_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = _metrics(spark, sf_dir)
     b, n = F.col("hit_place"), F.col("hit")
     change = F.when(b.isNull() & n.isNull(), "neither").when(b.isNull(), "gained").when(n.isNull(), "lost").when(n < b, "better").when(n > b, "worse").otherwise("same")
-    return m.select("doc_id", b.alias("before"), n.alias("now"), change.alias("change"), F.round(F.col("mrr") - F.coalesce(1.0 / b, F.lit(0.0)), 6).alias("mrr_delta"))
+    return m.select("doc_id", b.cast("double").alias("before"), n.cast("double").alias("now"), change.alias("change"), F.round(F.col("mrr") - F.coalesce(1.0 / b, F.lit(0.0)), 6).alias("mrr_delta"))
 
 
 @query(f"""with {_EVAL}, x as (select kind, mode, hit from m, (values ('quick', 3), ('balanced', 6)) v(mode, k) where hit is null or hit <= k or true),
@@ -198,7 +198,7 @@ b3 as (select *, greatest(0, sum(raw) over (partition by doc_id) - 1000) as over
 b4 as (select *, cast(raw - least(raw - floor_, greatest(0, over_ - later)) as bigint) as budget from b3)"""
 
 
-@query(f"with {_BUDGET} select doc_id, rank, budget from b4")
+@query(f"with {_BUDGET} select doc_id, rank, budget from b4", wide=("rank",))
 def context_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.budgets(_ranked(spark, sf_dir).select("doc_id", "rank", "score"), 1000, 200).select("doc_id", "rank", "budget")
 
@@ -210,13 +210,13 @@ def neighbor_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.neighbours(_ranked(spark, sf_dir).where("rank <= 3").select("doc_id", "chunk_index", "text"), _chunks(spark, sf_dir).select("doc_id", "chunk_index", "text"))
 
 
-@query(f"with {_RANKED}, n as (select *, count(*) over (partition by doc_id) as n from s) select doc_id, rank, case when n < 3 or rank = 1 then rank when rank = 2 then n else n - rank + 2 end as place from n")
+@query(f"with {_RANKED}, n as (select *, count(*) over (partition by doc_id) as n from s) select doc_id, rank, case when n < 3 or rank = 1 then rank when rank = 2 then n else n - rank + 2 end as place from n", wide=("rank",))
 def sandwich_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.count("*").over(Window.partitionBy("doc_id"))
     return _ranked(spark, sf_dir).select("doc_id", "rank", C.sandwich(F.col("rank"), n).cast("bigint").alias("place"))
 
 
-@query(f"with {_RANKED}, m as (select *, max(score) over (partition by doc_id) as most from s) select doc_id, rank, case when score / most > 0.985 then 'high' when score / most > 0.96 then 'medium' else 'low' end as relevance, round(least(score / 0.035, 1), 6) as shown from m")
+@query(f"with {_RANKED}, m as (select *, max(score) over (partition by doc_id) as most from s) select doc_id, rank, case when score / most > 0.985 then 'high' when score / most > 0.96 then 'medium' else 'low' end as relevance, round(least(score / 0.035, 1), 6) as shown from m", wide=("rank",))
 def relevance_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     share = F.col("score") / F.max("score").over(Window.partitionBy("doc_id"))
     label = F.when(share > 0.985, "high").when(share > 0.96, "medium").otherwise("low")
@@ -306,7 +306,7 @@ def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""with {_TURNS}, l as (select *, lead(role) over w as nr, lead(content) over w as na from m window w as (partition by session_id order by turn)), p as (select *, row_number() over (partition by session_id order by turn desc) as back from l where role = 'user' and nr = 'assistant')
-select session_id, content as user, na as assistant, back from p where back <= 3""")
+select session_id, content as user, na as assistant, back from p where back <= 3""", wide=("back",))
 def history_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.paired_turns(_turns(spark, sf_dir))
 
@@ -325,7 +325,7 @@ def session_upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""with c as (select distinct file_name, page_number, chunk_index, doc_id, text from chunks), r as (select *, row_number() over (partition by file_name, page_number order by chunk_index, doc_id, text) as n from c where length(text) > 0)
-select file_name, page_number, count(*) as pieces, sum(length(text)) as size, string_agg(substr(text, 1, 20), '|' order by n) as heads from r group by file_name, page_number""")
+select file_name, page_number, count(*) as pieces, cast(sum(length(text)) as double) as size, string_agg(substr(text, 1, 20), '|' order by n) as heads from r group by file_name, page_number""")
 def page_chunks_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = read_table(spark, sf_dir, "chunks").select("file_name", "page_number", "chunk_index", "doc_id", "text").distinct().where(F.length("text") > 0)
     heads = F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "doc_id", "text"))), lambda p: F.substring(p["text"], 1, 20))

@@ -53,7 +53,7 @@ def form_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(rf"""
 with m as (select doc_id, page_number, text, unnest(regexp_extract_all(text, '[^\n.;]{{0,40}}{_FIGURE}')) as x, generate_subscripts(regexp_extract_all(text, '[^\n.;]{{0,40}}{_FIGURE}'), 1) as i from {PAGES}),
 v as (select doc_id, page_number, text, i, regexp_extract(x, '{_FIGURE}$', 1) as figure, trim(regexp_extract(x, '^(.*?){_FIGURE}$', 1)) as label from m), d as (select *, row_number() over (partition by doc_id, page_number, text, figure order by i) as r from v), k as (select *, row_number() over (partition by doc_id, page_number, text order by i) as n from d where r = 1)
-select doc_id, page_number, n, figure, label from k where n <= 8""")
+select doc_id, page_number, n, figure, label from k where n <= 8""", wide=("n",))
 def key_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first eight different amounts and percentages of a page, each with the words before it."""
     p = _pages(spark, sf_dir).withColumn("page", F.monotonically_increasing_id())
@@ -99,7 +99,7 @@ def _greedy(ranked: DataFrame, threshold: float) -> DataFrame:
 @query(f"""with recursive {_CHUNKS}, r as (select *, row_number() over (partition by doc_id order by length(text) desc, chunk_index, page_number, text) as rank from c), s as (select doc_id, chunk_index, page_number, rank, list_distinct(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) as w from r where rank <= 6),
 p as (select a.doc_id, a.rank as early, b.rank as late from s a join s b on a.doc_id = b.doc_id and a.rank < b.rank where len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) > 0.7),
 k(doc_id, pos, kept) as (select distinct doc_id, 0, [cast(0 as bigint)] from s union all select k.doc_id, pos + 1, case when exists (select 1 from s where s.doc_id = k.doc_id and s.rank = pos + 1) and not exists (select 1 from p where p.doc_id = k.doc_id and p.late = pos + 1 and list_contains(kept, p.early)) then list_append(kept, pos + 1) else kept end from k where pos < 6)
-select s.doc_id, chunk_index, page_number, s.rank from s join k on k.doc_id = s.doc_id and pos = 6 and list_contains(kept, s.rank)""")
+select s.doc_id, chunk_index, page_number, s.rank from s join k on k.doc_id = s.doc_id and pos = 6 and list_contains(kept, s.rank)""", wide=("rank",))
 def content_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The six longest chunks of a file without those that share over 0.7 of their words with one kept before."""
     return _greedy(_ranked(spark, sf_dir), 0.70)

@@ -56,7 +56,7 @@ def bm25_term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25.term_stats(bm25.postings(_documents(spark, sf_dir)))
 
 
-@query(f"with {_POST}, {_QUERIES}, {_SCORE} select query_id, doc_id, rank, score from (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from b) where rank <= 10")
+@query(f"with {_POST}, {_QUERIES}, {_SCORE} select query_id, doc_id, rank, score from (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from b) where rank <= 10", wide=("rank",))
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     return bm25.top(bm25.score(docs, bm25.keyword_queries(_stated(docs))), 10).select("query_id", "doc_id", "rank", "score")
@@ -67,7 +67,7 @@ with d0 as (select doc_id, text, coalesce(source, '') as source from documents),
 d as (select source, doc_id, coalesce(len({_TOKENS}), 0) as dl from d0), s as (select source, count(*) as n_docs, avg(dl) as avg_dl from d group by source), f as (select source, term, count(*) as df from p group by all),
 q as (select distinct source, doc_id as query_id, term from (select source, doc_id, unnest(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+')) as term from d0 where doc_id % 50 = 0) where strlen(term) >= 3 and term not in ({_STOP})),
 b as (select source, query_id, doc_id, round(sum(greatest(0, ln((n_docs - df + 0.5) / (df + 0.5) + 1)) * tf * 1.9 / (tf + 0.9 * (0.5 + 0.5 * dl / avg_dl))), 6) as score from q join f using (source, term) join p using (source, term) join d using (source, doc_id) join s using (source) group by all)
-select source, query_id, doc_id, rank, score from (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from b) where rank <= 10""")
+select source, query_id, doc_id, rank, score from (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from b) where rank <= 10""", wide=("rank",))
 def bm25_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics, documents and queries of one source: what a filter before scoring gives."""
     docs = _documents(spark, sf_dir).withColumn("source", F.coalesce("source", F.lit("")))
@@ -77,7 +77,7 @@ def bm25_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""with {_VECTORS}, c as (select a.vec_id as query_id, b.vec_id as vec_id, round(list_cosine_similarity(a.v, b.v), 6) as score from v a join v b on a.vec_id <> b.vec_id where a.vec_id % 50 = 0)
-select query_id, vec_id, rank, score from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from c) where rank <= 10""")
+select query_id, vec_id, rank, score from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from c) where rank <= 10""", wide=("rank",))
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vec = read_table(spark, sf_dir, "embed_cache").select("vec_id", "vector")
     return vectors.search(vec, vec.where("vec_id % 50 = 0"), 10).select("query_id", "vec_id", "rank", "score")
@@ -113,13 +113,13 @@ def vector_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("vec_id", F.round(F.aggregate("m", F.lit(0.0), lambda s, x: s + x * x), 6).alias("energy"))
 
 
-@query(f"{_BOTH}, r as (select query_id, doc_id, round(sum(s), 9) as score from (select query_id, doc_id, 1.0 / (60 + rank) as s from lb where rank <= 50 union all select query_id, doc_id, 1.0 / (60 + rank) from lc where rank <= 50) group by all) select query_id, doc_id, rank, score from (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from r) where rank <= 10")
+@query(f"{_BOTH}, r as (select query_id, doc_id, round(sum(s), 9) as score from (select query_id, doc_id, 1.0 / (60 + rank) as s from lb where rank <= 50 union all select query_id, doc_id, 1.0 / (60 + rank) from lc where rank <= 50) group by all) select query_id, doc_id, rank, score from (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from r) where rank <= 10", wide=("rank",))
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     lexical, near = _lists(spark, sf_dir, 50)
     return bm25.top(fusion.reciprocal_ranks([(lexical, 60.0), (near, 60.0)]), 10).select("query_id", "doc_id", "rank", "score")
 
 
-@query(f"{_BOTH}, r as (select query_id, doc_id, round(sum(s), 9) as score from (select query_id, doc_id, 1.0 / (20 + rank) as s from lb where rank <= 50 union all select query_id, doc_id, 1.0 / (40 + rank) from lc where rank <= 50) group by all) select query_id, doc_id, rank, score from (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from r) where rank <= 10")
+@query(f"{_BOTH}, r as (select query_id, doc_id, round(sum(s), 9) as score from (select query_id, doc_id, 1.0 / (20 + rank) as s from lb where rank <= 50 union all select query_id, doc_id, 1.0 / (40 + rank) from lc where rank <= 50) group by all) select query_id, doc_id, rank, score from (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from r) where rank <= 10", wide=("rank",))
 def rrf_short_query_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     lexical, near = _lists(spark, sf_dir, 50)
     return bm25.top(fusion.reciprocal_ranks([(lexical, 20.0), (near, 40.0)]), 10).select("query_id", "doc_id", "rank", "score")
@@ -151,7 +151,7 @@ def hybrid_alpha_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""with {_POST}, {_QUERIES}, {_SCORE}, r as (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from b), o as (select * from r where rank <= 20),
 g as (select *, count(*) over (partition by query_id) as n, round(score - lead(score) over (partition by query_id order by rank), 9) as step from o),
 k as (select *, first_value(rank) over (partition by query_id order by case when rank < 6 and step > 0.5 then step else -1 end desc, rank rows between unbounded preceding and unbounded following) as cut_at, max(case when rank < 6 and step > 0.5 then step end) over (partition by query_id) as most from g)
-select query_id, doc_id, rank, score from k where rank <= case when n <= 6 then n when most is null then 6 else greatest(2, least(6, cut_at)) end""")
+select query_id, doc_id, rank, score from k where rank <= case when n <= 6 then n when most is null then 6 else greatest(2, least(6, cut_at)) end""", wide=("rank",))
 def adaptive_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     ranked = bm25.top(bm25.score(docs, bm25.keyword_queries(_stated(docs))), 20)
@@ -198,7 +198,7 @@ def hybrid_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 with c as (select distinct doc_id, file_name, page_number, chunk_index, length(text) as n from chunks), r as (select *, row_number() over (partition by file_name, page_number order by n desc, chunk_index, doc_id) as r from c)
-select file_name, page_number, doc_id, chunk_index, n as size from r where r = 1""")
+select file_name, page_number, doc_id, chunk_index, n as size from r where r = 1""", wide=("size",))
 def citation_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first citation of each page; here the longest chunk stands for the best score."""
     c = read_table(spark, sf_dir, "chunks").select("doc_id", "file_name", "page_number", "chunk_index", F.length("text").alias("size")).distinct()
@@ -208,7 +208,7 @@ def citation_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 with c as (select distinct doc_id, chunk_index, page_number, length(text) as n from chunks), r as (select *, row_number() over (partition by doc_id order by n desc, chunk_index, page_number) as rank, max(n) over (partition by doc_id) as m from c)
-select doc_id, chunk_index, page_number, rank, case when rank <= 2 and n >= 0.75 * m then 'primary' else 'secondary' end as tier from r where rank <= 6""")
+select doc_id, chunk_index, page_number, rank, case when rank <= 2 and n >= 0.75 * m then 'primary' else 'secondary' end as tier from r where rank <= 6""", wide=("rank",))
 def citation_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = read_table(spark, sf_dir, "chunks").select("doc_id", "chunk_index", "page_number", F.length("text").alias("n")).distinct()
     w = Window.partitionBy("doc_id")
@@ -219,7 +219,7 @@ def citation_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 with c as (select distinct doc_id, page_number, chunk_index, length(text) as n from chunks), r as (select *, row_number() over (partition by doc_id, page_number order by n desc, chunk_index) as r from c), k as (select *, row_number() over (partition by doc_id order by n desc, chunk_index, page_number) as rank from r where r <= 2)
-select doc_id, page_number, chunk_index, rank from k where rank <= 6""")
+select doc_id, page_number, chunk_index, rank from k where rank <= 6""", wide=("rank",))
 def page_capped_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """At most two chunks of a page among the six of a file."""
     c = read_table(spark, sf_dir, "chunks").select("doc_id", "page_number", "chunk_index", F.length("text").alias("n")).distinct()
