@@ -48,12 +48,9 @@ def normalize_text(text: Column, most: int = 2_000_000) -> Column:
     out = F.translate(F.substring(text, 1, most), "\r\t", "\n ")
     out = F.regexp_replace(out, UNPRINTABLE.replace(r"\x00-\x08\x0B-\x1F", r"\x00-\x09\x0B-\x1F"), "")
     lines = F.transform(F.split(collapse_blank_lines(out), "\n"), strip_edges)
-    kept = F.filter(
-        lines,
-        lambda x, i: (x == "")
-        | (i < 3)
-        | ~((x == F.get(lines, i - 1)) & (x == F.get(lines, i - 2)) & (x == F.get(lines, i - 3))),
-    )
+    # a lambda's variable is evaluated once; the expression itself would be for every line
+    keep = lambda ls: F.filter(ls, lambda x, i: (x == "") | (i < 3) | ~((x == F.get(ls, i - 1)) & (x == F.get(ls, i - 2)) & (x == F.get(ls, i - 3))))
+    kept = F.transform(F.array(lines), keep)[0]
     return strip_edges(F.array_join(kept, "\n"))
 
 

@@ -24,7 +24,7 @@ def all_matches(pages: DataFrame, pattern: str, name: str) -> DataFrame:
 
 
 def without_adjacent_repeats(values: Column) -> Column:
-    return F.filter(values, lambda x, i: (i == 0) | (x != F.get(values, i - 1)))
+    return F.transform(F.array(values), lambda v: F.filter(v, lambda x, i: (i == 0) | (x != F.get(v, i - 1))))[0]
 
 
 def clause_lines(pages: DataFrame) -> DataFrame:

@@ -50,9 +50,9 @@ def test_routing(spark):
 
 
 def test_jurisdiction(spark):
-    cols = jurisdiction.detect_columns(F.col("t"))
+    found, _ = jurisdiction.detect_columns(F.col("t"))
     df = spark.createDataFrame([("42 U.S.C. § 2000e",), ("The EEOC investigates",), ("Cal. Civ. Code § 1942.5",), ("x" * 10_001 + " 42 U.S.C. § 1",), ("",)], "t string")
-    got = [r["level"] for r in df.select(cols[0].alias("level")).collect()]
+    got = [r["level"] for r in df.select(found["level"].alias("level")).collect()]
     assert got == ["federal", None, "state", None, None]
 
 
