@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions.words import MODES
-from paperloom.operators import bm25, fusion, vectors
+from paperloom.operators import bm25, vectors
+from paperloom.session import checkpoint
 
 
 @dataclass(frozen=True)
@@ -39,13 +41,18 @@ def jaccard(a: set[str], b: set[str]) -> float:
     return len(a & b) / len(a | b) if a or b else 0.0
 
 
-def drop_near_duplicates(texts: list[str], threshold: float) -> list[int]:
-    """Positions kept, in order: one is dropped if a kept one before it is more similar than the threshold."""
+def drop_near_duplicates(texts: list[str], threshold: float, most: int | None = None) -> list[int]:
+    """Positions kept, in order: one is dropped if a kept one before it is more similar than the threshold.
+    Ends when `most` are kept."""
     kept: list[int] = []
-    sets = [set(t.split()) for t in texts]
-    for i, s in enumerate(sets):
-        if not any(jaccard(s, sets[j]) > threshold for j in kept):
+    sets: list[set[str]] = []
+    for i, t in enumerate(texts):
+        if len(kept) == most:
+            break
+        s = set(t.split())
+        if not any(jaccard(s, other) > threshold for other in sets):
             kept.append(i)
+            sets.append(s)
     return kept
 
 
@@ -76,41 +83,79 @@ def mmr(scores: list[float], matrix: np.ndarray, k: int, lam: float) -> list[int
     return chosen
 
 
+def text_class(threshold: float) -> Column:
+    """A key that texts of the same words share, as only the first of them can outlive near-duplicate
+    removal; texts without words have one each."""
+    own = F.concat(F.lit("id:"), F.col("doc_id").cast("string"))
+    if threshold >= 1:
+        return own
+    words = F.array_distinct(F.filter(F.split(F.coalesce("text", F.lit("")), r"(?U)[\s\x1c-\x1f]+"), lambda x: x != ""))
+    return F.when(F.size(words) == 0, own).otherwise(F.sha2(F.array_join(F.array_sort(words), " "), 256))
+
+
 class Hybrid:
     """BM25 and cosine, fused by reciprocal ranks; short queries give both lists smaller constants."""
 
-    def retrieve(self, corpus: DataFrame, queries: DataFrame, settings: Settings = Settings()) -> DataFrame:
-        """query_id, doc_id, rank (in order of choice), score.
+    def fuse(self, corpus: DataFrame, queries: DataFrame) -> DataFrame:
+        """query_id, doc_id, score of every row of the corpus for every query, from its exact ranks in both lists.
 
-        corpus: doc_id, text, vector. queries: query_id, term, mult, words, vector of the query on each
-        row of it. Only the best 2 * pool rows of a list enter the fusion; rows that only one list has
-        count with that. The pool of a query, at most settings.pool rows, is the largest group a task
-        gathers.
+        A row that shares no term with the query, or has no usable vector, counts 0 in that list; ties
+        stand by id. A query without a usable vector has the lexical list only.
         """
-        depth = 2 * settings.pool
         asked = queries.groupBy("query_id").agg(F.first("vector").alias("vector"), F.first("words").alias("words"))
-        lexical = bm25.top(bm25.score(corpus, queries.select("query_id", "term", "mult")), depth)
-        near = vectors.search(corpus, asked.withColumnRenamed("query_id", "doc_id"), depth, id_="doc_id", same=True)
-        short = asked.select("query_id", (F.col("words") <= 5).alias("short"))
+        lexical = bm25.score(corpus, queries.select("query_id", "term", "mult"))
+        near = vectors.similarities(corpus, asked.withColumnRenamed("query_id", "doc_id"), id_="doc_id")
+        none = F.lit(None).cast("double")
+        every = F.broadcast(asked.select("query_id")).crossJoin(corpus.select(F.col("doc_id").cast("bigint").alias("doc_id"))).select("query_id", "doc_id", none.alias("bm25"), none.alias("cosine"))
+        rows = every.unionByName(lexical.select("query_id", "doc_id", F.col("score").alias("bm25"), none.alias("cosine"))).unionByName(near.select("query_id", "doc_id", none.alias("bm25"), F.col("score").alias("cosine")))
+        both = rows.repartition("query_id").groupBy("query_id", "doc_id").agg(F.coalesce(F.max("bm25"), F.lit(0.0)).alias("bm25"), F.coalesce(F.max("cosine"), F.lit(0.0)).alias("cosine"))
+        w = Window.partitionBy("query_id")
+        ranked = both.withColumn("b", F.row_number().over(w.orderBy(F.desc("bm25"), "doc_id"))).withColumn("c", F.row_number().over(w.orderBy(F.desc("cosine"), "doc_id")))
+        of_query = asked.select("query_id", (F.col("words") <= 5).alias("short"), vectors.usable(F.col("vector"), 64).alias("seen"))
+        part = lambda rank, usual, few: 1.0 / (F.when(F.col("short"), few).otherwise(usual) + F.col(rank))
+        score = part("b", 60.0, 20.0) + F.when(F.col("seen"), part("c", 60.0, 40.0)).otherwise(0.0)
+        return ranked.join(F.broadcast(of_query), "query_id").select("query_id", "doc_id", F.round(score, 9).alias("score"))
 
-        def part(df: DataFrame, usual: float, few: float) -> DataFrame:
-            k = F.when(F.col("short"), few).otherwise(usual)
-            return df.join(short, "query_id").select("query_id", "doc_id", (1.0 / (k + F.col("rank"))).alias("s"))
+    def retrieve(self, corpus: DataFrame, queries: DataFrame, settings: Settings = Settings()) -> DataFrame:
+        """query_id, doc_id, rank (in order of choice), score.
 
-        fused = part(near, 60.0, 40.0).unionByName(part(lexical, 60.0, 20.0)).groupBy("query_id", "doc_id").agg(F.round(F.sum("s"), 9).alias("score"))
-        pool = bm25.top(fused, settings.pool).join(corpus.select("doc_id", "text", "vector"), "doc_id")
+        corpus: doc_id, text, vector. queries: query_id, term, mult, words, vector of the query on each
+        row of it. The pool of a query is the first settings.pool of its different texts. Texts of the
+        same words count as one; where those taken hold too few that differ, the query is asked again
+        with four times as many, until the pool is full or the corpus at its end. What is taken is the
+        largest group a task gathers.
+        """
+        need = max(settings.pool, settings.top_k + 1)
+        kinds = checkpoint(corpus.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_class(settings.jaccard).alias("kind")))
+        texts = corpus.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "vector")
 
         def choose(group: pd.DataFrame) -> pd.DataFrame:
             group = group.sort_values("rank", kind="stable")
+            query, taken, more = group["query_id"].iloc[0], len(group), bool(group["more"].any())
+            group = group.iloc[drop_near_duplicates([t or "" for t in group["text"]], settings.jaccard, need)]
+            if more and len(group) < need:
+                return pd.DataFrame({"query_id": [query], "doc_id": [-1], "rank": [0], "score": [float(taken)]})
+            k = adaptive_k(group["score"].tolist(), settings.top_k, settings.gap)
             group = group[group["score"] >= settings.threshold] if settings.threshold > 0 else group
-            group = group.iloc[drop_near_duplicates([t or "" for t in group["text"]], settings.jaccard)]
+            group = group.iloc[: settings.pool]
             scores = group["score"].tolist()
             dim = max((len(v) for v in group["vector"] if v is not None), default=1)
             matrix = np.array([np.asarray(v, dtype=float) if v is not None and len(v) == dim and np.isfinite(np.asarray(v, dtype=float)).all() else np.zeros(dim) for v in group["vector"]])
-            order = mmr(scores, matrix, adaptive_k(scores, settings.top_k, settings.gap), settings.mmr_lambda) if scores else []
+            order = mmr(scores, matrix, k, settings.mmr_lambda) if scores else []
             return pd.DataFrame({"query_id": group["query_id"].iloc[order], "doc_id": group["doc_id"].iloc[order], "rank": range(1, len(order) + 1), "score": [scores[i] for i in order]})
 
-        return pool.groupBy("query_id").applyInPandas(choose, "query_id bigint, doc_id bigint, rank int, score double")
+        w = Window.partitionBy("query_id")
+        parts, depth = [], 2 * need
+        while True:
+            first = self.fuse(corpus, queries).join(kinds, "doc_id").groupBy("query_id", "kind").agg(F.min(F.struct((-F.col("score")).alias("s"), "doc_id")).alias("b"))
+            pool = first.select("query_id", F.col("b.doc_id").alias("doc_id"), (-F.col("b.s")).alias("score")).withColumn("rank", F.row_number().over(w.orderBy(F.desc("score"), "doc_id"))).where(F.col("rank") <= depth + 1)
+            pool = pool.withColumn("more", F.max("rank").over(w) > depth).where(F.col("rank") <= depth)
+            got = checkpoint(pool.join(texts, "doc_id").groupBy("query_id").applyInPandas(choose, "query_id bigint, doc_id bigint, rank int, score double"))
+            parts.append(got.where("rank > 0"))
+            short = got.where("rank = 0").select("query_id")
+            if short.isEmpty():
+                return reduce(DataFrame.unionByName, parts)
+            queries, depth = queries.join(short, "query_id", "left_semi"), 4 * depth
 
 
 class Reranked:

@@ -104,3 +104,24 @@ def search(corpus: DataFrame, queries: DataFrame, k: int, dim: int = 64, block:
     found = reduce(DataFrame.unionByName, [one(shared) for shared in _query_blocks(asked, block, dim)])
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).withColumnRenamed("id", id_)
+
+
+def similarities(corpus: DataFrame, queries: DataFrame, dim: int = 64, block: int = 8192, id_: str = "vec_id", vector: str = "vector") -> DataFrame:
+    """query_id, id, score of every usable row of the corpus for every usable query, a row for its own query too."""
+    rows = corpus.where(usable(F.col(vector), dim)).select(F.col(id_).cast("bigint").alias("id"), F.col(vector).alias("v"))
+    asked = queries.where(usable(F.col(vector), dim)).select(F.col(id_).cast("bigint").alias("query_id"), F.col(vector).alias("v"))
+
+    def one(shared) -> DataFrame:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            ids, q = shared.value
+            for batch in batches:
+                if not len(batch) or not len(ids):
+                    continue
+                own, x = batch["id"].to_numpy(), _matrix(list(batch["v"]))
+                for a in range(0, len(ids), 32):
+                    sim = np.round(q[a : a + 32] @ x.T, 6)
+                    yield pd.DataFrame({"query_id": np.repeat(ids[a : a + 32], len(own)), "id": np.tile(own, len(sim)), "score": sim.ravel()})
+
+        return rows.mapInPandas(run, "query_id bigint, id bigint, score double")
+
+    return reduce(DataFrame.unionByName, [one(shared) for shared in _query_blocks(asked, block, dim)]).withColumnRenamed("id", id_)

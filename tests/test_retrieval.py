@@ -84,6 +84,29 @@ def test_hybrid_end_to_end(spark):
     assert got.groupBy("query_id").count().agg(F.max("count")).first()[0] <= 6
 
 
+def test_hybrid_looks_behind_copies(spark):
+    """Copies and near-copies ahead of other texts don't use up the pool; against brute force over the whole corpus."""
+    rng = np.random.default_rng(5)
+    long = " ".join(f"w{i}" for i in range(60))
+    texts = [f"rent {long}"] * 90 + [f"rent {long} x{i}" for i in range(90)] + [f"rent lease {i} " + " ".join(f"t{i}_{j}" for j in range(120)) for i in range(12)] + ["nothing of it", None]
+    rows = [(i, t, [float(v) for v in rng.normal(size=64)]) for i, t in enumerate(texts)]
+    rows[3] = (3, texts[3], None)
+    corpus = spark.createDataFrame(rows, "doc_id bigint, text string, vector array<double>")
+    q = spark.createDataFrame([(7, "rent", 1, 9, rows[0][2])], "query_id bigint, term string, mult int, words int, vector array<double>")
+    s = retrieval.Settings(top_k=6, pool=8, gap=1.0, mmr_lambda=1.0)
+    got = [(r["doc_id"], round(r["score"], 9)) for r in retrieval.Hybrid().retrieve(corpus, q, s).orderBy("rank").collect()]
+
+    lexical = {r["doc_id"]: r["score"] for r in bm25.score(corpus, q.select("query_id", "term", "mult")).collect()}
+    unit = lambda v: np.array(v) / np.linalg.norm(v)
+    near = {i: round(float(unit(v) @ unit(rows[0][2])), 6) if v else 0.0 for i, _, v in rows}
+    b = {d: n for n, d in enumerate(sorted(near, key=lambda d: (-lexical.get(d, 0.0), d)), 1)}
+    c = {d: n for n, d in enumerate(sorted(near, key=lambda d: (-near[d], d)), 1)}
+    score = {d: round(1 / (60 + b[d]) + 1 / (60 + c[d]), 9) for d in near}
+    order = sorted(score, key=lambda d: (-score[d], d))
+    kept = [order[i] for i in retrieval.drop_near_duplicates([texts[d] or "" for d in order], s.jaccard)]
+    assert len(got) == 6 and got == [(d, score[d]) for d in kept[:6]]
+
+
 def test_budgets_keep_the_total(spark):
     df = spark.createDataFrame([("d", r, s) for r, s in enumerate((0.9, 0.05, 0.03, 0.02), 1)], "doc_id string, rank int, score double")
     got = {r["rank"]: r["budget"] for r in context.budgets(df, 1000, 200).collect()}
