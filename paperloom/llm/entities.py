@@ -189,6 +189,23 @@ def resolve_families(families: DataFrame) -> DataFrame:
     return gathered.mapInPandas(run, LABELS)
 
 
+def whole_lines(labels: DataFrame) -> DataFrame:
+    """core, given, labels of the firms whose line of business is named in part: those of the nearest
+    spelling of the same name with a line that holds all of theirs and more."""
+    firms = checkpoint(labels.where("kind = 'org'").select("core", "given", "labels").distinct())
+    cores = firms.select(F.lit("org").alias("kind"), F.lit("").alias("block"), "core").distinct()
+    pairs = similar_words(cores).select("a", "b", "d")
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "d")).unionByName(cores.select(F.col("core").alias("a"), F.col("core").alias("b"), F.lit(0).alias("d")))
+    line = lambda c: F.filter(F.split(c, " "), lambda x: x != "")
+    part, whole = firms.select(F.col("core").alias("a"), "given"), firms.select(F.col("core").alias("b"), F.col("given").alias("more"), "labels")
+    wider = (F.col("given") != F.col("more")) & (F.size(F.array_except(line(F.col("given")), line(F.col("more")))) == 0)
+    met = checkpoint(part.join(both, "a").join(whole, "b").where(wider))
+    partial = met.select(F.col("a").alias("b"), F.col("given").alias("more")).distinct()
+    met = met.join(partial, ["b", "more"], "left_anti")
+    nearest = met.groupBy("a", "given").agg(F.min("d").alias("d"))
+    return met.join(nearest, ["a", "given", "d"]).groupBy(F.col("a").alias("core"), "given").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("labels")))).alias("whole"))
+
+
 def link(entities: DataFrame, files: DataFrame) -> DataFrame:
     """key, party of every mention: mentions of one party have the same party."""
     found = mentions(entities, files)
@@ -198,7 +215,9 @@ def link(entities: DataFrame, files: DataFrame) -> DataFrame:
     nodes = distinct.groupBy("kind", "block", "core").agg(F.sum("n").alias("n"))
     root = roots(nodes, checkpoint(similar_words(nodes.select("kind", "block", "core"))))
     families = distinct.join(root, ["kind", "block", "core"])
-    labels = resolve_families(families)
+    labels = checkpoint(resolve_families(families))
+    partial = whole_lines(labels).withColumn("kind", F.lit("org"))
+    labels = labels.join(partial, ["kind", "core", "given"], "left").withColumn("labels", F.coalesce("whole", "labels")).drop("whole")
     # of several blocks that a nickname allows, those count where a full name stands behind it
     chosen = (
         named.join(labels, ["kind", "block", *FORM[1:]])

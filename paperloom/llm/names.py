@@ -98,6 +98,12 @@ class Reader:
         self.cache: dict[str, str | None] = {}
 
     def business_word(self, w: str) -> str | None:
+        start, mark, end = w.partition("'")
+        if mark:  # eng'g, internat'l: what stands around the apostrophe are the ends of the word
+            w = start + end.replace("'", "")
+            fits = {b for b in self.business if b.startswith(start) and b.endswith(end) and len(b) > len(w)} if len(start) > 1 and end else set()
+            if w not in ABBREVIATED and len(fits) == 1:
+                return fits.pop()
         if w in ABBREVIATED:
             return ABBREVIATED[w]
         if w in self.business:

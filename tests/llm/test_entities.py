@@ -108,3 +108,14 @@ def test_link(spark):
 def test_empty(spark):
     entities, files = tables(spark)
     assert E.link(entities.limit(0), files.limit(0)).count() == 0
+
+
+def test_firms_with_a_business_word_unread_or_left_out(spark):
+    assert N.Reader().read("Zorblaxin Marine Eng'g LLC")[0]["given"] == "engineering marine"
+    assert N.Reader().read("Zorblaxin Internat'l Trading Corp")[0]["core"] == "zorblaxin"
+    _, files = tables(spark)
+    names = ["Zorblaxin Food Distribution Inc", "Zorblaxin Food Distribution LLC", "Zorblaxin Food Distn Inc", "Zorblaixn Food Inc", "Zorblaxin Marine Engineering Inc", "Zorblaxin Marine Eng'g Inc", "Zorblaxin Steel Inc"]
+    entities = spark.createDataFrame([(i, n, "zzz", []) for i, n in enumerate(names)], "entity_id bigint, name string, source_file string, aliases array<string>")
+    party = {r["key"]: r["party"] for r in E.link(entities, files.limit(0)).collect()}
+    assert party["E:0"] == party["E:1"] == party["E:2"] == party["E:3"] != party["E:4"]
+    assert party["E:4"] == party["E:5"] and len({party["E:0"], party["E:4"], party["E:6"]}) == 3
