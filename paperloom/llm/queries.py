@@ -41,8 +41,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = common.pages_of(spark, sf_dir, ("eml",))
-    lines = mail.reduce_mails(pages, mail.learn_closings(pages))
-    return lines.select("doc_id", "page_number", "line_no").distinct()
+    return mail.reduce_mails(pages).select("doc_id", "page_number", "line_no").distinct()
 
 
 def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from paperloom.llm import language, mail, scans
+from paperloom.llm import language, scans
 
 WORDS = "agreement landlord tenant witness hearing security deposit maintenance records premises payment court inspector furnish liability coverage schedule invoice notice reasonable expenses property remaining heirs standing order".split()
 
@@ -69,71 +69,6 @@ def test_scans_on_tables(spark):
     assert scans.inspect_pages(pages.limit(0), clean.limit(0)).count() == 0
 
 
-MAIL = """Subject: Re: keys
-From: Anna Doe <anna.doe@law.example>
-To: Bob Roe <bob.roe@law.example>
-Date: 1 May 2024 10:00
-
-[EXTERNAL] This message comes from outside the organisation.
-
-Hi Bob,
-
-> 30 days late is what the contract calls a default.
-
-On 9 May 2023, Bob Roe
-<bob.roe@law.example> wrote:
-> Where are the keys?
-My answer stands here.
-> And the copies?
-
-From: May the rent includes water.
-
-Best regards,
-Anna
-
---
-Anna M. Doe
-tel. 555-0100
-
-P.S. One more thing.
-
-This e-mail and any attachments are confidential and may be privileged.
-If you are not the intended recipient, please delete it.
-
----------- Forwarded message ---------
-From: Carl Coe <carl@x.example>
-Sent: 2 May 2023
-Subject: keys
-
-Old text."""
-
-
-def test_mail():
-    lines = MAIL.split("\n")
-    got = [lines[k - 1] for k in mail.new_lines(MAIL, set(), b"")]
-    assert got == ["Hi Bob,", "> 30 days late is what the contract calls a default.", "My answer stands here.", "From: May the rent includes water.", "P.S. One more thing."]
-    assert mail.new_lines("", set(), b"") == [] and mail.new_lines("just text\n\nmore", set(), b"") == [1, 3]
-    assert mail.new_lines(MAIL.replace("\n", "\r\n"), set(), b"") == mail.new_lines(MAIL, set(), b"")
-    mail.new_lines("> x\n" * 20_000, set(), b"")
-
-
-def test_closings_need_an_exact_copy():
-    notice = "our office is closed on the first friday of every month until the summer"
-    data = notice.encode()
-    body = f"Hi,\n\nText is here.\n\n{notice.capitalize()}"
-    assert 5 not in mail.new_lines(body, {notice}, data) and 5 in mail.new_lines(body + " or so", {notice}, data)
-
-
-def test_closings_are_learned(spark):
-    rows = [(f"d{n}", 1, f"Subject: s\nFrom: Anna Doe <a@b.c>\n\nText number {n} is here.\n\nBest,\nAnna\n\nPrinted on paper from the northern forest mill.") for n in range(6)] + [("e", 1, None), ("f", 1, "")]
-    pages = spark.createDataFrame(rows, "doc_id string, page_number int, text string")
-    closings = mail.learn_closings(pages)
-    assert "printed on paper from the northern forest mill." in closings
-    got = mail.reduce_mails(pages, closings).collect()
-    assert {r["line_no"] for r in got if r["doc_id"] != "f"} == {4}
-    assert mail.reduce_mails(pages.limit(0), mail.learn_closings(pages.limit(0))).count() == 0
-
-
 SAMPLES = {
     "en": ["The tenant shall return the keys to the office before the end of the month.", "The court could not explain why the invoice was late."],
     "de": ["Der Mieter muss die Schlüssel vor dem Ende des Monats an die Verwaltung zurückgeben.", "Das Gericht konnte nicht erklären, warum die Rechnung zu spät kam."],
