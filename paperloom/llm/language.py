@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperloom.functions.sentences import paragraphs, sentence_spans
+from paperloom.llm.sentences import paragraphs, sentence_spans
 from paperloom.session import tokenizer_dir
 
 LANGUAGES = ("de", "en", "es", "fr", "it", "nl", "pt")
@@ -33,7 +33,9 @@ NAMES = {
     "pt": "por portuguese português portugues portugais",
 }
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
-MAX_WORD, LONGEST_PIECE, FLOOR = 64, 16, 1e-9
+FLOOR = 1e-9  # probability of a character that no piece of a language begins or holds
+SHORT = 24  # words up to this length are summed as they are, longer ones in logarithms
+OTHER, OTHER_CHAR = "und", 1e-2  # a text in none of the languages: every character as likely as this
 
 
 def label_language(label: Column) -> Column:
@@ -75,48 +77,62 @@ class PieceModel:
 
     def __init__(self, pieces: dict[str, int], probabilities: np.ndarray):
         self.pieces, self.p = pieces, probabilities
+        self.heads = {piece[:k] for piece in pieces for k in range(1, len(piece))}
         self.cache: dict[str, np.ndarray] = {}
 
     def segments(self, word: str) -> list[tuple[int, int, int]]:
         """(start, end, piece) of all pieces inside the marked word; every character is a piece."""
-        w = "▁" + word[:MAX_WORD]
-        get = self.pieces.get
+        w = "▁" + word
+        get, heads, size = self.pieces.get, self.heads, len(w)
         out = []
-        for a in range(len(w)):
-            for b in range(a + 1, min(len(w), a + LONGEST_PIECE) + 1):
+        for a in range(size):
+            b = a + 1
+            k = get(w[a])
+            out.append((a, b, -1 if k is None else k))
+            while b < size and w[a:b] in heads:
+                b += 1
                 k = get(w[a:b])
                 if k is not None:
                     out.append((a, b, k))
-                elif b == a + 1:
-                    out.append((a, b, -1))
         return out
 
     def forward(self, word: str) -> np.ndarray:
         """Log probability of the word in each language, summed over all segmentations."""
         known = self.cache.get(word)
         if known is None:
-            alpha = np.zeros((min(len(word), MAX_WORD) + 2, self.p.shape[1]))
-            alpha[0] = 1.0
-            for a, b, k in self.segments(word):
-                alpha[b] += alpha[a] * (self.p[k] if k >= 0 else FLOOR)
-            known = np.log(np.maximum(alpha[-1], 1e-290))
+            known = self.summed(word) if len(word) <= SHORT else self.summed_in_logs(word)
             if len(self.cache) > 400_000:
                 self.cache.clear()
             self.cache[word] = known
         return known
 
+    def summed(self, word: str) -> np.ndarray:
+        alpha = np.zeros((len(word) + 2, self.p.shape[1]))
+        alpha[0] = 1.0
+        for a, b, k in self.segments(word):
+            alpha[b] += alpha[a] * (self.p[k] if k >= 0 else FLOOR)
+        return np.log(alpha[-1])
+
+    def summed_in_logs(self, word: str) -> np.ndarray:
+        alpha = np.full((len(word) + 2, self.p.shape[1]), -np.inf)
+        alpha[0] = 0.0
+        for a, b, k in self.segments(word):
+            alpha[b] = np.logaddexp(alpha[b], alpha[a] + (np.log(self.p[k]) if k >= 0 else np.log(FLOOR)))
+        return alpha[-1]
+
     def score(self, words: list[str]) -> np.ndarray:
         return np.sum([self.forward(w) for w in words], axis=0)
 
     def posteriors(self, sentences: list[list[str]]) -> np.ndarray:
-        """The probability of each language for each sentence, all sentences at once."""
+        """The probability of each language, and of none of them, for each sentence, all sentences at once."""
         if not sentences:
-            return np.zeros((0, self.p.shape[1]))
+            return np.zeros((0, self.p.shape[1] + 1))
         number: dict[str, int] = {}
         at = [number.setdefault(w, len(number)) for ws in sentences for w in ws]
         table = np.array([self.forward(w) for w in number])
+        other = np.array([(len(w) + 1) * np.log(OTHER_CHAR) for w in number])
         begin = np.concatenate([[0], np.cumsum([len(ws) for ws in sentences])[:-1]])
-        s = np.add.reduceat(table[at], begin, axis=0)
+        s = np.add.reduceat(np.column_stack([table, other])[at], begin, axis=0)
         e = np.exp(s - s.max(axis=1, keepdims=True))
         return e / e.sum(axis=1, keepdims=True)
 
@@ -126,7 +142,9 @@ class PieceModel:
     def expect(self, word: str, language: int, weight: float, into: np.ndarray) -> None:
         """Add the expected piece counts of a word (forward-backward) to `into`."""
         seg = self.segments(word)
-        n = min(len(word), MAX_WORD) + 1
+        if len(word) > 4 * SHORT:  # of no use for the counts, which are of the words that recur
+            return
+        n = len(word) + 1
         p = [float(self.p[k, language]) if k >= 0 else FLOOR for _, _, k in seg]
         alpha, beta = [0.0] * (n + 1), [0.0] * (n + 1)
         alpha[0] = beta[n] = 1.0
@@ -153,7 +171,7 @@ def fit(rows: list[tuple[str, str]], vocab: list[str], rounds: int = 4) -> Piece
     pieces: dict[str, int] = {}
     for piece in vocab:
         low = piece.lower()
-        if len(low) <= LONGEST_PIECE and re.fullmatch(r"▁?[^\W\d_'’]*(?:['’][^\W\d_]*)*", low) and low not in pieces:
+        if re.fullmatch(r"▁?[^\W\d_'’]*(?:['’][^\W\d_]*)*", low) and low not in pieces:
             pieces[low] = len(pieces)
     sentences = [(LANGUAGES.index(lang), ws) for lang, t in rows for a, z in paragraphs(t) for ws in sentences_of(t, a, z)]
     for _, ws in sentences:
@@ -211,7 +229,7 @@ def sentence_languages(documents: DataFrame, model: PieceModel) -> DataFrame:
             out = pd.DataFrame(rows, columns=["doc_id", "para_no", "sent_no", "label"])
             q = local.posteriors(found)
             best = q.argmax(axis=1) if len(q) else np.zeros(0, dtype=int)
-            out["lang"] = np.array(LANGUAGES, dtype=object)[best]
+            out["lang"] = np.array([*LANGUAGES, OTHER], dtype=object)[best]
             out["confidence"] = q[np.arange(len(q)), best]
             yield out[["doc_id", "para_no", "sent_no", "lang", "confidence", "label"]]
 
@@ -220,14 +238,30 @@ def sentence_languages(documents: DataFrame, model: PieceModel) -> DataFrame:
 
 def foreign_paragraphs(sentences: DataFrame) -> DataFrame:
     """doc_id, para_no, lang: languages of a paragraph's sentences that the label does not name."""
-    return sentences.where(~F.col("lang").eqNullSafe(F.col("label"))).select("doc_id", F.col("para_no").cast("bigint").alias("para_no"), "lang").distinct()
+    return sentences.where((F.col("lang") != OTHER) & ~F.col("lang").eqNullSafe(F.col("label"))).select("doc_id", F.col("para_no").cast("bigint").alias("para_no"), "lang").distinct()
+
 
+def document_languages(documents: DataFrame, sentences: DataFrame) -> DataFrame:
+    """One row per document: its main language, the confidence of it, and its share of the sentences.
 
-def document_languages(sentences: DataFrame) -> DataFrame:
-    """One row per document with a sentence: its main language, confidence and share of sentences."""
+    A document without a sentence (null, blank, figures) has no language: null, confidence and share 0. `und`
+    stands for text in none of LANGUAGES. Rows that repeat a doc_id count together.
+    """
     per = sentences.groupBy("doc_id", "lang").agg(F.count("*").alias("n"), F.avg("confidence").alias("c"))
+    main = per.groupBy("doc_id").agg(F.max_by(F.struct("lang", "c", "n"), F.struct("n", "c", "lang")).alias("m"), F.sum("n").alias("total"))
+    zero = F.lit(0.0)
     return (
-        per.groupBy("doc_id")
-        .agg(F.max_by(F.struct("lang", "c", "n"), F.struct("n", "c", "lang")).alias("m"), F.sum("n").alias("total"))
-        .select("doc_id", F.col("m.lang").alias("lang"), F.round("m.c", 6).alias("confidence"), F.round(F.col("m.n") / F.col("total"), 6).alias("share"))
+        documents.select("doc_id")
+        .distinct()
+        .join(main, "doc_id", "left")
+        .select("doc_id", F.col("m.lang").alias("lang"), F.coalesce(F.round("m.c", 6), zero).alias("confidence"), F.coalesce(F.round(F.col("m.n") / F.col("total"), 6), zero).alias("share"))
     )
+
+
+def segments(sentences: DataFrame) -> DataFrame:
+    """doc_id, para_no, first_sentence, last_sentence, lang, confidence of each run of sentences of a paragraph
+    that are in one language; the confidence is the mean of theirs."""
+    place = Window.partitionBy("doc_id", "para_no").orderBy("sent_no")
+    marked = sentences.select("doc_id", "para_no", "sent_no", "lang", "confidence").distinct().withColumn("new", (~F.lag("lang").over(place).eqNullSafe(F.col("lang"))).cast("int"))
+    runs = marked.withColumn("run", F.sum("new").over(place))
+    return runs.groupBy("doc_id", "para_no", "run", "lang").agg(F.min("sent_no").alias("first_sentence"), F.max("sent_no").alias("last_sentence"), F.round(F.avg("confidence"), 6).alias("confidence")).drop("run")

@@ -72,7 +72,12 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p8_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read_table(spark, sf_dir, "documents")
-    return language.document_languages(language.sentence_languages(documents, language.train(documents)))
+    return language.document_languages(documents, language.sentence_languages(documents, language.train(documents)))
+
+
+def p8_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read_table(spark, sf_dir, "documents")
+    return language.segments(language.sentence_languages(documents, language.train(documents)))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -2,24 +2,26 @@
 
 Agglomerative merging. The text begins as atomic segments between all candidate boundaries (blanks,
 sentence ends, paragraph ends). For each piece the segments that can still belong to it lie in a
-heap of adjacent pairs, keyed by the strength of the boundary between them; the weakest boundary is
-merged first (of equal ones the earliest), boundaries that would leave a piece under the minimum
-being the weakest of all. Merging goes on while a piece of legal size remains to be cut, so the
+heap of adjacent pairs, keyed by the strength of the boundary between them; the two at the weakest
+boundary become one segment (of equal ones the earliest first) while their joint size, repeated text
+included, fits. Boundaries that would leave a piece under the minimum are the weakest of all. The
 boundary that survives is the strongest and, among equals, the last one inside the limit.
 """
 
 from __future__ import annotations
 
 import heapq
+import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from paperloom.functions.sentences import BLANKS, paragraphs, sentence_spans
+from paperloom.llm.sentences import BLANKS, paragraphs, sentence_spans
 
 BLANK, SENTENCE, PARAGRAPH = 1, 2, 3
+WORD = re.compile(r"[^ \t\r\n]+")
 
 
 class Boundaries:
@@ -30,15 +32,10 @@ class Boundaries:
         self.words: list[int] = []
         self.sentences: list[int] = []
         self.paragraph_starts: list[int] = []
-        blank = True
-        for k, c in enumerate(text):
-            if c in BLANKS:
-                if not blank:
-                    self.strength[k] = BLANK
-                blank = True
-            elif blank:
-                self.words.append(k)
-                blank = False
+        for m in WORD.finditer(text):
+            self.words.append(m.start())
+            if m.end() < len(text):
+                self.strength[m.end()] = BLANK
         for start, end in paragraphs(text):
             self.paragraph_starts.append(start)
             for a, b in sentence_spans(text, start, end):
@@ -48,14 +45,30 @@ class Boundaries:
         self.cuts = sorted(self.strength)
 
 
-def strongest_cut(b: Boundaries, start: int, least: int, most: int) -> tuple[int, int] | None:
-    """Merge the segments of [start, start + most] until one boundary is left; its place and strength."""
+def merge_segments(b: Boundaries, start: int, least: int, most: int) -> tuple[int, int] | None:
+    """Merge the segments that begin at `start` until one boundary is left; its place and strength.
+
+    The segments are those between all boundaries of the next `most` code points (which hold what the piece
+    repeats of the one before it), and what crosses the limit. The weakest boundary between two segments goes
+    first, the earliest of equal ones, as long as the two together are no longer than `most`: so the head and
+    what crosses the limit are never joined. None if no boundary leaves a piece of `least`.
+    """
     cuts = b.cuts[bisect_right(b.cuts, start) : bisect_right(b.cuts, start + most)]
+    edges = [start, *cuts, start + most + 1]
+    end_of = dict(zip(edges, edges[1:]))
+    start_of = dict(zip(edges[1:], edges))
     heap = [(b.strength[c] if c - start >= least else 0, c) for c in cuts]
     heapq.heapify(heap)
-    while len(heap) > 1:
-        heapq.heappop(heap)  # the two segments at the weakest boundary become one
-    return (heap[0][1], heap[0][0]) if heap and heap[0][0] else None
+    kept = None
+    while heap:
+        strength, place = heapq.heappop(heap)
+        left, right = start_of[place], end_of[place]
+        if right - left > most:
+            kept = (place, strength)  # no merge fits any more: this boundary survives
+            continue
+        end_of[left], start_of[right] = right, left
+        del start_of[place], end_of[place]
+    return kept if kept and kept[1] else None
 
 
 def split_text(text: str, most: int = 1000, least: int = 400, overlap: int = 150) -> list[tuple[int, int]]:
@@ -81,7 +94,7 @@ def split_text(text: str, most: int = 1000, least: int = 400, overlap: int = 150
         if end - at <= most:
             out.append((at, end))
             break
-        cut, strength = strongest_cut(b, at, least, most) or (at + most, 0)
+        cut, strength = merge_segments(b, at, least, most) or (at + most, 0)
         out.append((at, cut))
         if strength == PARAGRAPH:
             follow = cut

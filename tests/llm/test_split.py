@@ -3,7 +3,7 @@
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from paperloom.functions.sentences import BLANKS, paragraphs, sentence_spans
+from paperloom.llm.sentences import BLANKS, paragraphs, sentence_spans
 from paperloom.llm import split
 
 
@@ -56,6 +56,16 @@ def test_hard_cut_and_long_text():
     assert len(split.split_text("One sentence here. " * 20_000)) > 300
 
 
+def test_segments_really_merge():
+    """What survives is the strongest boundary of a legal piece; the rest has been joined pair by pair."""
+    b = split.Boundaries("one two. Three four five\n\nsix seven eight nine")
+    assert split.merge_segments(b, 0, 9, 20) == (19, split.BLANK)
+    assert split.merge_segments(b, 0, 9, 18) == (14, split.BLANK)
+    assert split.merge_segments(b, 0, 4, 12) == (8, split.SENTENCE)
+    assert split.merge_segments(b, 0, 4, 40) == (24, split.PARAGRAPH)
+    assert split.merge_segments(b, 0, 13, 13) is None
+
+
 def test_lists_are_one_sentence():
     text = "1. Keep the keys.\n2. Mow the lawn.\n3. Pay the rent."
     assert [text[a:b] for a, b in sentence_spans(text, 0, len(text))] == [text]

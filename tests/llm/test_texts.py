@@ -95,7 +95,7 @@ def test_forward_sums_all_segmentations(model):
                 for i in range(7):
                     total[i] += p[i]
                 return
-            for end in range(at + 1, min(len(w), at + language.LONGEST_PIECE) + 1):
+            for end in range(at + 1, len(w) + 1):
                 k = model.pieces.get(w[at:end])
                 q = model.p[k] if k is not None else [language.FLOOR] * 7 if end == at + 1 else None
                 if q is not None:
@@ -107,6 +107,22 @@ def test_forward_sums_all_segmentations(model):
     import numpy as np
 
     assert np.allclose(np.exp(model.forward("keys")), brute("keys"))
+    word = "unabhängigkeitserklärung"
+    assert np.allclose(model.summed(word), model.summed_in_logs(word))
+
+
+def test_long_words_count_whole(model):
+    """Nothing is cut at 64 characters: two words that differ only behind that differ in probability."""
+    a, b = "schlüssel" * 9 + "mieter", "schlüssel" * 9 + "ñandúes"
+    assert abs(model.forward(a)[0] - model.forward(b)[0]) > 1 and all(abs(v) < 1e6 for v in model.forward("x" * 5000))
+
+
+def test_text_in_no_known_language(model, spark):
+    q = model.posterior("Договор аренды должен быть подписан до конца месяца")
+    assert q.argmax() == len(language.LANGUAGES)
+    docs = spark.createDataFrame([(1, "Договор аренды должен быть подписан до конца месяца.", "ru")], "doc_id bigint, text string, lang string")
+    s = language.sentence_languages(docs, model)
+    assert [r["lang"] for r in language.document_languages(docs, s).collect()] == ["und"] and language.foreign_paragraphs(s).count() == 0
 
 
 def test_languages(model):
@@ -122,7 +138,9 @@ def test_documents(spark, model):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").selectExpr("*", "'x' as label", "1 as para_no")
     s = language.sentence_languages(docs, model)
     assert {(r["doc_id"], r["para_no"], r["lang"]) for r in language.foreign_paragraphs(s).collect()} == {(1, 1, "fr"), (5, 1, "nl")}
-    main = {r["doc_id"]: r["lang"] for r in language.document_languages(s).collect()}
-    assert main[2] == "de" and 3 not in main and 6 not in main
+    main = {r["doc_id"]: (r["lang"], r["confidence"]) for r in language.document_languages(docs, s).collect()}
+    assert main[2][0] == "de" and set(main) == {r[0] for r in rows} and main[3] == main[4] == main[6] == (None, 0.0)
+    runs = {(r["first_sentence"], r["last_sentence"], r["lang"]) for r in language.segments(s).where("doc_id = 1").collect()}
+    assert runs == {(1, 1, "en"), (2, 2, "fr")}
     assert language.sentence_languages(docs.limit(0), model).count() == 0
     assert language.train(docs.limit(0)).p.shape[1] == 7
