@@ -108,12 +108,13 @@ def rates(available: list[tuple[str, int]], targets: list[tuple[str, float, int]
     return {s: min(total * t, most) / have[s] if most > 0 else 0.0 for s, (t, most) in able.items()}
 
 
-def mix(sizes: DataFrame, targets: DataFrame, total: float | None = None, block: int = 20_000, seed: int = 11) -> tuple[DataFrame, DataFrame]:
+def mix(sizes: DataFrame, targets: DataFrame, total: float | None = None, block: int = 20_000, seed: int = 11, whole: bool = False) -> tuple[DataFrame, DataFrame]:
     """(selection, report) of rows (doc_id, source, n_tokens) and targets (source, target_share, max_repeats).
 
     selection: doc_id, source, n_tokens, copies, with copies > 0. report: source, target_share,
     reached_share, tokens, documents, copies, max_repeats, available_tokens. Rows of a source without a
-    target take no part; texts of no tokens are drawn like others, as they cost nothing.
+    target take no part; texts of no tokens are drawn like others, as they cost nothing. With `whole` the
+    total is all tokens of the wanted sources: scarce sources stop at their most repeats, short of their share.
     """
     wanted = targets.select(clean_source(F.col("source")).alias("source"), F.col("target_share").cast("double").alias("target_share"), F.col("max_repeats").cast("int").alias("max_repeats")).where("source is not null")
     wanted = wanted.groupBy("source").agg(F.sum("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
@@ -121,8 +122,11 @@ def mix(sizes: DataFrame, targets: DataFrame, total: float | None = None, block:
     named = checkpoint(sizes.select("doc_id", clean_source(F.col("source")).alias("source"), F.col("n_tokens").cast("bigint").alias("n_tokens")))
     per = named.where("source is not null").groupBy("source").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("c"))
     have = {r["source"]: (r["t"], r["c"]) for r in per.join(F.broadcast(wanted.select("source")), "source", "left_semi").collect()}
+    if whole:
+        total = float(sum(t for t, _ in have.values()))
     rate = rates([(s, t) for s, (t, _) in have.items()], goal, total)
     spark = sizes.sparkSession
+    tasks = max(1, sum(max(1, -(-have[s][1] // block)) for s, r in rate.items() if s in have and r > 0))
     plan = spark.createDataFrame(
         [(s, float(r), max(1, -(-have[s][1] // block))) for s, r in rate.items() if s in have and r > 0], "source string, rate double, blocks int"
     )
@@ -148,12 +152,13 @@ def mix(sizes: DataFrame, targets: DataFrame, total: float | None = None, block:
 
         return run
 
-    flown = checkpoint(units.groupBy("source", "block").applyInPandas(fly(False), UNITS))
+    # a task for each block: they are small in bytes, so that adaptive execution would run them all in one
+    flown = checkpoint(units.repartition(tasks, "source", "block").groupBy("source", "block").applyInPandas(fly(False), UNITS))
     undecided = F.col("p").between(EPS, 1 - EPS)
     done, rest = flown.where(~undecided), flown.where(undecided)
     while (most := max((r["c"] for r in rest.groupBy("source").agg(F.count("*").alias("c")).collect()), default=0)) > block:
         again = rest.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(most)), F.lit(-(-most // block))).cast("int"))
-        flown = checkpoint(again.groupBy("source", "block").applyInPandas(fly(False), UNITS))
+        flown = checkpoint(again.repartition(tasks, "source", "block").groupBy("source", "block").applyInPandas(fly(False), UNITS))
         done, rest = done.unionByName(flown.where(~undecided)), flown.where(undecided)
     landed = rest.withColumn("block", F.lit(-1)).groupBy("source", "block").applyInPandas(fly(True), UNITS)
     selection = (

@@ -15,45 +15,79 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PREFIX = 8
 SAMPLE_A_PIVOT = 16
+MEANS = 4096  # so many pivots are means of the sample; the rest, which very large tables need, are rows of it
 
 
-def unit_rows(values: list, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Raw single and unit double precision forms of the usable rows, and which rows those are."""
-    ok = np.fromiter((v is not None and len(v) == dim for v in values), dtype=bool, count=len(values))
-    at = np.flatnonzero(ok)
-    if not len(at):
-        return np.zeros((0, dim), np.float32), np.zeros((0, dim)), at
-    raw = np.array([values[i] for i in at], dtype=np.float32)  # a null element becomes nan
+def usable(vector: Column, dim: int) -> Column:
+    """Whether a vector has `dim` finite numbers that are not all zero."""
+    fine = F.forall(vector, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    return F.coalesce((F.size(vector) == dim) & fine & F.exists(vector, lambda v: v != 0), F.lit(False))
+
+
+def unit_rows(values: list, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Single precision forms as they are, and unit forms in double precision."""
+    raw = np.array(values, dtype=np.float32).reshape(-1, dim)
     x = raw.astype(np.float64)
-    norm = np.sqrt((x * x).sum(axis=1))
-    fine = np.isfinite(norm) & (norm > 0)
-    return raw[fine], x[fine] / norm[fine, None], at[fine]
-
-
-def ordered_pivots(x: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
-    """The `prefix` nearest pivots of each row, nearest first."""
-    prefix = min(prefix, len(pivots))
-    out = np.empty((len(x), prefix), dtype=np.int16)
-    for a in range(0, len(x), 1024):
-        sim = x[a : a + 1024] @ pivots.T
-        top = np.argpartition(sim, len(pivots) - prefix, axis=1)[:, len(pivots) - prefix :]
-        order = np.argsort(-np.take_along_axis(sim, top, 1), axis=1, kind="stable")
-        out[a : a + 1024] = np.take_along_axis(top, order, 1)
-    return out
+    return raw, x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
-def fit_pivots(sample: np.ndarray, count: int, rounds: int = 5) -> np.ndarray:
-    """Pivots as spherical means of a sample; a mean that loses all its rows stays where it was."""
-    sample = sample.astype(np.float32)
+class Pivots:
+    """Pivots in groups of near ones: the nearest pivots of a vector are looked for in its nearest groups.
+
+    Up to MEANS pivots stand in one group, so the search is exact; beyond, the work for a vector grows with
+    the root of their number.
+    """
+
+    def __init__(self, pivots: np.ndarray, reach: int = 12):
+        self.pivots, self.reach = pivots, reach
+        self.centres = fit_means(pivots, int(len(pivots) ** 0.5)) if len(pivots) > MEANS else pivots[:1]
+        near = nearest_of(pivots, self.centres)
+        self.members = [np.flatnonzero(near == g) for g in range(len(self.centres))]
+
+    def ordered(self, x: np.ndarray, prefix: int) -> np.ndarray:
+        """The `prefix` nearest pivots of each row, nearest first."""
+        prefix = min(prefix, len(self.pivots))
+        return np.concatenate([self._ordered(x[a : a + 1024], prefix) for a in range(0, len(x), 1024)] or [np.zeros((0, prefix), np.int32)])
+
+    def _ordered(self, x: np.ndarray, prefix: int) -> np.ndarray:
+        if len(self.centres) == 1:
+            return best_columns(x @ self.pivots.T, prefix)
+        groups = best_columns(x @ self.centres.T, min(self.reach, len(self.centres)))
+        sim = np.full((len(x), prefix), -2, dtype=np.float32)
+        who = np.zeros((len(x), prefix), dtype=np.int32)
+        for g in np.unique(groups):
+            rows = np.flatnonzero((groups == g).any(axis=1))
+            mine = self.members[g]
+            if len(mine):
+                both = np.hstack([sim[rows], x[rows] @ self.pivots[mine].T])
+                ids = np.hstack([who[rows], np.broadcast_to(mine.astype(np.int32), (len(rows), len(mine)))])
+                top = best_columns(both, prefix)
+                sim[rows], who[rows] = np.take_along_axis(both, top, 1), np.take_along_axis(ids, top, 1)
+        return who
+
+
+def best_columns(sim: np.ndarray, many: int) -> np.ndarray:
+    """Numbers of the `many` largest columns of each row, largest first."""
+    top = np.argpartition(sim, sim.shape[1] - many, axis=1)[:, sim.shape[1] - many :]
+    order = np.argsort(-np.take_along_axis(sim, top, 1), axis=1, kind="stable")
+    return np.take_along_axis(top, order, 1).astype(np.int32)
+
+
+def nearest_of(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.argmax(x[a : a + 4096] @ centres.T, axis=1) for a in range(0, len(x), 4096)])
+
+
+def fit_means(sample: np.ndarray, count: int, rounds: int = 5) -> np.ndarray:
+    """Spherical means of a sample; a mean that loses all its rows stays where it was."""
     pivots = np.unique(sample, axis=0)
     pivots = pivots[np.random.default_rng(7).permutation(len(pivots))[:count]]
     for _ in range(rounds):
-        near = np.concatenate([np.argmax(sample[a : a + 4096] @ pivots.T, axis=1) for a in range(0, len(sample), 4096)])
+        near = nearest_of(sample, pivots)
         order = np.argsort(near, kind="stable")
         cells, begin = np.unique(near[order], return_index=True)
         total = np.add.reduceat(sample[order], begin, axis=0)
@@ -63,6 +97,24 @@ def fit_pivots(sample: np.ndarray, count: int, rounds: int = 5) -> np.ndarray:
     return pivots
 
 
+def pivot_count(rows: int, per_file: int) -> int:
+    """One pivot for every `per_file` rows up to MEANS pivots; from there on their number grows with the root of the rows."""
+    linear = max(rows // per_file, 1)
+    return linear if linear <= MEANS else int(MEANS * (linear / MEANS) ** 0.5)
+
+
+def sample_size(count: int) -> int:
+    return min(count, MEANS) * SAMPLE_A_PIVOT + max(count - MEANS, 0) * 2
+
+
+def fit_pivots(sample: np.ndarray, count: int) -> np.ndarray:
+    """Pivots from unit rows: means of the first ones, and rows as they are for those beyond MEANS."""
+    sample = sample.astype(np.float32)
+    cut = MEANS * SAMPLE_A_PIVOT
+    pivots = fit_means(sample[:cut], min(count, MEANS))
+    return np.concatenate([pivots, np.unique(sample[cut:], axis=0)[: count - len(pivots)]]) if count > MEANS else pivots
+
+
 def footrule_closeness(asking: np.ndarray, posted: np.ndarray, pivots: int) -> np.ndarray:
     """How small the footrule distance of truncated permutations is, for all pairs of two sets.
 
@@ -96,14 +148,14 @@ def best_of_rows(sim: np.ndarray, closeness: np.ndarray, keep: int, n: int) -> t
     return rows, top.ravel()
 
 
-def search_file(x: np.ndarray, perm: np.ndarray, home: np.ndarray, pivots: int, k: int, keep: int, chunk: int = 1024) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, row, cosine) of what the rows of one inverted file find among the posted ones and these among them."""
+def search_file(x: np.ndarray, perm: np.ndarray, asks: np.ndarray, posts: np.ndarray, pivots: int, k: int, keep: int, chunk: int = 1024) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, row, cosine) of what the asking rows of one inverted file find among the posted ones and these among them."""
     x32 = x.astype(np.float32)
-    posted = np.flatnonzero(home)
+    asking, posted = np.flatnonzero(asks), np.flatnonzero(posts)
     left, right = [], []
-    for a in range(0, len(x), chunk):
+    for a in range(0, len(asking), chunk):
         for b in range(0, len(posted), chunk):
-            q, r = np.arange(a, min(len(x), a + chunk)), posted[b : b + chunk]
+            q, r = asking[a : a + chunk], posted[b : b + chunk]
             sim = x32[q] @ x32[r].T
             close = footrule_closeness(perm[q], perm[r], pivots)
             i, j = best_of_rows(sim, close, keep, k + 4)
@@ -137,61 +189,93 @@ def ranked_ids(i: np.ndarray, j: np.ndarray, cosine: np.ndarray, ids: list[np.nd
         yield int(i[a]), who[a:z], cosine[a:z]
 
 
-def nearest(vectors: DataFrame, k: int = 5, dim: int = 64, per_file: int = 240, max_pivots: int = 16384, probes: int = 3, keep: int = 64) -> DataFrame:
+ASKS, POSTS = 1, 2
+ROUTED = "file int, a int, b int, role int, h1 bigint, h2 int, ids array<bigint>, payload binary"
+
+
+def parts_of_files(file: np.ndarray, home: np.ndarray, h1: np.ndarray, asking: np.ndarray, posted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, a, b, role) of where rows go: a file is searched in `asking[file]` times `posted[file]` parts.
+
+    A row asks in all parts of its own asking block and, at home, is posted in all parts of its own posted block.
+    """
+    na, nb = asking[file], posted[file]
+    own_a, own_b = h1 % na, (h1 >> 20) % nb
+    one = (na == 1) & (nb == 1)
+    rows, parts_a, parts_b, roles = [np.flatnonzero(one)], [own_a[one]], [own_b[one]], [np.where(home[one], ASKS | POSTS, ASKS)]
+    for r in np.flatnonzero(~one):
+        a = np.concatenate([np.full(nb[r], own_a[r]), np.arange(na[r])]) if home[r] else np.full(nb[r], own_a[r])
+        b = np.concatenate([np.arange(nb[r]), np.full(na[r], own_b[r])]) if home[r] else np.arange(nb[r])
+        role = np.repeat([ASKS, POSTS], [nb[r], len(a) - nb[r]])
+        if home[r]:
+            role[own_b[r]] = ASKS | POSTS  # the part where both meet gets the row once
+            last = np.delete(np.arange(len(a)), nb[r] + own_a[r])
+            a, b, role = a[last], b[last], role[last]
+        rows.append(np.full(len(a), r))
+        parts_a.append(a)
+        parts_b.append(b)
+        roles.append(role)
+    return tuple(np.concatenate(p) for p in (rows, parts_a, parts_b, roles))
+
+
+def nearest(vectors: DataFrame, k: int = 5, dim: int = 64, per_file: int = 240, probes: int = 3, keep: int = 64, block: int = 4096) -> DataFrame:
     """vec_id, near_id, rank, cosine: the k most similar other vectors of every usable vector.
 
     Unusable (null, wrong length, null or not finite element, all zero) vectors and null ids take no
     part. Ties of the cosine, rounded to 6 decimals, go to the smaller id; a row repeated with the
-    same id and vector counts once. Pivots are fitted on a hash sample of the ids of about
-    SAMPLE_A_PIVOT rows a pivot (one pivot for every `per_file` rows, at most `max_pivots`, so the
-    sample and the broadcast are bounded); every vector is indexed and looked up.
+    same id and vector counts once. Pivots are fitted on a hash sample of the ids (`sample_size` rows, which
+    grow with the root of the table beyond MEANS * per_file rows); every vector is indexed and looked up.
+    A file with more than `block` posted or asking rows, as the sample tells, is searched in parts.
     """
     spark = vectors.sparkSession
-    keyed = (
-        vectors.select("vec_id", "vector")
-        .where(F.col("vec_id").isNotNull() & F.col("vector").isNotNull() & (F.size("vector") == dim))
-        .select("vec_id", "vector", F.xxhash64("vector").alias("h1"), F.hash("vector").alias("h2"))
-    )
-    rows = vectors.count()
-    count = int(min(max(rows // per_file, 1), max_pivots))
-    share = min(1.0, count * SAMPLE_A_PIVOT / max(rows, 1))
-    sample = keyed.where(F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(1_000_000)) < share * 1_000_000)
-    _, unit, _ = unit_rows(sample.select("vec_id", "vector").toPandas().sort_values("vec_id")["vector"].tolist(), dim)
-    if not len(unit):  # too few rows for a sample: all of them
-        _, unit, _ = unit_rows(keyed.limit(1000).toPandas()["vector"].tolist(), dim)
-    if not len(unit):
+    keyed = vectors.select("vec_id", "vector").where(F.col("vec_id").isNotNull() & usable(F.col("vector"), dim)).select("vec_id", "vector", F.xxhash64("vector").alias("h1"), F.hash("vector").alias("h2"))
+    rows = keyed.count()
+    if not rows:
         return spark.createDataFrame([], "vec_id bigint, near_id bigint, rank int, cosine double")
-    pivots = fit_pivots(unit, count)
-    shared = spark.sparkContext.broadcast(pivots)
-    total, width, probes = len(pivots), min(PREFIX, len(pivots)), min(probes, len(pivots))
+    count = pivot_count(rows, per_file)
+    wanted = sample_size(count)
+    place = F.xxhash64("vec_id", F.lit(7))
+    sample = keyed.select("vec_id", "vector", place.alias("place")).where(F.pmod(place, F.lit(1_000_000)) < min(1.0, wanted / rows) * 1_000_000)
+
+    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"place": batch["place"], "v": [np.asarray(v, dtype=np.float32).tobytes() for v in batch["vector"]]})
+
+    chosen = sample.mapInPandas(packed, "place bigint, v binary").toPandas().sort_values(["place", "v"], kind="stable")["v"].tolist()
+    if not chosen:  # so few rows that the hash chose none: the first by the hash
+        chosen = [np.asarray(r["vector"], dtype=np.float32).tobytes() for r in keyed.orderBy(place, "vec_id").limit(wanted).collect()]
+    unit = np.frombuffer(b"".join(chosen), dtype=np.float32).reshape(-1, dim).astype(np.float64)
+    unit = (unit / np.sqrt((unit * unit).sum(axis=1))[:, None]).astype(np.float32)
+    pivots = Pivots(fit_pivots(unit, count))
+    total = len(pivots.pivots)
+    width, probes = min(PREFIX, total), min(probes, total)
+    seen = pivots.ordered(unit, probes)
+    scale = rows / len(unit) / block
+    posted = np.maximum(1, np.ceil(np.bincount(seen[:, 0], minlength=total) * scale)).astype(np.int64)
+    asking = np.maximum(1, np.ceil(np.bincount(seen.ravel(), minlength=total) * scale)).astype(np.int64)
+    shared = spark.sparkContext.broadcast((pivots, asking, posted))
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pv = shared.value
+        pv, blocks_a, blocks_b = shared.value
         for batch in batches:
-            batch = batch.sort_values("vec_id", kind="stable")
-            raw, x, at = unit_rows(batch["vector"].tolist(), dim)
-            if not len(at):
+            if not len(batch):
                 continue
-            own = pd.DataFrame({"h1": batch["h1"].to_numpy()[at], "h2": batch["h2"].to_numpy()[at], "d": batch["vec_id"].to_numpy()[at]})
-            number = own.groupby(["h1", "h2"], sort=False).ngroup().to_numpy()
+            batch = batch.sort_values("vec_id", kind="stable")
+            raw, x = unit_rows(batch["vector"].tolist(), dim)
+            number = batch.groupby(["h1", "h2"], sort=False).ngroup().to_numpy()
             _, first = np.unique(number, return_index=True)
             ids: list[list[int]] = [[] for _ in first]
-            for c, d in zip(number.tolist(), own["d"].tolist()):
+            for c, d in zip(number.tolist(), batch["vec_id"].tolist()):
                 held = ids[c]
                 if len(held) <= k and (not held or held[-1] != d):
                     held.append(d)
-            perm = ordered_pivots(x[first].astype(np.float32), pv, PREFIX)
+            perm = pv.ordered(x[first].astype(np.float32), PREFIX)
             payload = [p.tobytes() + v.tobytes() for p, v in zip(perm, raw[first])]
-            again = np.repeat(np.arange(len(first)), probes)
-            yield pd.DataFrame(
-                {
-                    "file": perm[:, :probes].astype(np.int32).ravel(),
-                    "h1": own["h1"].to_numpy()[first][again],
-                    "h2": own["h2"].to_numpy()[first][again],
-                    "ids": [ids[c] for c in again],
-                    "payload": [payload[c] for c in again],
-                }
-            )
+            h1, h2 = batch["h1"].to_numpy()[first], batch["h2"].to_numpy()[first]
+            file = perm[:, :probes].ravel()
+            home = np.arange(len(file)) % probes == 0
+            row, a, b, role = parts_of_files(file, home, np.repeat(h1 & 0x7FFFFFFFFFFFFFFF, probes), blocks_a, blocks_b)
+            c = row // probes
+            yield pd.DataFrame({"file": file[row], "a": a, "b": b, "role": role, "h1": h1[c], "h2": h2[c], "ids": [ids[i] for i in c], "payload": [payload[i] for i in c]})
 
     def search(group: pd.DataFrame) -> pd.DataFrame:
         number = group.groupby(["h1", "h2"], sort=False).ngroup().to_numpy()
@@ -205,16 +289,19 @@ def nearest(vectors: DataFrame, k: int = 5, dim: int = 64, per_file: int = 240,
             ids = list(group["ids"])
         one = group.iloc[first]
         data = np.frombuffer(b"".join(one["payload"]), dtype=np.uint8).reshape(len(first), -1)
-        perm = np.ascontiguousarray(data[:, : 2 * width]).view(np.int16)
-        x = np.ascontiguousarray(data[:, 2 * width :]).view(np.float32).astype(np.float64)
+        perm = np.ascontiguousarray(data[:, : 4 * width]).view(np.int32)
+        x = np.ascontiguousarray(data[:, 4 * width :]).view(np.float32).astype(np.float64)
         x /= np.sqrt((x * x).sum(axis=1))[:, None]
-        home = perm[:, 0] == int(one["file"].iloc[0])
-        out = list(ranked_ids(*search_file(x, perm, home, total, k, keep), ids, k)) if home.any() else []
+        role = one["role"].to_numpy()
+        asks, posts = (role & ASKS) > 0, (role & POSTS) > 0
+        out = list(ranked_ids(*search_file(x, perm, asks, posts, total, k, keep), ids, k)) if asks.any() and posts.any() else []
         at = [r[0] for r in out]
         return pd.DataFrame({"h1": one["h1"].to_numpy()[at], "h2": one["h2"].to_numpy()[at], "near": [r[1] for r in out], "cosine": [r[2] for r in out]})
 
-    routed = keyed.mapInPandas(route, "file int, h1 bigint, h2 int, ids array<bigint>, payload binary")
-    parts = routed.groupBy("file").applyInPandas(search, "h1 bigint, h2 int, near array<bigint>, cosine array<double>")
+    # tasks of a fixed number of rows, whatever the session's setting is
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows * probes // 24_000)
+    routed = keyed.mapInPandas(route, ROUTED).repartition(tasks, "file", "a", "b")
+    parts = routed.groupBy("file", "a", "b").applyInPandas(search, "h1 bigint, h2 int, near array<bigint>, cosine array<double>")
     lists = (
         parts.select("h1", "h2", F.expr("transform(arrays_zip(near, cosine), p -> struct(-p.cosine as s, p.near as d))").alias("p"))
         .groupBy("h1", "h2")

@@ -189,9 +189,15 @@ def plan_rows(plan: list[tuple[int, list[int]]], first: int = 0) -> list[tuple[i
     return out
 
 
-def numbered(items: DataFrame, salts: int) -> DataFrame:
-    """Add `rank`, 0 and up within each length: ranks of salted groups plus the sizes of those before."""
-    salted = items.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece_no"), F.lit(salts)))
+def numbered(items: DataFrame, histogram: dict[int, int], per_salt: int) -> DataFrame:
+    """Add `rank`, 0 and up within each length: ranks of salted groups plus the sizes of those before.
+
+    A length has as many salts as it needs for groups of about `per_salt` rows, so that one length that holds
+    a third of all items, as the full pieces of long texts may, is ranked by many tasks.
+    """
+    spark = items.sparkSession
+    salts = spark.createDataFrame([(int(n), max(1, -(-int(c) // per_salt))) for n, c in histogram.items()], "n int, salts bigint")  # a row a length
+    salted = items.join(F.broadcast(salts), "n").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece_no"), F.col("salts"))).drop("salts")
     sizes = salted.groupBy("n", "salt").agg(F.count("*").alias("c"))
     before = Window.partitionBy("n").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     base = sizes.select("n", "salt", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("base"))
@@ -199,7 +205,7 @@ def numbered(items: DataFrame, salts: int) -> DataFrame:
     return salted.withColumn("r", F.row_number().over(inside)).join(base, ["n", "salt"]).withColumn("rank", F.col("base") + F.col("r") - 1).drop("salt", "r", "base")
 
 
-def pack(sizes: DataFrame, capacity: int = 2048, salts: int = 64) -> DataFrame:
+def pack(sizes: DataFrame, capacity: int = 2048, per_salt: int = 50_000) -> DataFrame:
     """container_id, doc_id, piece_no, start_token, n_tokens, place for rows of (doc_id, n_tokens).
 
     An item over the capacity is cut into full containers and one rest, all others stay whole. An
@@ -229,7 +235,7 @@ def pack(sizes: DataFrame, capacity: int = 2048, salts: int = 64) -> DataFrame:
                 offset[some] = runs[3][at]
             yield pd.DataFrame({"container_id": container, "doc_id": batch["doc_id"], "piece_no": batch["piece_no"], "start_token": batch["start_token"], "n_tokens": n, "place": offset})
 
-    return numbered(items, salts).mapInPandas(place, "container_id bigint, doc_id bigint, piece_no int, start_token bigint, n_tokens bigint, place bigint")
+    return numbered(items, histogram, per_salt).mapInPandas(place, "container_id bigint, doc_id bigint, piece_no int, start_token bigint, n_tokens bigint, place bigint")
 
 
 def fill_report(packed: DataFrame, capacity: int = 2048) -> DataFrame:

@@ -65,6 +65,11 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_sizes(spark, sf_dir), read_table(spark, sf_dir, "mix_targets"))[1]
 
 
+def p7_shares_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares reached when the total is all tokens there are, so that scarce sources end at max_repeats."""
+    return mixing.mix(_sizes(spark, sf_dir), read_table(spark, sf_dir, "mix_targets"), whole=True)[1]
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read_table(spark, sf_dir, "documents")
     return language.foreign_paragraphs(language.sentence_languages(documents, language.train(documents)))

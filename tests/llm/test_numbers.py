@@ -55,6 +55,40 @@ def test_recall_and_copies(spark):
     assert pairs.where("vec_id_a >= vec_id_b").count() == 0
 
 
+def test_split_files_find_the_same(spark):
+    """A file searched in many parts gives what it gives in one."""
+    x = vectors(900)
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id bigint, vector array<float>")
+    rows = lambda block: {tuple(r) for r in neighbours.nearest(df, k=5, dim=16, per_file=450, block=block, keep=900).collect()}
+    assert rows(40) == rows(4096)
+
+
+def test_every_asking_row_meets_every_posted_row():
+    rng = np.random.default_rng(1)
+    file, h1 = rng.integers(0, 3, 200), rng.integers(0, 1 << 60, 200)
+    home = rng.random(200) < 0.4
+    row, a, b, role = neighbours.parts_of_files(file, home, h1, np.array([1, 3, 4]), np.array([1, 2, 5]))
+    where = {}
+    for r, *part, what in zip(row, a, b, role):
+        for bit in (neighbours.ASKS, neighbours.POSTS):
+            if what & bit:
+                where.setdefault((file[r], *part), ([], []))[bit - 1].append(r)
+    met = Counter((q, p) for asks, posts in where.values() for q in asks for p in posts)
+    assert set(met.values()) == {1} and set(met) == {(q, p) for q in range(200) for p in range(200) if home[p] and file[p] == file[q]}
+
+
+def test_pivots_in_groups(monkeypatch):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(3000, 16)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    whole = neighbours.Pivots(x[:900]).ordered(x, 4)
+    monkeypatch.setattr(neighbours, "MEANS", 100)
+    parts = neighbours.Pivots(x[:900])
+    assert len(parts.centres) == 30 and np.mean(parts.ordered(x, 4)[:, 0] == whole[:, 0]) > 0.9
+    assert neighbours.pivot_count(100 * 240, 240) == 100 and neighbours.pivot_count(400 * 100 * 240, 240) == 2000
+    assert len(neighbours.fit_pivots(x, 300)) == 300
+
+
 def test_few_vectors(spark):
     df = spark.createDataFrame([(1, [1.0] * 64), (2, [1.0] * 64)], "vec_id bigint, vector array<float>")
     assert {(r["vec_id"], r["near_id"]) for r in neighbours.nearest(df).collect()} == {(1, 2), (2, 1)}
@@ -101,6 +135,9 @@ def test_pack(spark):
         spans.setdefault(r["container_id"], []).append((r["place"], r["place"] + r["n_tokens"]))
     assert all(a[1] <= b[0] for s in spans.values() for a, b in zip(sorted(s), sorted(s)[1:]))
     assert packing.pack(df.limit(0)).count() == 0
+    hot = spark.createDataFrame([(i, 2048) for i in range(40)] + [(99, 10 * 2048)], "doc_id bigint, n_tokens bigint")
+    got = packing.pack(hot, per_salt=7).collect()  # one length in eight groups
+    assert len(got) == 50 and len({r["container_id"] for r in got}) == 50
 
 
 def test_flight_keeps_the_totals():
@@ -129,6 +166,9 @@ def test_mix(spark):
     assert all(0 < r["copies"] <= most[r["source"]] for r in got) and len({r["doc_id"] for r in got}) == len(got)
     fixed, told = mixing.mix(sizes, targets, total=10_000_000.0)
     assert all(r["copies"] == most[r["source"]] for r in fixed.collect())
+    all_, told = mixing.mix(sizes, targets, whole=True)
+    reached = {r["source"]: r["tokens"] for r in told.collect()}
+    assert reached["big_source"] == sum(n for _, s, n in rows if s == "Big-Source")  # at its one repeat, under its share
     none, told = mixing.mix(sizes.limit(0), targets)
     assert none.count() == 0 and told.count() == 4
     none, told = mixing.mix(sizes, targets.limit(0))
