@@ -56,11 +56,22 @@ def sentences_of(text: str, start: int, end: int) -> list[list[str]]:
     out: list[list[str]] = []
     for a, b in line_spans(text, start, end):
         words = words_of(text[a:b])
-        if out and sum(len(w) > 1 for w in words) < 2:
+        if out and not two_words(words):
             out[-1] += words
         else:
             out.append(words)
-    return [ws for ws in out if sum(len(w) > 1 for w in ws) >= 2]
+    return out if not out or two_words(out[0]) else out[1:]
+
+
+def two_words(words: list[str]) -> bool:
+    """Whether there are two words or more of two letters or more."""
+    first = False
+    for w in words:
+        if len(w) > 1:
+            if first:
+                return True
+            first = True
+    return False
 
 
 def line_spans(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
@@ -130,7 +141,7 @@ class PieceModel:
         number: dict[str, int] = {}
         at = [number.setdefault(w, len(number)) for ws in sentences for w in ws]
         table = np.array([self.forward(w) for w in number])
-        other = np.array([(len(w) + 1) * np.log(OTHER_CHAR) for w in number])
+        other = np.log(OTHER_CHAR) * (1 + np.fromiter(map(len, number), dtype=float, count=len(number)))
         begin = np.concatenate([[0], np.cumsum([len(ws) for ws in sentences])[:-1]])
         s = np.add.reduceat(np.column_stack([table, other])[at], begin, axis=0)
         e = np.exp(s - s.max(axis=1, keepdims=True))

@@ -253,6 +253,7 @@ def nearest(vectors: DataFrame, k: int = 5, dim: int = 64, per_file: int = 240,
     posted = np.maximum(1, np.ceil(np.bincount(seen[:, 0], minlength=total) * scale)).astype(np.int64)
     asking = np.maximum(1, np.ceil(np.bincount(seen.ravel(), minlength=total) * scale)).astype(np.int64)
     shared = spark.sparkContext.broadcast((pivots, asking, posted))
+    number_type = np.uint16 if total <= 65_536 else np.int32
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pv, blocks_a, blocks_b = shared.value
@@ -269,7 +270,7 @@ def nearest(vectors: DataFrame, k: int = 5, dim: int = 64, per_file: int = 240,
                 if len(held) <= k and (not held or held[-1] != d):
                     held.append(d)
             perm = pv.ordered(x[first].astype(np.float32), PREFIX)
-            payload = [p.tobytes() + v.tobytes() for p, v in zip(perm, raw[first])]
+            payload = [p.tobytes() + v.tobytes() for p, v in zip(perm.astype(number_type), raw[first])]
             h1, h2 = batch["h1"].to_numpy()[first], batch["h2"].to_numpy()[first]
             file = perm[:, :probes].ravel()
             home = np.arange(len(file)) % probes == 0
@@ -289,8 +290,9 @@ def nearest(vectors: DataFrame, k: int = 5, dim: int = 64, per_file: int = 240,
             ids = list(group["ids"])
         one = group.iloc[first]
         data = np.frombuffer(b"".join(one["payload"]), dtype=np.uint8).reshape(len(first), -1)
-        perm = np.ascontiguousarray(data[:, : 4 * width]).view(np.int32)
-        x = np.ascontiguousarray(data[:, 4 * width :]).view(np.float32).astype(np.float64)
+        wide = np.dtype(number_type).itemsize * width
+        perm = np.ascontiguousarray(data[:, :wide]).view(number_type)
+        x = np.ascontiguousarray(data[:, wide:]).view(np.float32).astype(np.float64)
         x /= np.sqrt((x * x).sum(axis=1))[:, None]
         role = one["role"].to_numpy()
         asks, posts = (role & ASKS) > 0, (role & POSTS) > 0

@@ -22,17 +22,16 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _inspected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = common.pages_of(spark, sf_dir, scans.SCANNED)
-    clean = common.pages_of(spark, sf_dir, ("docx", "txt", "md", "eml"))
-    return scans.inspect_pages(pages, clean)
+    return scans.inspect_pages(scans.flagged_pages(read_table(spark, sf_dir, "document_pages"), read_table(spark, sf_dir, "files")))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _inspected(spark, sf_dir).where("kind <> 'text'").drop("text").distinct()
+    return _inspected(spark, sf_dir).where("kind <> 'text'").drop("text", "continues").distinct()
 
 
 def p3_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _inspected(spark, sf_dir).where("kind = 'text'").select("doc_id", "page_number", "text")
+    """The repaired pages; `continues` tells that a page goes on in the paragraph of the page before."""
+    return _inspected(spark, sf_dir).where("kind = 'text'").select("doc_id", "page_number", "text", "continues")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

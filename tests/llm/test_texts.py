@@ -1,73 +1,8 @@
-"""Problems 3, 5 and 8 on made-up pages, mails and documents."""
-
-import random
+"""Problem 8 on made-up documents."""
 
 import pytest
 
-from paperloom.llm import language, scans
-
-WORDS = "agreement landlord tenant witness hearing security deposit maintenance records premises payment court inspector furnish liability coverage schedule invoice notice reasonable expenses property remaining heirs standing order".split()
-
-
-def lexicon():
-    return {w: (60, 90) for w in WORDS} | {"the": (900, 1500), "well-documented": (30, 40), "well": (9, 12), "documented": (0, 0), "long-term": (9, 9)}
-
-
-@pytest.fixture(scope="module")
-def editor():
-    return scans.Editor(lexicon()).train()
-
-
-def test_editor_repairs_unseen_noise(editor):
-    rng, right, total = random.Random(99), 0, 0
-    for w in WORDS * 6:
-        made = scans.noisy(w, rng, 1)
-        if made and made[0] != w and made[0] not in editor.lexicon:
-            total += 1
-            found = editor.correct(made[0], {})
-            right += bool(found) and found[0] == w
-    assert total > 80 and right / total > 0.9
-
-
-def test_editor_leaves_good_words(editor):
-    assert all(editor.correct(w, {}) is None for w in WORDS)
-    assert editor.correct("zzzz", {}) is None and editor.correct("", {}) is None
-    assert editor.correct("krustuflobincl", {"krustuflobind": 4, "krustuflobincl": 1})[0] == "krustuflobind"
-
-
-def test_joins(editor):
-    assert editor.joins("mainten", "-", "ance") and editor.joins("sched", "¬", "ule")
-    assert not editor.joins("well", "-", "documented") and not editor.joins("Lusibo", "-", "Neklath")
-
-
-def test_page(editor):
-    text = "FAX 01/11/2024 12:21   P.017\nthe landlord sball furnish the mainte-\nnance records of the well-\ndocumented hearing\nUnits inspected:\n33\n\n1. Deposit\nthe tenant pays\n- 3 -\nthe dep0sit"
-    kinds, repaired = scans.inspect_page(text, 2, set(), {}, editor)
-    assert {k for k, v in kinds.items() if "furniture" in v} == {1, 10}
-    assert {k for k, v in kinds.items() if "hyphen" in v} == {2}
-    assert 11 in {k for k, v in kinds.items() if "misread" in v}
-    assert "maintenance records of the well-documented hearing" in repaired and "the deposit" in repaired and "FAX" not in repaired
-    assert scans.inspect_page("", 1, set(), {}, editor) == ({}, "")
-    scans.inspect_page("word " * 30_000, 1, set(), {}, editor)
-
-
-def test_running_titles():
-    key = scans.folded("Expert Opinion")
-    assert scans.folded("Expcrt 0pinion") == key
-    assert scans.furniture_lines(["Expert Opinion", "", "text goes on here"], 1, {key}) == set()
-    assert scans.furniture_lines(["Expert Opinion", "text goes on here"], 2, {key}) == {0}
-    assert scans.furniture_lines(["ANNA DOE v. JOHN ROE", "text", "Total", "284", "p. 4"], 2, set()) == {0, 4}
-
-
-def test_scans_on_tables(spark):
-    body = "the landlord shall furnish the maintenance records of the hearing and the tenant pays the security deposit for the premises\n"
-    clean = spark.createDataFrame([("c", n, body * 10) for n in range(5)], "doc_id string, page_number int, text string")
-    pages = spark.createDataFrame([("s", 1, body + "the dep0sit of the tenant\n1"), ("s", 2, ""), ("s", 3, body)], "doc_id string, page_number int, text string").selectExpr("*", "1 as names", "2 as headers", "3 as kind")
-    rows = scans.inspect_pages(pages, clean).collect()
-    assert {(r["page_number"], r["line_no"], r["kind"]) for r in rows if r["kind"] != "text"} == {(1, 2, "misread"), (1, 3, "furniture")}
-    assert sum(r["kind"] == "text" for r in rows) == 3
-    assert scans.inspect_pages(pages.limit(0), clean.limit(0)).count() == 0
-
+from paperloom.llm import language
 
 SAMPLES = {
     "en": ["The tenant shall return the keys to the office before the end of the month.", "The court could not explain why the invoice was late."],
