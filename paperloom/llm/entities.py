@@ -22,7 +22,9 @@ from paperloom.llm import names as N
 from paperloom.session import checkpoint
 
 EDITS = 2
-GENERAL = 3  # an alias that stands with so many parties says nothing
+GENERAL = 1 / 3  # an alias of which a party has no more than this share of the mentions does not speak for it
+SLIP = 20  # a given name so many times rarer than one a single edit away is a slip of it
+TASK_WORDS = 2000  # distinct words a task looks up
 FORM = ["kind", "core", "given", "middle", "suffix"]
 
 
@@ -40,21 +42,22 @@ def mentions(entities: DataFrame, files: DataFrame) -> DataFrame:
     return both.where(F.col("key").isNotNull() & (F.trim("name") != ""))
 
 
-def frequent_words(found: DataFrame, share: float = 0.003, least: int = 20, most: int = 500) -> tuple[list[str], list[str]]:
+def frequent_words(found: DataFrame, share: float = 0.003, least: int = 20) -> tuple[list[str], list[str]]:
     """(given names, business words) that the corpus shows: words in a large share of all names, told
-    apart by whether most of these are names of firms. At most `most` words."""
+    apart by whether most of these are names of firms. A name of w words adds w to the counts, so no more than
+    w / share words can have such a share, however large the corpus is; `least` mentions must prove a word."""
     firm = F.col("name").rlike(r"(?i)\b(inc|incorporated|llc|l\.l\.c|ltd|limited|corp|corporation|l\.?p|partnership|company)\b\.?")
     words = found.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("name"), F.lit(r"(\p{L}{3,})"), 1))).alias("w"), firm.alias("firm"), F.monotonically_increasing_id().alias("row"))
     per = words.groupBy("w").agg(F.count("*").alias("n"), F.count_if("firm").alias("f")).where(F.col("n") >= least)
     total = found.count()
-    kept = per.where(F.col("n") >= share * total).orderBy(F.desc("n"), "w").limit(most).collect()
+    kept = per.where(F.col("n") >= share * total).orderBy(F.desc("n"), "w").collect()
     skip = N.LEGAL | N.TITLES | N.POSTNOMINALS | set(N.SUFFIXES) | set(N.ABBREVIATED) | set(N.NICKNAMES) | N.SMALL | {"liability", "partnership", "trading", "formerly", "known"}
     fresh = [(N.plain(r["w"]), r["f"] / r["n"]) for r in kept if N.plain(r["w"]) not in skip]
     return sorted({w for w, f in fresh if f < 0.2}), sorted({w for w, f in fresh if f >= 0.4})
 
 
 def read_forms(found: DataFrame, given: list[str], business: list[str]) -> DataFrame:
-    """One row for each form and block: key, doc, role (0 the name, 1 and up what else it says), form fields."""
+    """One row for each form: key, doc, role (0 the name, 1 and up what else it says), form fields."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader = N.Reader(given, business)
@@ -66,14 +69,39 @@ def read_forms(found: DataFrame, given: list[str], business: list[str]) -> DataF
                 for alias in [] if aliases is None else aliases:
                     read += [f for f in reader.read(alias or "") if f["kind"] != "acronym" and (f["given"] or first == "acronym")]
                 for role, f in enumerate(read):
-                    for k, block in enumerate(N.blocks(f)):
-                        rows.append((key, doc, role, k, f["kind"], block, f["core"], f["given"], f["middle"], f["suffix"], f["acr"]))
-            yield pd.DataFrame(rows, columns=["key", "doc", "role", "choice", "kind", "block", *FORM[1:], "acr"])
+                    rows.append((key, doc, role, f["kind"], f["core"], f["given"], f["middle"], f["suffix"], f["acr"]))
+            yield pd.DataFrame(rows, columns=["key", "doc", "role", *FORM, "acr"])
 
-    schema = "key string, doc string, role int, choice int, kind string, block string, core string, given string, middle string, suffix string, acr string"
+    schema = "key string, doc string, role int, kind string, core string, given string, middle string, suffix string, acr string"
     return found.select("key", "name", "doc", "aliases").mapInPandas(run, schema)
 
 
+def right_given(forms: DataFrame) -> DataFrame:
+    """given, meant of the given names that are slips of another: rarer by `SLIP` than one of five letters or more
+    that is a single edit away, as Mei and Wei, Mary and Mark are names of their own."""
+    typed = forms.where("kind = 'person' and length(given) >= 4").groupBy(F.lit("given").alias("kind"), F.lit("").alias("block"), F.col("given").alias("core")).agg(F.count("*").alias("n"))
+    typed = checkpoint(typed)
+    pairs = similar_words(typed.select("kind", "block", "core"), sounds=False).where("d = 1").select("a", "b")
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    count = typed.select(F.col("core").alias("a"), F.col("n").alias("na"))
+    other = typed.select(F.col("core").alias("b"), F.col("n").alias("nb"))
+    up = both.join(count, "a").join(other, "b").where((F.length("b") >= 5) & (F.col("nb") >= SLIP * F.col("na")))
+    return up.groupBy(F.col("a").alias("given")).agg(F.max_by("b", F.struct("nb", "b")).alias("meant"))
+
+
+def with_blocks(forms: DataFrame) -> DataFrame:
+    """One row for each form and block; choice numbers the blocks of a form."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            blocks = [N.blocks({"kind": k, "given": g}) for k, g in zip(batch["kind"], batch["given"])]
+            out = batch.assign(block=blocks, choice=[list(range(len(b))) for b in blocks])
+            yield out.explode(["block", "choice"])
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in forms.schema)
+    return forms.mapInPandas(run, f"{kinds}, block string, choice int")
+
+
 def segments(word: str, k: int) -> list[tuple[int, str]]:
     """The k + 1 even segments of a word with their places."""
     base, extra = divmod(len(word), k + 1)
@@ -98,56 +126,66 @@ def lookups(word: str, k: int) -> set[tuple[int, int, str]]:
     return out
 
 
-def similar_words(nodes: DataFrame, k: int = EDITS) -> DataFrame:
-    """kind, block, a, b, d of the pairs of distinct words within k edits, as typed or as they sound.
+def similar_words(nodes: DataFrame, k: int = EDITS, sounds: bool = True) -> DataFrame:
+    """kind, block, a, b, d of the pairs of distinct words within the edits that names of their length allow
+    (at most k), as typed or, with `sounds`, as they sound. Words of k letters or fewer match only themselves.
 
-    nodes: kind, block, core, distinct.
+    nodes: kind, block, core, distinct. They are spread over tasks by hash before they are looked up, as each
+    gives some forty substrings; adaptive execution splits the substrings that very many words share.
     """
 
+    def spellings(core: str) -> set[str]:
+        return {core, N.skeleton(core)} if sounds else {core}
+
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(kind, block, f"{len(w)}:{n}:{s}", core) for kind, block, core in zip(batch["kind"], batch["block"], batch["core"]) for w in {core, N.skeleton(core)} if len(w) > k for n, (_, s) in enumerate(segments(w, k))]
+            rows = [(kind, block, f"{len(w)}:{n}:{s}", core) for kind, block, core in zip(batch["kind"], batch["block"], batch["core"]) for w in spellings(core) if len(w) > k for n, (_, s) in enumerate(segments(w, k))]
             yield pd.DataFrame(rows, columns=["kind", "block", "seg", "b"]).drop_duplicates()
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(kind, block, f"{length}:{n}:{s}", core) for kind, block, core in zip(batch["kind"], batch["block"], batch["core"]) for w in {core, N.skeleton(core)} for length, n, s in lookups(w, k)]
+            rows = [(kind, block, f"{length}:{n}:{s}", core) for kind, block, core in zip(batch["kind"], batch["block"], batch["core"]) for w in spellings(core) for length, n, s in lookups(w, k)]
             yield pd.DataFrame(rows, columns=["kind", "block", "seg", "a"]).drop_duplicates()
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             batch = batch.drop_duplicates().copy()
-            batch["d"] = [N.close(a, b) for a, b in zip(batch["a"], batch["b"])]
-            yield batch[batch["d"] <= k]
+            batch["d"] = [N.close(a, b) if sounds else N.distance(a, b, k) for a, b in zip(batch["a"], batch["b"])]
+            yield batch[[d <= min(k, N.edits_allowed(a, b)) for a, b, d in zip(batch["a"], batch["b"], batch["d"])]]
 
+    tasks = max(1, -(-nodes.count() // TASK_WORDS))
+    nodes = nodes.repartition(tasks, "core")
     posted = nodes.mapInPandas(index, "kind string, block string, seg string, b string")
     asked = nodes.mapInPandas(look, "kind string, block string, seg string, a string")
-    met = asked.join(posted, ["kind", "block", "seg"]).where("a < b").select("kind", "block", "a", "b")
-    return met.mapInPandas(verify, "kind string, block string, a string, b string, d int").distinct()
+    met = asked.join(posted, ["kind", "block", "seg"]).where("a < b").select("kind", "block", "a", "b").distinct()
+    return met.mapInPandas(verify, "kind string, block string, a string, b string, d int")
 
 
 def roots(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """kind, block, core, root: the frequent spelling each word is a slip of, at most three steps away.
+    """kind, block, core, root: the frequent spelling each word is a slip of, over as many steps as it takes.
 
-    nodes: kind, block, core, n. A word steps to the nearest, then most frequent, word above it.
+    nodes: kind, block, core, n. A word steps to the nearest, then most frequent, word above it; as steps only
+    go up, they end. Each round doubles the steps that are followed.
     """
     both = pairs.unionByName(pairs.select("kind", "block", F.col("b").alias("a"), F.col("a").alias("b"), "d"))
     count = nodes.select("kind", "block", F.col("core").alias("a"), F.col("n").alias("na"))
     other = nodes.select("kind", "block", F.col("core").alias("b"), F.col("n").alias("nb"))
     up = both.join(count, ["kind", "block", "a"]).join(other, ["kind", "block", "b"]).where(F.struct("nb", "b") > F.struct("na", "a"))
     step = checkpoint(up.groupBy("kind", "block", F.col("a").alias("core")).agg(F.min_by("b", F.struct("d", -F.col("nb"), "b")).alias("root")))
-    out = nodes.select("kind", "block", "core").join(step, ["kind", "block", "core"], "left").withColumn("root", F.coalesce("root", "core"))
-    for _ in range(2):
+    while True:
         nxt = step.select("kind", "block", F.col("core").alias("root"), F.col("root").alias("nxt"))
-        out = out.join(nxt, ["kind", "block", "root"], "left").select("kind", "block", "core", F.coalesce("nxt", "root").alias("root"))
-    return out
+        far = checkpoint(step.join(nxt, ["kind", "block", "root"], "left").select("kind", "block", "core", F.coalesce("nxt", "root").alias("root"), F.col("nxt").isNotNull().alias("moved")))
+        step = far.drop("moved")
+        if far.where("moved").isEmpty():
+            break
+    return nodes.select("kind", "block", "core").join(step, ["kind", "block", "core"], "left").withColumn("root", F.coalesce("root", "core"))
 
 
-def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node, component (its smallest node) of an undirected graph (a, b), by alternating large and small
-    stars; nodes without edges are not in it. Every round is checkpointed."""
+    stars until nothing changes; nodes without edges are not in it. Every round is checkpointed."""
     e = checkpoint(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    for _ in range(rounds):
+    while True:
         near = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = near.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -155,21 +193,28 @@ def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
         small = large.join(least, "u")
         now = small.select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         now = checkpoint(now)
-        if now.exceptAll(e).isEmpty() and e.exceptAll(now).isEmpty():
+        # the sets differ if their sizes or the sums of their hashes do
+        if fingerprint(now) == fingerprint(e):
             break
         e = now
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
 
 
+def fingerprint(edges: DataFrame) -> tuple:
+    """Size of a set of edges and sums of two hashes of each."""
+    one, two = (F.sum(h.cast("decimal(38,0)")) for h in (F.xxhash64("u", "v"), F.xxhash64("v", "u", F.lit(1))))
+    return tuple(edges.agg(F.count("*"), one, two).first())
+
+
 LABELS = "kind string, block string, core string, given string, middle string, suffix string, labels array<string>, backed boolean"
 
 
 def resolve_families(families: DataFrame) -> DataFrame:
-    """The labels of each distinct form. families: kind, block, root, core, given, middle, suffix, n.
+    """The labels of each distinct form. families: kind, block, root, core, given, middle, suffix, n, own.
 
     A row of the gathered table is a family: the distinct forms of its names, not their mentions.
     """
-    gathered = families.groupBy("kind", "block", "root").agg(F.collect_list(F.struct(*FORM[1:], "n")).alias("forms"))
+    gathered = families.groupBy("kind", "block", "root").agg(F.collect_list(F.struct(*FORM[1:], "n", "own")).alias("forms"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -180,7 +225,7 @@ def resolve_families(families: DataFrame) -> DataFrame:
                     key = (f["given"], f["middle"], f["suffix"])
                     count[key] = count.get(key, 0) + int(f["n"])
                 keys = sorted(count)
-                got = dict(zip(keys, N.resolve([(kind, *k, count[k]) for k in keys])))
+                got = dict(zip(keys, N.resolve([(kind, *k, count[k]) for k in keys], {f["given"] for f in forms if f["own"]})))
                 for f in forms:
                     labels, backed = got[f["given"], f["middle"], f["suffix"]]
                     rows.append((kind, block, f["core"], f["given"], f["middle"], f["suffix"], [f"{block}|{root}|{x}" for x in labels], backed))
@@ -209,12 +254,16 @@ def whole_lines(labels: DataFrame) -> DataFrame:
 def link(entities: DataFrame, files: DataFrame) -> DataFrame:
     """key, party of every mention: mentions of one party have the same party."""
     found = mentions(entities, files)
-    forms = checkpoint(read_forms(found, *frequent_words(found)))
+    read = checkpoint(read_forms(found, *frequent_words(found)))
+    typed = read.join(right_given(read), "given", "left").withColumn("given", F.when(F.col("kind") == "person", F.coalesce("meant", "given")).otherwise(F.col("given"))).drop("meant")
+    forms = checkpoint(with_blocks(typed.select("key", "doc", "role", *FORM, "acr")))
     named = forms.where("kind <> 'acronym'")
     distinct = checkpoint(named.groupBy("kind", "block", *FORM[1:]).agg(F.count("*").alias("n")))
     nodes = distinct.groupBy("kind", "block", "core").agg(F.sum("n").alias("n"))
     root = roots(nodes, checkpoint(similar_words(nodes.select("kind", "block", "core"))))
-    families = distinct.join(root, ["kind", "block", "core"])
+    # a given name that stands with three surnames or more is no slip of another
+    spread = distinct.where("kind = 'person' and length(given) > 2").groupBy("given").agg(F.count_distinct("core").alias("cores")).where("cores >= 3").select("given", F.lit(True).alias("own"))
+    families = distinct.join(root, ["kind", "block", "core"]).join(spread, "given", "left").withColumn("own", F.coalesce("own", F.lit(False)))
     labels = checkpoint(resolve_families(families))
     partial = whole_lines(labels).withColumn("kind", F.lit("org"))
     labels = labels.join(partial, ["kind", "core", "given"], "left").withColumn("labels", F.coalesce("whole", "labels")).drop("whole")
@@ -237,16 +286,32 @@ def link(entities: DataFrame, files: DataFrame) -> DataFrame:
     by_alias = short.select("key").join(sure.where("role > 0").select("key", "role", "label"), "key").groupBy("key").agg(F.min_by("label", "role").alias("label"))
     acronyms = by_alias.unionByName(by_initials.join(by_alias, "key", "left_anti"))
     placed = sure.where("role = 0").select("key", "label").unionByName(by_doc).unionByName(acronyms)
-    every = found.select("key").distinct().join(placed, "key", "left").select("key", F.coalesce("label", F.concat(F.lit("m|"), "key")).alias("label"))
-    every = checkpoint(every)
-    other = every.join(sure.where("role > 0").select("key", F.col("label").alias("also")), "key").where("label <> also").select("label", "also").distinct()
-    general = other.groupBy("also").agg(F.count("*").alias("n")).where(F.col("n") >= GENERAL).select("also")
-    edges = other.join(general, "also", "left_anti").select(F.col("label").alias("a"), F.col("also").alias("b"))
+    # what leaves open who is meant follows its own alias, if there is just one
+    also = checkpoint(sure.where("role > 0").select("key", F.col("label").alias("also")).distinct())
+    one_alias = also.groupBy("key").agg(F.min("also").alias("label"), F.count("*").alias("n")).where("n = 1").select("key", "label")
+    placed = checkpoint(placed.unionByName(one_alias.join(placed.select("key"), "key", "left_anti")))
+    every = checkpoint(found.select("key").distinct().join(placed, "key", "left").select("key", F.coalesce("label", F.concat(F.lit("m|"), "key")).alias("label")))
+    # an alias speaks for a party that has a good share of its mentions; one that many parties have is too general
+    shared = every.join(also, "key").groupBy("label", "also").agg(F.count("*").alias("n"))
+    whole = shared.groupBy("also").agg(F.sum("n").alias("all"))
+    edges = shared.where("label <> also").join(whole, "also").where(F.col("n") > F.col("all") * GENERAL).select(F.col("label").alias("a"), F.col("also").alias("b"))
     joined = components(edges).withColumnRenamed("node", "label")
     return every.join(joined, "label", "left").select("key", F.coalesce("component", "label").alias("party"))
 
 
-def mention_pairs(linked: DataFrame) -> DataFrame:
-    """key_a < key_b of all pairs of mentions of one party; the listing asks for every pair."""
-    a, b = linked.select("party", F.col("key").alias("key_a")), linked.select("party", F.col("key").alias("key_b"))
-    return a.join(b, "party").where("key_a < key_b").select("key_a", "key_b").distinct()
+def mention_pairs(linked: DataFrame, block: int = 1000) -> DataFrame:
+    """key_a < key_b of all pairs of mentions of one party; the listing asks for every pair.
+
+    The mentions of a party are joined to themselves in blocks of about `block`, so that a party with a third of
+    all mentions is spread over many tasks.
+    """
+    size = linked.groupBy("party").agg(F.ceil(F.count("*") / block).cast("int").alias("salts"))
+    sized = linked.select("party", "key").distinct().join(size, "party")
+    a = sized.select("party", F.col("key").alias("key_a"), F.pmod(F.xxhash64("key"), F.col("salts").cast("bigint")).cast("int").alias("salt"))
+    b = sized.select("party", F.col("key").alias("key_b"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    return a.join(b, ["party", "salt"]).where("key_a < key_b").select("key_a", "key_b")
+
+
+def parties(linked: DataFrame) -> DataFrame:
+    """key, party, mentions: each mention with its party and the number of mentions of that."""
+    return linked.select("key", "party").distinct().join(linked.select("key", "party").distinct().groupBy("party").agg(F.count("*").alias("mentions")), "party")

@@ -21,6 +21,7 @@ NUMBERED = re.compile(r"^\(?\d+(\.\d+)*[.)]\s+\S")
 ROMAN = re.compile(r"[ivxlc1]{1,7}")
 EDGES = "()[].,:;-–—_"
 NUMBER_LIKE = re.compile(r"[\dOoIlSsBbgZzQ|/.:\-+(]+")
+LOWER = re.compile(r"(?<!\S)[a-z]{4,}")
 SENTENCE_END = re.compile(r"[.!?:;,][\"'”’»)\]]*$")
 # Pairs and signs that scanners confuse, both sides of which become one sign.
 SAME_PAIRS = (("vv", "w"), ("rn", "m"), ("cl", "d"), ("ri", "n"), ("ii", "u"), ("in", "m"), ("li", "h"), ("ni", "m"))
@@ -92,7 +93,8 @@ class Page:
 
     def title_like(self, n: int) -> bool:
         s = self.lines[self.filled[n]].strip()
-        return 3 <= len(s) < 70 and not SENTENCE_END.search(s) and s[-1] not in "-‐‑¬­" and not NUMBERED.match(s) and bool(re.search(r"[^\W\d_]{3}", s)) and s[0] not in "\"'("
+        # titles set most words in capitals
+        return 3 <= len(s) < 70 and len(LOWER.findall(s)) <= 3 and not SENTENCE_END.search(s) and s[-1] not in "-‐‑¬­" and not NUMBERED.match(s) and bool(re.search(r"[^\W\d_]{3}", s)) and s[0] not in "\"'("
 
     def heads_number(self, n: int) -> bool:
         """Whether a line is one word with a number right under it, as a total has."""
@@ -166,6 +168,7 @@ class FurnitureModel:
     def __init__(self) -> None:
         self.perceptron = AveragedPerceptron()
         self.w: dict[str, float] = {}
+        self.lower = 0  # long words in lower case that furniture may have, as its seeds have no more
 
     def seed(self, page: Page, n: int, form: str, rate: dict[str, tuple[int, int]]) -> str | None:
         s = page.lines[page.filled[n]].strip()
@@ -187,12 +190,15 @@ class FurnitureModel:
                 if not page.figures[n]:
                     rate[form][0 if page.edge(n) else 1] += 1
         fixed = {f: (a, b) for f, (a, b) in rate.items()}
-        samples = []
+        samples, lower = [], [0]
         for page, own in zip(pages, forms):
             for n, form in enumerate(own):
                 label = self.seed(page, n, form, fixed)
                 if label:
                     samples.append((page.features(n, form), label))
+                    if label == FURNITURE:
+                        lower.append(len(LOWER.findall(page.lines[page.filled[n]])))
+        self.lower = sorted(lower)[int(0.999 * (len(lower) - 1))] + 1
         rng = random.Random(seed)
         for _ in range(rounds):
             rng.shuffle(samples)
@@ -206,6 +212,8 @@ class FurnitureModel:
         """Numbers (from 0) of the lines of a marked page that are furniture."""
         out = set()
         for n, k in enumerate(page.filled):
+            if len(LOWER.findall(page.lines[k])) > self.lower:
+                continue
             if sum(self.w.get(f, 0.0) for f in page.features(n, line_form(page.lines[k]))) > 0:
                 out.add(k)
         return out

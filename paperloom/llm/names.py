@@ -113,14 +113,14 @@ class Reader:
             self.cache[key] = near(w, self.business) if len(w) >= 5 else None
         return self.cache[key]
 
-    def given_word(self, w: str) -> str | None:
-        """The given name a word stands for; nicknames stay as they are."""
+    def seems_given(self, w: str) -> bool:
+        """Whether a word is a given name, an initial, or a slip of a given name. It stays as it is typed."""
         if w in self.given or w in NICKNAMES or len(w) == 1:
-            return w
+            return True
         key = "g:" + w
         if key not in self.cache:
-            self.cache[key] = near(w, self.given) if len(w) >= 3 else None
-        return self.cache[key]
+            self.cache[key] = near(w, self.given) if len(w) >= 4 else None
+        return self.cache[key] is not None
 
     def read(self, name: str) -> list[dict]:
         """The forms a name gives: the first is the name itself, others are names it says it also has."""
@@ -145,7 +145,7 @@ class Reader:
         content = [w for w in words if w not in SMALL and w != ","]
         kinds = [self.business_word(w) for w in content]
         legal = any(w in LEGAL for w in content)
-        if legal or sum(k is not None for k in kinds) >= 2 or (any(kinds) and len(content) > 1 and not any(self.given_word(w) for w in content)):
+        if legal or sum(k is not None for k in kinds) >= 2 or (any(kinds) and len(content) > 1 and not any(self.seems_given(w) for w in content)):
             trade = sorted({k for k in kinds if k})
             rest = [w for w, k in zip(content, kinds) if not k and w not in LEGAL]
             if not rest:
@@ -153,9 +153,9 @@ class Reader:
             core = max(rest, key=len, default="")
             acr = "".join((w if w == core else k)[0] for w, k in zip(content, kinds) if w == core or k)
             return [{"kind": "org", "core": plain_word(core), "given": " ".join(trade), "middle": "", "suffix": "", "acr": "".join(sorted(acr))}] if core else []
-        return self.read_person(words)
+        return self.read_person(words, low)
 
-    def read_person(self, words: list[str]) -> list[dict]:
+    def read_person(self, words: list[str], low: str = "") -> list[dict]:
         suffix = next((SUFFIXES[w] for w in words if w in SUFFIXES), "")
         words = [w for w in words if w not in SUFFIXES and w not in TITLES and w not in POSTNOMINALS and w != "&"]
         while words and words[-1] == ",":
@@ -170,7 +170,7 @@ class Reader:
             if len(last) > 1 and not first:
                 last, first = last[-1:], last[:-1]
         else:
-            known = [self.given_word(w) is not None or (len(w) <= 3 and any(g.startswith(w) for g in self.given)) for w in words]
+            known = [self.seems_given(w) or (len(w) <= 4 and f"{w}." in low and any(g.startswith(w) for g in self.given)) for w in words]
             if len(words) == 1:
                 last, first = words, []
             elif not known[0] and any(known[1:]) and (known[-1] or len(words[-1]) == 1):
@@ -179,34 +179,41 @@ class Reader:
                 last, first = words[-1:], words[:-1]
         given = first[0] if first else ""
         middle = next((w[0] for w in first[1:] if w), "")
-        if len(given) > 1:
-            given = self.given_word(given) or given
         cores = [plain_word(c) for c in (last[-1] if last else given).split("-")]
         return [{"kind": "person", "core": c, "given": given, "middle": middle, "suffix": suffix, "acr": ""} for c in cores if c]
 
 
-def same_given(a: str, b: str) -> bool:
-    """Whether two given names, of which none is a bare initial, can be one."""
+def same_given(a: str, b: str, own: Iterable[str] = GIVEN) -> bool:
+    """Whether two given names, of which none is a bare initial, can be one. Two that are both known as names of
+    their own (`own`) are one if they sound alike or one is short for the other, but not by a slip."""
     if a != b and set(NICKNAMES.get(a, ())) & set(NICKNAMES.get(b, ())):
         return True
-    if a == b or b in NICKNAMES.get(a, ()) or a in NICKNAMES.get(b, ()):
+    if a == b or b in NICKNAMES.get(a, ()) or a in NICKNAMES.get(b, ()) or skeleton(a) == skeleton(b):
         return True
     if a in GIVEN and b in GIVEN:
         return False
+    apart = a in own and b in own
     a, b = skeleton(a), skeleton(b)
-    if a == b:
-        return True
     short, long = sorted((a, b), key=len)
-    return (len(short) >= 2 and long.startswith(short)) or (len(short) >= 4 and distance(a, b, 1) <= 1)
+    return (len(short) >= 2 and long.startswith(short)) or (not apart and len(short) >= 4 and len(long) >= 5 and distance(a, b, 1) <= 1)
 
 
 def blocks(form: dict) -> list[str]:
-    """Where forms of one party meet: the line of business, or the initial of each given name that may be meant."""
+    """Where forms of one party meet: the line of business, or the initial sound of each given name that may be meant.
+
+    Sounds are those of `skeleton`, so Catherine and Katherine meet.
+    """
     if form["kind"] != "person":
         return [form["given"]]
     g = form["given"]
     full = [] if g in GIVEN else NICKNAMES.get(g, [])
-    return list(dict.fromkeys(plain(f)[0] for f in full)) or [g[:1]]
+    return list(dict.fromkeys(skeleton(f)[:1] for f in full)) or [skeleton(g)[:1]]
+
+
+def edits_allowed(a: str, b: str) -> int:
+    """Slips that two names may be apart: short names with a slip are other names."""
+    size = max(len(a), len(b))
+    return 0 if size < 4 else 1 if size < 7 else 2
 
 
 def close(a: str, b: str) -> int:
@@ -214,14 +221,15 @@ def close(a: str, b: str) -> int:
     return min(distance(a, b, 2), distance(skeleton(a), skeleton(b), 2) or 1) if a != b else 0
 
 
-def resolve(forms: list[tuple[str, str, str, str, int]]) -> list[tuple[list[str], bool]]:
+def resolve(forms: list[tuple[str, str, str, str, int]], own: Iterable[str] = ()) -> list[tuple[list[str], bool]]:
     """Parties of one family of names: for each form (kind, given, middle, suffix, count) the labels it
     can stand for, and whether a given name or business other than a nickname or initial stands behind them.
 
     Of persons, given names (nicknames and slips included), generations and, where they differ, middle
     initials tell parties apart; of organisations, their line of business. A form that leaves something
-    open gets all the parties that fit.
+    open gets all the parties that fit. `own` are given names that the corpus shows as names of their own.
     """
+    own = GIVEN | set(own)
     labels: list[list[str]] = [[] for _ in forms]
     persons = [i for i, f in enumerate(forms) if f[0] == "person"]
     weight: dict[str, int] = {}
@@ -231,7 +239,7 @@ def resolve(forms: list[tuple[str, str, str, str, int]]) -> list[tuple[list[str]
             weight[g] = weight.get(g, 0) + forms[i][4]
     roots: dict[str, str] = {}
     for g in sorted(weight, key=lambda g: (g in NICKNAMES and g not in GIVEN, len(g) < 4, g not in GIVEN, -weight[g], g)):
-        fits = [r for r in dict.fromkeys(roots.values()) if same_given(g, r)]
+        fits = [roots[h] for h in roots if same_given(g, h, own) and (h == roots[h] or skeleton(h) == skeleton(roots[h]))]
         roots[g] = fits[0] if fits else g
     groups: dict[str, list[int]] = {}
     for i in persons:
@@ -248,7 +256,7 @@ def resolve(forms: list[tuple[str, str, str, str, int]]) -> list[tuple[list[str]
         fits = [
             p
             for p in parties
-            if (given == "" or (p[0][0] == given if len(given) == 1 else p[0] == roots[given]))
+            if (given == "" or (skeleton(p[0])[:1] == skeleton(given)[:1] if len(given) == 1 else p[0] == roots[given]))
             and (not middle or not p[1] or p[1] == middle)
             and (not suffix or not p[2] or p[2] == suffix)
         ]

@@ -21,6 +21,10 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entities.mention_pairs(entities.link(read_table(spark, sf_dir, "entities"), read_table(spark, sf_dir, "files")))
 
 
+def p2_parties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entities.parties(entities.link(read_table(spark, sf_dir, "entities"), read_table(spark, sf_dir, "files")))
+
+
 def _inspected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scans.inspect_pages(scans.flagged_pages(read_table(spark, sf_dir, "document_pages"), read_table(spark, sf_dir, "files")))
 

@@ -280,15 +280,20 @@ def broken_terms(left: str, right: str) -> list[str]:
     return [tail.lower(), right.lower(), (tail + right).lower(), f"{tail}-{right}".lower(), f"{left}-{right}".lower(), *parts_of(left + right), *parts_of(left), *parts_of(right)]
 
 
-def page_terms(lines: list[str], body: list[int]) -> set[str]:
-    """All words of a page that a repair may have to look up."""
+def page_terms(lines: list[str], body: list[int], common: set[str], cache: dict[str, tuple[str, ...]]) -> set[str]:
+    """All words of a page that a repair may have to look up, without the common ones."""
     out: set[str] = set()
+    for t in {t for k in body for t in lines[k].split()}:
+        terms = cache.get(t)
+        if terms is None:
+            # what stands before a word may decide whether its bracket belongs to it
+            cores = {core for x in ("x " + t, "x. " + t) for _, core in list(tokens_of(x))[1:]}
+            terms = cache[t] = tuple({w for core in cores for w in parts_of(core)} - common - {""})
+        out.update(terms)
     for n, k in enumerate(body):
-        for _, core in tokens_of(lines[k]):
-            out.update(parts_of(core))
         broken = break_at(lines[k])
         if broken:
-            out.update(broken_terms(broken[0], first_word(lines[body[n + 1]])[0] if n + 1 < len(body) else ""))
+            out.update(set(broken_terms(broken[0], first_word(lines[body[n + 1]])[0] if n + 1 < len(body) else "")) - common)
     out.discard("")
     return out
 
@@ -496,19 +501,22 @@ def inspect_pages(pages: DataFrame) -> DataFrame:
     place = F.xxhash64("doc_id", "page_number")
     chosen = [marked(r["text"], r["page_number"], r["titles"]) for r in titled.orderBy(place, "doc_id", "page_number").limit(TRAINING_PAGES).collect()]
     model = FurnitureModel().train(chosen)
-    shared = spark.sparkContext.broadcast((set(common), model.w, editor.edit.w, editor.join.w, editor.ops, editor.bigrams, editor.margin))
+    shared = spark.sparkContext.broadcast((set(common), (model.w, model.lower), editor.edit.w, editor.join.w, editor.ops, editor.bigrams, editor.margin))
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         local = FurnitureModel()
-        skip, local.w = shared.value[:2]
+        skip, (local.w, local.lower) = shared.value[:2]
+        cache: dict[str, tuple[str, ...]] = {}
         for batch in batches:
+            if len(cache) > 200_000:
+                cache.clear()
             rows = []
             for d, n, t, own_titles in zip(batch["doc_id"], batch["page_number"], batch["text"], batch["titles"]):
                 page = marked(t, n, own_titles)
                 drop = local.lines(page)
                 body = [k for k in page.filled if k not in drop]
                 first, last = (page.lines[body[0]], page.lines[body[-1]]) if body else ("", "")
-                rows.append((d, n, t, sorted(drop), [w for w in page_terms(page.lines, body) if w not in skip], first, last))
+                rows.append((d, n, t, sorted(drop), sorted(page_terms(page.lines, body, skip, cache)), first, last))
             yield pd.DataFrame(rows, columns=["doc_id", "page_number", "text", "furniture", "terms", "first", "last"])
 
     found = checkpoint(titled.mapInPandas(find, "doc_id string, page_number int, text string, furniture array<int>, terms array<string>, first string, last string"))

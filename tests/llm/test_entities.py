@@ -119,3 +119,60 @@ def test_firms_with_a_business_word_unread_or_left_out(spark):
     party = {r["key"]: r["party"] for r in E.link(entities, files.limit(0)).collect()}
     assert party["E:0"] == party["E:1"] == party["E:2"] == party["E:3"] != party["E:4"]
     assert party["E:4"] == party["E:5"] and len({party["E:0"], party["E:4"], party["E:6"]}) == 3
+
+
+def linked(spark, names, aliases=None):
+    _, files = tables(spark)
+    rows = [(i, n, "zzz", (aliases or {}).get(i, [])) for i, n in enumerate(names)]
+    return {int(r["key"][2:]): r["party"] for r in E.link(spark.createDataFrame(rows, "entity_id bigint, name string, source_file string, aliases array<string>"), files.limit(0)).collect()}
+
+
+def test_short_given_names_are_names_of_their_own(spark):
+    assert N.Reader().read("Wei Wu")[0]["given"] == "wei" and N.Reader().read("Mary Stone")[0]["given"] == "mary"
+    assert [(f["core"], f["given"]) for f in N.Reader().read("Jane Lu")] == [("lu", "jane")]
+    party = linked(spark, ["Wei Wu", "Mei Wu", "Mary Stone", "Mark Stone", "Wei Wu", "Li Ng", "Li Nh"])
+    assert len({party[k] for k in (0, 1, 2, 3, 5, 6)}) == 6 and party[0] == party[4]
+
+
+def test_names_that_sound_alike_meet(spark):
+    party = linked(spark, ["Catherine Brandtholm", "Katherine Brandtholm", "Cathy Brandtholm", "Kathy Brandtholm", "Robert Brandtholm"])
+    assert len({party[k] for k in range(4)}) == 1 and party[4] != party[0]
+
+
+def test_slips_of_given_names(spark):
+    """A slip, also of the first letter, is told by its rarity; two frequent names stay two."""
+    names = ["Susan Krefolagust"] * 40 + ["Ssan Krefolagust", "Tusan Krefolagust"] + ["Marie Glodebanust"] * 3 + ["Maria Glodebanust"] * 3 + [f"{g} {s}" for g in ("Marie", "Maria") for s in ("Nustabegil", "Thostaregal")]
+    party = linked(spark, names)
+    assert party[0] == party[40] == party[41] and len(set(party.values())) == 7
+
+
+def test_roots_follow_any_number_of_steps(spark):
+    words = ["abcdefghij"]
+    for k in range(7):  # each two edits from the one before, and rarer
+        w = words[-1]
+        words.append(w[:k] + "z" + w[k + 1 :])
+    nodes = spark.createDataFrame([("person", "b", w, 1000 - 10 * k) for k, w in enumerate(words)], "kind string, block string, core string, n bigint")
+    pairs = spark.createDataFrame([("person", "b", *sorted((a, b)), 1) for a, b in zip(words, words[1:])], "kind string, block string, a string, b string, d int")
+    assert {r["root"] for r in E.roots(nodes, pairs).collect()} == {words[0]}
+
+
+def test_long_chains_are_one_component(spark):
+    edges = spark.createDataFrame([(f"n{k:03d}", f"n{k + 1:03d}") for k in range(150)], "a string, b string")
+    assert {r["component"] for r in E.components(edges).collect()} == {"n000"}
+
+
+def test_aliases_by_their_share(spark):
+    """An alias of one party is followed however many mentions it has; one that many parties share is not."""
+    firms = ["Zorblaxin Steel Inc", "Krefolagust Realty Inc", "Blidanorem Marine Inc", "Thostaregal Energy Inc"]
+    party = linked(spark, firms + ["Vufolind Steel Inc"] * 5, {**{k: ["Gemodifax Holdings LLC"] for k in range(4)}, **{k: ["Nustabegil Transport Inc"] for k in range(4, 9)}} | {0: ["Gemodifax Holdings LLC"]})
+    assert len({party[k] for k in range(4)}) == 4 and len({party[k] for k in range(4, 9)}) == 1
+    mentions = linked(spark, ["J. Krefolagust", "Jane Krefolagust", "John Krefolagust"] + ["J. Krefolagust"] * 4, {k: ["Jane Krefolagust"] for k in (0, 3, 4, 5, 6)})
+    assert {mentions[k] for k in (0, 3, 4, 5, 6)} == {mentions[1]} != {mentions[2]}
+
+
+def test_pairs_of_a_hot_party(spark):
+    rows = [("p", f"k{n:03d}") for n in range(60)] + [("q", "x"), ("q", "y"), ("q", "y"), ("r", "z")]
+    df = spark.createDataFrame(rows, "party string, key string")
+    got = [(r["key_a"], r["key_b"]) for r in E.mention_pairs(df, block=7).collect()]
+    assert len(got) == len(set(got)) == 60 * 59 // 2 + 1 and all(a < b for a, b in got)
+    assert {(r["key"], r["mentions"]) for r in E.parties(df).where("party <> 'p'").collect()} == {("x", 2), ("y", 2), ("z", 1)}
