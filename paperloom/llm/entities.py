@@ -126,38 +126,44 @@ def lookups(word: str, k: int) -> set[tuple[int, int, str]]:
     return out
 
 
-def similar_words(nodes: DataFrame, k: int = EDITS, sounds: bool = True) -> DataFrame:
+def similar_words(nodes: DataFrame, k: int = EDITS, sounds: bool = True, asking: DataFrame | None = None) -> DataFrame:
     """kind, block, a, b, d of the pairs of distinct words within the edits that names of their length allow
     (at most k), as typed or, with `sounds`, as they sound. Words of k letters or fewer match only themselves.
 
-    nodes: kind, block, core, distinct. They are spread over tasks by hash before they are looked up, as each
-    gives some forty substrings; adaptive execution splits the substrings that very many words share.
+    nodes: kind, block, core, distinct; each pair comes once, with a < b. With `asking`, rows of the same form, the
+    pairs are those of a word that asks (a) and another node (b). Words are spread over tasks by hash before they
+    are looked up, as each gives some forty substrings; adaptive execution splits substrings that very many words
+    share. What meets passes a bounded edit distance in the JVM, twice as wide as swaps count double there, before
+    the banded one decides.
     """
 
-    def spellings(core: str) -> set[str]:
-        return {core, N.skeleton(core)} if sounds else {core}
+    def spellings(core: str) -> dict[str, str]:
+        sound = N.skeleton(core) if sounds else core
+        return {w: sound for w in (core, sound)}
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(kind, block, f"{len(w)}:{n}:{s}", core) for kind, block, core in zip(batch["kind"], batch["block"], batch["core"]) for w in spellings(core) if len(w) > k for n, (_, s) in enumerate(segments(w, k))]
-            yield pd.DataFrame(rows, columns=["kind", "block", "seg", "b"]).drop_duplicates()
+            rows = [(kind, block, f"{len(w)}:{n}:{s}", core, sound) for kind, block, core in zip(batch["kind"], batch["block"], batch["core"]) for w, sound in spellings(core).items() if len(w) > k for n, (_, s) in enumerate(segments(w, k))]
+            yield pd.DataFrame(rows, columns=["kind", "block", "seg", "b", "sb"]).drop_duplicates()
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(kind, block, f"{length}:{n}:{s}", core) for kind, block, core in zip(batch["kind"], batch["block"], batch["core"]) for w in spellings(core) for length, n, s in lookups(w, k)]
-            yield pd.DataFrame(rows, columns=["kind", "block", "seg", "a"]).drop_duplicates()
+            rows = [(kind, block, f"{length}:{n}:{s}", core, sound) for kind, block, core in zip(batch["kind"], batch["block"], batch["core"]) for w, sound in spellings(core).items() for length, n, s in lookups(w, k)]
+            yield pd.DataFrame(rows, columns=["kind", "block", "seg", "a", "sa"]).drop_duplicates()
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            batch = batch.drop_duplicates().copy()
+            batch = batch.copy()
             batch["d"] = [N.close(a, b) if sounds else N.distance(a, b, k) for a, b in zip(batch["a"], batch["b"])]
             yield batch[[d <= min(k, N.edits_allowed(a, b)) for a, b, d in zip(batch["a"], batch["b"], batch["d"])]]
 
-    tasks = max(1, -(-nodes.count() // TASK_WORDS))
-    nodes = nodes.repartition(tasks, "core")
-    posted = nodes.mapInPandas(index, "kind string, block string, seg string, b string")
-    asked = nodes.mapInPandas(look, "kind string, block string, seg string, a string")
-    met = asked.join(posted, ["kind", "block", "seg"]).where("a < b").select("kind", "block", "a", "b").distinct()
+    def spread(words: DataFrame) -> DataFrame:
+        return words.repartition(max(1, -(-words.count() // TASK_WORDS)), "core")
+
+    posted = spread(nodes).mapInPandas(index, "kind string, block string, seg string, b string, sb string")
+    asked = spread(nodes if asking is None else asking).mapInPandas(look, "kind string, block string, seg string, a string, sa string")
+    near = (F.levenshtein("a", "b", 2 * k) >= 0) | (F.levenshtein("sa", "sb", 2 * k) >= 0)
+    met = asked.join(posted, ["kind", "block", "seg"]).where((F.col("a") < F.col("b")) if asking is None else (F.col("a") != F.col("b"))).where(near).select("kind", "block", "a", "b").distinct()
     return met.mapInPandas(verify, "kind string, block string, a string, b string, d int")
 
 
@@ -236,12 +242,19 @@ def resolve_families(families: DataFrame) -> DataFrame:
 
 def whole_lines(labels: DataFrame) -> DataFrame:
     """core, given, labels of the firms whose line of business is named in part: those of the nearest
-    spelling of the same name with a line that holds all of theirs and more."""
+    spelling of the same name with a line that holds all of theirs and more.
+
+    Firms meet under the words of their line: who names a part of it asks under one of these, who names none of
+    it under none, where all are posted.
+    """
     firms = checkpoint(labels.where("kind = 'org'").select("core", "given", "labels").distinct())
-    cores = firms.select(F.lit("org").alias("kind"), F.lit("").alias("block"), "core").distinct()
-    pairs = similar_words(cores).select("a", "b", "d")
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "d")).unionByName(cores.select(F.col("core").alias("a"), F.col("core").alias("b"), F.lit(0).alias("d")))
     line = lambda c: F.filter(F.split(c, " "), lambda x: x != "")
+    words = line(F.col("given"))
+    posted = firms.select(F.lit("org").alias("kind"), F.explode(F.array_append(words, F.lit(""))).alias("block"), "core").distinct()
+    asking = firms.select(F.lit("org").alias("kind"), F.coalesce(F.array_min(words), F.lit("")).alias("block"), "core").distinct()
+    pairs = similar_words(posted, asking=asking).select("a", "b", "d").distinct()
+    cores = firms.select("core").distinct()
+    both = pairs.unionByName(cores.select(F.col("core").alias("a"), F.col("core").alias("b"), F.lit(0).alias("d")))
     part, whole = firms.select(F.col("core").alias("a"), "given"), firms.select(F.col("core").alias("b"), F.col("given").alias("more"), "labels")
     wider = (F.col("given") != F.col("more")) & (F.size(F.array_except(line(F.col("given")), line(F.col("more")))) == 0)
     met = checkpoint(part.join(both, "a").join(whole, "b").where(wider))
