@@ -91,8 +91,16 @@ class Words:
     `common` are known words; `own` holds the facts on other words: (known, form, edits).
     """
 
-    def __init__(self, common: set[str] | dict[str, int], own: dict[str, tuple[bool, str | None, list[int]]] | None = None):
+    def __init__(self, common: set[str] | dict[str, int], own: dict[str, tuple[bool, str | None, list[int]]] | None = None, seen: dict[str, bool] | None = None):
         self.common, self.own = common, own or {}
+        self.seen = {} if seen is None else seen  # what `plain` has found, which pages may share
+
+    def plain(self, token: str) -> bool:
+        """Whether a token, as it stands between blanks, is a common word whatever stands before it."""
+        known = self.seen.get(token)
+        if known is None:
+            known = self.seen[token] = all(core.lower() in self.common for x in ("x " + token, "x. " + token) for _, core in list(tokens_of(x))[1:])
+        return known
 
     def known(self, w: str) -> bool:
         return w in self.common or self.own.get(w, (False,))[0]
@@ -381,8 +389,10 @@ def inspect_page(text: str, page_number: int, furniture: set[int], words: Words,
                 if nxt is not None:
                     check([(nxt, right_at, right)])
     for k in body:
+        if all(map(words.plain, lines[k].split())):  # most lines have known words only
+            continue
         for offset, core in tokens_of(lines[k]):
-            if words.known(core.lower()):  # most words are known ones
+            if words.known(core.lower()):
                 continue
             if (k, offset) not in taken and not any(k == a and offset <= b < offset + len(core) for a, b in taken):
                 check([(k, offset, core)])
@@ -438,6 +448,7 @@ def flagged_pages(pages: DataFrame, files: DataFrame) -> DataFrame:
 
 
 CORE = re.compile(r"^[\"'“”‘’«».,;:?!)\]}*_|(\[{]+|[\"'“”‘’«».,;:?!)\]}*_|]+$")
+CAPITAL = re.compile(r"(?<!\S)[^\w\s]*[A-ZÀ-Þ]\S{4,}")
 COUNTED = "kind string, doc_id string, page_number int, w string, clean bigint, n bigint"
 
 
@@ -456,7 +467,7 @@ def count_pages(pages: DataFrame) -> DataFrame:
                     for _, key, edge in Page(t, n).keys():
                         keys[key] = max(keys.get(key, 0), int(edge))
                     rows.extend(("h", d, n, key, 0, edge) for key, edge in keys.items())
-                    names = Counter(stem_of(core) for _, core in tokens_of(t) if core[:1].isupper() and len(core) > 4)
+                    names = Counter(stem_of(core) for x in CAPITAL.findall(t) for _, core in tokens_of(x) if core[:1].isupper() and len(core) > 4)
                     rows.extend(("n", d, None, w, 0, c) for w, c in names.items() if w.isalpha())
             stems: dict[str, list[int]] = {}
             for scanned, tokens in enumerate(counts):
@@ -542,11 +553,13 @@ def inspect_pages(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         local = editor_of(shared.value)
-        skip = shared.value[0]
+        skip, seen = shared.value[0], {}
         for batch in batches:
+            if len(seen) > 400_000:
+                seen.clear()
             rows = []
             for d, n, t, drop, known, before, after in zip(*(batch[c] for c in ("doc_id", "page_number", "text", "furniture", "facts", "before", "after"))):
-                lexicon = Words(skip, {x["w"]: (x["known"], x["form"], x["edits"]) for x in known} if known is not None else {})
+                lexicon = Words(skip, {x["w"]: (x["known"], x["form"], x["edits"]) for x in known} if known is not None else {}, seen)
                 kinds, repaired, continues = inspect_page(t, n, set(drop), lexicon, local, before or "", after or "")
                 rows.append((d, n, 0, "text", repaired, continues))
                 rows.extend((d, n, line, kind, None, None) for line, ks in sorted(kinds.items()) for kind in sorted(ks))
