@@ -16,6 +16,15 @@ BRACKET = r"\[[^\[\]]{2,}\]"
 CLAIM = r"(?:^|[.!?]\s+)([A-Z][^.!?]*(?:\d[\d,./%$]+|[A-Z][a-z]{2,})[^.!?]*[.!?])"
 TOKEN = r"\d[\d,./%$]+|[A-Z][a-z]{2,}"
 NOTE = r"\s*\[[^\]]*\]"
+NEGATION = r"\b(no|not|never|none|cannot|shall not|must not|may not)\b"
+STATUTE = r"\d+\s+(?:U\.?S\.?C\.?|C\.?F\.?R\.?)\s*§\s*\d+"
+# What answers may make up, as (kind, form, group of the name).
+NAMED = (
+    ("court", r"(?i)(?:Superior|District|Circuit|Supreme|Municipal|Family|Probate|Bankruptcy|Appellate|County)\s+Court\s+of\s+(?:[A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,3})", 0),
+    ("county", r"County\s+of\s+(?:[A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,3})", 0),
+    ("case number", r"(?i)(?:Case|Docket|Civil Action)\s+No\.\s*[\w-]+", 0),
+    ("party", r"(?i)(?:the\s+)?(?:plaintiff|defendant|petitioner|respondent|appellant|appellee)(?:'s?\s+|\s+)([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)", 1),
+)
 
 
 def brackets(answer: Column) -> Column:
@@ -104,15 +113,54 @@ def letter(score: Column) -> Column:
     return F.when(score >= 90, "A").when(score >= 80, "B").when(score >= 70, "C").when(score >= 60, "D").otherwise("F")
 
 
-def misattributed(answers: DataFrame, sources: DataFrame, threshold: float = 0.30) -> DataFrame:
-    """answer_id, cited_file, share: citations of a file that holds less than a share of the answer's key words.
+def attribution(answers: DataFrame, source_words: DataFrame, threshold: float = 0.30) -> DataFrame:
+    """answer_id, n, cited_file, share, wrong: for each sentence and file it cites, the share of its key words that
+    the file holds; a citation is wrong if that is less than the threshold.
 
-    sources: cited_file, text (lower case, the whole file).
+    source_words: cited_file, word, distinct, lower case. Words are joined by file and word, so no file's text is
+    gathered. Sentences without key words and files without words are not judged.
     """
-    words = answers.select("answer_id", keyword_set(F.regexp_replace("answer", NOTE, ""), W.CLAIM_STOP, 4).alias("w")).where(F.size("w") > 0)
-    rows = citations(answers).select("answer_id", "cited_file").distinct().join(words, "answer_id").join(sources, "cited_file")
-    share = F.size(F.filter("w", lambda x: F.col("text").contains(x))) / F.size("w")
-    return rows.select("answer_id", "cited_file", F.round(share, 6).alias("share")).where(F.col("share") < threshold)
+    sentences = answers.select("answer_id", F.posexplode(F.split(F.regexp_replace("answer", r", p\.\s+", ", p."), r"\. ")).alias("n", "sentence"))
+    cited = sentences.select("answer_id", (F.col("n") + 1).alias("n"), "sentence", F.explode(F.regexp_extract_all("sentence", F.lit(CITED), F.lit(0))).alias("c"))
+    cited = cited.select("answer_id", "n", "sentence", F.trim(F.regexp_extract("c", CITED, 1)).alias("cited_file")).distinct()
+    words = cited.select("answer_id", "n", "cited_file", F.explode(keyword_set(F.regexp_replace("sentence", NOTE, ""), W.CLAIM_STOP, 4)).alias("word"))
+    words = words.join(source_words.select("cited_file").distinct(), "cited_file", "left_semi")
+    share = F.avg(F.col("held").isNotNull().cast("double"))
+    met = words.join(source_words.select("cited_file", "word", F.lit(1).alias("held")), ["cited_file", "word"], "left")
+    return met.groupBy("answer_id", "n", "cited_file").agg(share.alias("s")).select("answer_id", "n", "cited_file", F.round("s", 6).alias("share"), (F.col("s") < threshold).alias("wrong"))
+
+
+def fabricated(answers: DataFrame, sources: DataFrame) -> DataFrame:
+    """answer_id, kind, name of the courts, counties, case numbers and parties in answers that no source of their
+    document names, in any case.
+
+    answers: answer_id, doc_id, answer. sources: doc_id, text. Names are few and short; they meet the texts of
+    their document one by one, so no text is gathered.
+    """
+    found = None
+    for kind, pattern, group in NAMED:
+        one = answers.select("answer_id", "doc_id", F.lit(kind).alias("kind"), F.explode(F.regexp_extract_all("answer", F.lit(pattern), F.lit(group))).alias("name"))
+        found = one if found is None else found.unionByName(one)
+    found = found.where(F.octet_length("name") >= 4).distinct()
+    held = found.select("doc_id", "name").distinct().join(sources, "doc_id").where(F.lower("text").contains(F.lower("name"))).select("doc_id", "name").distinct()
+    return found.join(held, ["doc_id", "name"], "left_anti").select("answer_id", "kind", "name")
+
+
+def strong_claims(answers: DataFrame, held: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """answer_id, claim, kind, share, supported of sentences with a strong qualifier, or with a denial of a legal
+    matter, and the share of their key words that the sources have.
+
+    answers: answer_id, doc_id, own (hash of the text the answer is made from, which is no source), answer. held:
+    doc_id, word, n (texts that have it), h (hash of one of them).
+    """
+    made = F.filter(F.transform(F.regexp_extract_all("answer", F.lit(r"[^.!?\n]+[.!?]"), F.lit(0)), lambda x: F.trim(F.regexp_replace(x, NOTE, ""))), lambda x: F.octet_length(x) >= 15)
+    rows = answers.select("answer_id", "doc_id", "own", F.explode(F.array_distinct(made)).alias("claim"))
+    low = F.lower("claim")
+    kind = F.when(any_of(low, W.QUALIFIERS), "qualifier").when(low.rlike(NEGATION) & any_of(low, W.LEGAL_TERMS), "negation")
+    words = rows.withColumn("kind", kind).where("kind is not null").withColumn("word", F.explode(keyword_set(F.col("claim"), W.CLAIM_STOP, 4)))
+    met = words.join(held, ["doc_id", "word"], "left")
+    share = F.avg(F.when((F.col("n") > 1) | (F.col("h") != F.col("own")), 1.0).otherwise(0.0))
+    return met.groupBy("answer_id", "claim", "kind").agg(F.round(share, 6).alias("share"), (share >= threshold).alias("supported"))
 
 
 def not_found(answer: Column) -> Column:
@@ -125,3 +173,8 @@ def confidence_prefix(answer: Column, best_cosine: Column) -> Column:
     given_up = answer.startswith("This information is not present") | answer.startswith("I could not find") | answer.startswith("The provided documents do not")
     weak, fair = "Based on limited matching in your documents: ", "Based on the available document excerpts: "
     return F.when(given_up, answer).when(best_cosine < 0.30, F.concat(F.lit(weak), answer)).when(best_cosine < 0.55, F.concat(F.lit(fair), answer)).otherwise(answer)
+
+
+def graded_confidence(confidence: Column, grade: Column) -> Column:
+    """0.6 of the grade (0 to 100) and 0.4 of the heuristic confidence."""
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.6 * grade / 100 + 0.4 * confidence))

@@ -5,16 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# The forms of dates, amounts and clause headings, and the roles of parties.
+# The forms of dates, amounts, clause headings and named parties.
 DATE = r"\b(?:January|February|March|April|May|June|July|August|September|October|November|December)\s+\d{1,2},?\s+\d{4}\b|\b\d{1,2}/\d{1,2}/\d{2,4}\b|\b\d{4}-\d{2}-\d{2}\b"
 AMOUNT = r"\$[\d,]+(?:\.\d{2})?"
 CLAUSE = r"^(?:Section\s+\d+[.:]\s*|Article\s+[IVX\d]+[.:]\s*|ARTICLE\s+[IVX\d]+[.:]\s*|\d+\.\d+\s+).{5,80}$"
-ROLES = ("Landlord", "Tenant", "Buyer", "Seller", "Employer", "Employee", "Plaintiff", "Defendant", "Licensor", "Licensee", "Borrower", "Lender", "Lessor", "Lessee")
-NAMED = r"(?i)\b(landlord|tenant|buyer|seller|employer|employee|plaintiff|defendant|licensor|licensee|borrower|lender|lessor|lessee|subject|from|to)\s*:\s*([A-Z][a-zA-Z .]+)"
-ENTITY_SQL = r"""
-with m as (select doc_id, page_number, unnest(regexp_extract_all(text, '""" + NAMED.replace("{", "{{").replace("}", "}}") + r"""')) as x from {pages}),
-e as (select doc_id, page_number, lower(regexp_extract(x, '^\s*(\w+)', 1)) as role, trim(regexp_extract(x, ':\s*(.*)$', 1)) as name from m)
-select doc_id, page_number, role, name, count(*) as mentions from e where strlen(name) > 2 and strlen(name) < 60 group by doc_id, page_number, role, name"""
+TITLED = r"(?i)(landlord|tenant|buyer|seller|employer|employee|plaintiff|defendant|licensor|licensee|borrower|lender|lessor|lessee)\s*:\s*([A-Z][a-zA-Z\s.]+?)(?:\n|,|\()"
+BETWEEN = r"(?i)between\s+([A-Z][a-zA-Z\s.]+?)\s+(?:\(.*?\)\s+)?and\s+([A-Z][a-zA-Z\s.]+?)(?:\s*\(|\s*,|\s*\.)"
+PARTY_BETWEEN = r"(?i)(?:between|by and between)\s+([A-Z][a-zA-Z\s,.]+?)(?:\s+\(|,\s+a\s+|,\s+an\s+|\s+and\s+)"
+PARTY_TITLED = r"(?i)(landlord|tenant|buyer|seller|employer|employee|licensor|licensee|borrower|lender|plaintiff|defendant|lessor|lessee)\s*:\s*([A-Z][a-zA-Z\s.]+)"
+CLAUSE_LINE = r"(?m)^(?:Section\s+\d+[.:]\s*|Article\s+[IVX\d]+[.:]\s*|ARTICLE\s+[IVX\d]+[.:]\s*|\d+\.\d+\s+)(.{5,80})$"
 
 
 def all_matches(pages: DataFrame, pattern: str, name: str) -> DataFrame:
@@ -37,8 +36,45 @@ def clause_lines(pages: DataFrame) -> DataFrame:
     return rows.where(kept).select("doc_id", "page_number", (F.col("n") + 1).cast("bigint").alias("line"), "clause")
 
 
+def tidy(name: Column) -> Column:
+    """A name without the blanks around it."""
+    return F.regexp_replace(name, r"^\s+|\s+$", "")
+
+
 def role_entities(pages: DataFrame) -> DataFrame:
-    """doc_id, page_number, role, name, mentions of "role: name" on a page."""
-    found = pages.select("doc_id", "page_number", F.explode(F.regexp_extract_all("text", F.lit(NAMED), F.lit(0))).alias("x"))
-    named = found.select("doc_id", "page_number", F.lower(F.regexp_extract("x", r"^\s*(\w+)", 1)).alias("role"), F.trim(F.regexp_extract("x", r":\s*(.*)$", 1)).alias("name"))
-    return named.where((F.octet_length("name") > 2) & (F.octet_length("name") < 60)).groupBy("doc_id", "page_number", "role", "name").agg(F.count("*").alias("mentions"))
+    """doc_id, page_number, role, name, mentions of "role: name" on a page; a name ends at a comma, bracket or line end."""
+    found = pages.select("doc_id", "page_number", F.explode(F.regexp_extract_all("text", F.lit(TITLED), F.lit(0))).alias("x"))
+    named = found.select("doc_id", "page_number", F.lower(F.regexp_extract("x", TITLED, 1)).alias("role"), tidy(F.regexp_extract("x", TITLED, 2)).alias("name"))
+    return named.where(F.octet_length("name").between(3, 59)).groupBy("doc_id", "page_number", "role", "name").agg(F.count("*").alias("mentions"))
+
+
+def between_entities(pages: DataFrame) -> DataFrame:
+    """doc_id, page_number, name of the two sides of each "between X and Y" on a page."""
+    found = pages.select("doc_id", "page_number", F.explode(F.regexp_extract_all("text", F.lit(BETWEEN), F.lit(0))).alias("x"))
+    sides = found.select("doc_id", "page_number", F.explode(F.array(*[tidy(F.regexp_extract("x", BETWEEN, k)) for k in (1, 2)])).alias("name"))
+    return sides.where(F.octet_length("name").between(3, 59)).distinct()
+
+
+def fact_sheets(pages: DataFrame, most_clauses: int = 15, summary: int = 200) -> DataFrame:
+    """doc_id, page_number, parties, dates, amounts, key_clauses, summary of each page's text.
+
+    Repeats that follow each other directly count once; of the clauses the first `most_clauses` are kept, headings
+    before lines in capitals. A document's sheet is that of its pages, one after the other.
+    """
+    matched = lambda pattern, group: F.regexp_extract_all("text", F.lit(pattern), F.lit(group))
+    named = F.zip_with(matched(PARTY_TITLED, 1), matched(PARTY_TITLED, 2), lambda role, name: F.concat(role, F.lit(": "), tidy(name)))
+    parties = F.concat(F.transform(matched(PARTY_BETWEEN, 1), tidy), named)
+    lines = F.transform(F.split("text", r"\r?\n"), tidy)
+    letters = lambda x: F.regexp_replace(x, r"[^\p{L}]", "")
+    capitals = F.filter(lines, lambda x: F.octet_length(x).between(4, 79) & (F.length(letters(x)) > 3) & ~letters(x).rlike(r"[^\p{Lu}]"))
+    clauses = F.concat(F.transform(matched(CLAUSE_LINE, 1), tidy), capitals)
+    once = lambda values: F.filter(values, lambda x, i: (i == 0) | (x != F.get(values, i - 1)))
+    rows = pages.select("doc_id", "page_number", "text", parties.alias("p"), matched(DATE, 0).alias("d"), matched(AMOUNT, 0).alias("a"), clauses.alias("c"))
+    return rows.select("doc_id", "page_number", once(F.col("p")).alias("parties"), once(F.col("d")).alias("dates"), once(F.col("a")).alias("amounts"), F.slice(once(F.col("c")), 1, most_clauses).alias("key_clauses"), tidy(F.substring("text", 1, summary)).alias("summary"))
+
+
+def fact_lists(texts: DataFrame, terms: tuple[str, ...]) -> DataFrame:
+    """doc_id, dates, amounts, terms: the first 8 different dates and amounts, and the first 10 legal terms, of a text."""
+    first = lambda pattern: F.slice(F.array_distinct(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))), 1, 8)
+    held = F.filter(F.array(*map(F.lit, terms)), lambda t: F.lower("text").contains(t))
+    return texts.select("doc_id", first(DATE).alias("dates"), first(AMOUNT).alias("amounts"), F.slice(held, 1, 10).alias("terms"))

@@ -28,11 +28,15 @@ def boosted(fused: DataFrame, form_boost: float = 0.15, intro_boost: float = 0.0
     return base.withColumn("score", F.round(F.col("score") + F.when(due, gain).otherwise(0.0), 9)).drop("middle")
 
 
-def alpha_blend(scored: DataFrame, alpha: float = 0.5) -> DataFrame:
-    """alpha * cosine + (1 - alpha) * bm25 / largest bm25 of the query."""
+def alpha_blend(scored: DataFrame, alpha: float = 0.5, form_boost: float = 0.0) -> DataFrame:
+    """alpha * cosine + (1 - alpha) * bm25 / largest bm25 of the query; with a boost, filled forms (by `text`) gain
+    it and the score is at most 1."""
     most = F.max("bm25").over(Window.partitionBy("query_id"))
     share = F.when(most > 0, F.col("bm25") / most).otherwise(0.0)
-    return scored.withColumn("score", F.round(alpha * F.col("cosine") + (1 - alpha) * share, 8))
+    score = alpha * F.col("cosine") + (1 - alpha) * share
+    if form_boost:
+        score = F.least(F.lit(1.0), score + F.when(F.col("text").startswith("FILLED FORM DATA"), form_boost).otherwise(0.0))
+    return scored.withColumn("score", F.round(score, 8))
 
 
 def adaptive_cut(ranked: DataFrame, top_k: int, gap: float) -> DataFrame:

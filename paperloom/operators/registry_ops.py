@@ -84,3 +84,35 @@ def paired_turns(messages: DataFrame, last: int = 3) -> DataFrame:
     pairs = nxt.where("role = 'user' and next_role = 'assistant'")
     back = F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("turn")))
     return pairs.withColumn("back", back).where(F.col("back") <= last).select("session_id", F.col("content").alias("user"), F.col("answer").alias("assistant"), "back")
+
+
+def search_names(named: DataFrame, terms: DataFrame) -> DataFrame:
+    """word and the row of each of the names that have it, in any case and as a part; terms: word, few."""
+    return named.join(F.broadcast(terms), F.lower("name").contains(F.lower("word")))
+
+
+def summaries(sessions: DataFrame, excluded: DataFrame) -> DataFrame:
+    """session_id, case_id, summary of sessions with a summary, without the one excluded for their case.
+
+    excluded: case_id, exclude (null excludes none).
+    """
+    shown = sessions.where(F.coalesce("summary", F.lit("")) != "").join(excluded, "case_id", "left")
+    return shown.where(~F.col("session_id").eqNullSafe(F.col("exclude"))).select("session_id", "case_id", "summary")
+
+
+def without(rows: DataFrame, key: str, value) -> DataFrame:
+    """Rows after the one with a key is deleted; null keys stay."""
+    return rows.where(~F.col(key).eqNullSafe(F.lit(value)))
+
+
+def path_of_url(url: Column) -> Column:
+    """The path a percent-encoded URL path names; a plus stays a plus, and what is no code stays as it is."""
+    return F.coalesce(F.try_url_decode(F.replace(url, F.lit("+"), F.lit("%2B"))), url)
+
+
+def excerpt_place(page: Column, excerpt: Column) -> tuple[Column, Column]:
+    """(how, where) an excerpt stands on a page: whole, most or half of it, or none at place 0; both with single blanks."""
+    at = lambda share: F.instr(page, F.substring(excerpt, F.lit(1), F.floor(F.length(excerpt) * share).cast("int")))
+    whole, most, half = F.instr(page, excerpt), at(0.7), at(0.35)
+    kind = F.when(whole > 0, "whole").when(most > 0, "most").when(half > 0, "half").otherwise("none")
+    return kind, F.when(whole > 0, whole).when(most > 0, most).otherwise(half)

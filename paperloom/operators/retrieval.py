@@ -83,6 +83,61 @@ def mmr(scores: list[float], matrix: np.ndarray, k: int, lam: float) -> list[int
     return chosen
 
 
+def mmr_rounds(rows: DataFrame, group: str, id_: str, score: str, vector: str, k: int, lam: float) -> DataFrame:
+    """group, id, place: k rows of each group, one after the other, each relevant and unlike those before.
+
+    The same choice as `mmr`, for groups of any size: a round takes the best row of each group by an aggregate,
+    and joins it back to all rows of the group. Negative similarity counts 0, ties go to the smaller id.
+    """
+    left = rows.select(group, id_, F.col(score).alias("s"), F.col(vector).alias("v"), F.lit(0.0).alias("near"))
+    chosen = None
+    for place in range(1, k + 1):
+        worth = F.col("s") if place == 1 else F.round(lam * F.col("s") - (1 - lam) * F.col("near"), 9)
+        best = checkpoint(left.groupBy(group).agg(F.max_by(F.struct(id_, "v"), F.struct(worth.alias("w"), (-F.col(id_)).alias("i"))).alias("b")))
+        one = best.select(group, F.col(f"b.{id_}").alias(id_), F.lit(place).alias("place"))
+        chosen = one if chosen is None else chosen.unionByName(one)
+        if place < k:
+            taken = best.select(group, F.col(f"b.{id_}").alias("taken"), F.col("b.v").alias("tv"))
+            near = F.greatest("near", F.round(vectors.cosine(F.col("v"), F.col("tv")), 6))
+            left = left.join(taken, group).where(F.col(id_) != F.col("taken")).withColumn("near", near).drop("taken", "tv")
+    return chosen
+
+
+def distinct_texts(rows: DataFrame, group: str, threshold: float) -> DataFrame:
+    """The rows (group, rank, text) that `drop_near_duplicates` keeps in each group, for groups of any size.
+
+    Texts of the same words are one, of which the first rank counts. The others meet by prefix filtering: two
+    word sets with a Jaccard similarity over the threshold share one of their rarest words. Then, round after
+    round, a row is kept once all similar rows before it are dropped, and dropped once one of them is kept.
+    Texts without words are like no other.
+    """
+    words = F.array_distinct(F.filter(F.split("text", r"\s+"), lambda x: x != ""))
+    sets = rows.select(group, "rank", words.alias("w"), F.sha2(F.array_join(F.array_sort(words), " "), 256).alias("h"))
+    empty = sets.where(F.size("w") == 0).select(group, "rank")
+    full = sets.where(F.size("w") > 0)
+    first = checkpoint(full.groupBy(group, "h").agg(F.min("rank").alias("rank"), F.first("w").alias("w")))
+    seen = first.select(F.explode("w").alias("x")).groupBy("x").agg(F.count("*").alias("df"))
+    weighed = first.select(group, "rank", F.size("w").alias("n"), F.explode("w").alias("x")).join(seen, "x").groupBy(group, "rank", "n").agg(F.array_sort(F.collect_list(F.struct("df", "x"))).alias("o"))
+    prefix = F.slice("o", 1, F.col("n") - F.ceil(F.lit(threshold) * F.col("n")).cast("int") + 1)
+    posted = weighed.select(group, "rank", "n", F.explode(prefix).alias("p")).select(group, "rank", "n", F.col("p.x").alias("x"))
+    a, b = posted.select(group, "x", F.col("rank").alias("early"), F.col("n").alias("na")), posted.select(group, "x", F.col("rank").alias("late"), F.col("n").alias("nb"))
+    met = a.join(b, [group, "x"]).where((F.col("early") < F.col("late")) & (F.least("na", "nb") > threshold * F.greatest("na", "nb"))).select(group, "early", "late").distinct()
+    w = first.select(group, "rank", "w")
+    both = met.join(w.select(group, F.col("rank").alias("early"), F.col("w").alias("wa")), [group, "early"]).join(w.select(group, F.col("rank").alias("late"), F.col("w").alias("wb")), [group, "late"])
+    edges = checkpoint(both.where(F.size(F.array_intersect("wa", "wb")) / F.size(F.array_union("wa", "wb")) > threshold).select(group, "early", "late"))
+    open_ = checkpoint(edges.select(group, F.col("late").alias("rank")).distinct())
+    dropped = open_.limit(0)
+    while not open_.isEmpty():
+        # an open row is decided when none of the rows before it that are like it is open
+        waiting = edges.join(open_.withColumnRenamed("rank", "early"), [group, "early"], "left_semi").select(group, F.col("late").alias("rank")).distinct()
+        ready = open_.join(waiting, [group, "rank"], "left_anti")
+        like_kept = edges.join(dropped.withColumnRenamed("rank", "early"), [group, "early"], "left_anti").select(group, F.col("late").alias("rank")).distinct()
+        dropped = checkpoint(dropped.unionByName(ready.join(like_kept, [group, "rank"], "left_semi")))
+        open_ = checkpoint(open_.join(ready, [group, "rank"], "left_anti"))
+    kept = first.select(group, "rank").join(dropped, [group, "rank"], "left_anti").unionByName(empty)
+    return rows.join(kept, [group, "rank"], "left_semi")
+
+
 def text_class(threshold: float) -> Column:
     """A key that texts of the same words share, as only the first of them can outlive near-duplicate
     removal; texts without words have one each."""
@@ -93,24 +148,53 @@ def text_class(threshold: float) -> Column:
     return F.when(F.size(words) == 0, own).otherwise(F.sha2(F.array_join(F.array_sort(words), " "), 256))
 
 
+def both_lists(corpus: DataFrame, queries: DataFrame) -> DataFrame:
+    """query_id, doc_id, bm25, cosine, b, c: every row of the corpus for every query, with its exact ranks in the
+    lexical (b) and the vector (c) list.
+
+    A row that shares no term with the query, or has no usable vector, counts 0 in that list; ties stand by id.
+    corpus: doc_id, text, vector. queries: query_id, term, mult and the query's vector on each row of it.
+    """
+    asked = queries.groupBy("query_id").agg(F.first("vector").alias("vector"))
+    lexical = bm25.score(corpus, queries.select("query_id", "term", "mult"))
+    near = vectors.similarities(corpus, asked.withColumnRenamed("query_id", "doc_id"), id_="doc_id")
+    none = F.lit(None).cast("double")
+    # the stated queries against all rows: the answer itself has a row for each pair
+    every = F.broadcast(asked.select("query_id")).crossJoin(corpus.select(F.col("doc_id").cast("bigint").alias("doc_id"))).select("query_id", "doc_id", none.alias("bm25"), none.alias("cosine"))
+    rows = every.unionByName(lexical.select("query_id", "doc_id", F.col("score").alias("bm25"), none.alias("cosine"))).unionByName(near.select("query_id", "doc_id", none.alias("bm25"), F.col("score").alias("cosine")))
+    both = rows.repartition("query_id").groupBy("query_id", "doc_id").agg(F.coalesce(F.max("bm25"), F.lit(0.0)).alias("bm25"), F.coalesce(F.max("cosine"), F.lit(0.0)).alias("cosine"))
+    w = Window.partitionBy("query_id")
+    return both.withColumn("b", F.row_number().over(w.orderBy(F.desc("bm25"), "doc_id"))).withColumn("c", F.row_number().over(w.orderBy(F.desc("cosine"), "doc_id")))
+
+
+def merge_variants(corpus: DataFrame, variants: DataFrame, k: float = 60.0) -> DataFrame:
+    """query_id, doc_id, score: the lexical lists of all variants of a query, merged by their reciprocal ranks.
+
+    variants: query_id, variant, term, mult. The corpus is tokenised once for all of them.
+    """
+    named = variants.select(F.struct("query_id", "variant").alias("query_id"), "term", "mult")
+    ranked = bm25.score(corpus, named).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")))
+    return ranked.groupBy(F.col("query_id.query_id").alias("query_id"), "doc_id").agg(F.round(F.sum(1.0 / (k + F.col("rank"))), 9).alias("score"))
+
+
+def route(best: Column, floors: dict[str, float]) -> Column:
+    """The mode with the highest floor that the best cosine reaches, or not_found; null counts as nothing found."""
+    out = F.lit("not_found")
+    for mode, floor in sorted(floors.items(), key=lambda f: f[1]):
+        out = F.when(best >= floor, mode).otherwise(out)
+    return out
+
+
 class Hybrid:
     """BM25 and cosine, fused by reciprocal ranks; short queries give both lists smaller constants."""
 
     def fuse(self, corpus: DataFrame, queries: DataFrame) -> DataFrame:
         """query_id, doc_id, score of every row of the corpus for every query, from its exact ranks in both lists.
 
-        A row that shares no term with the query, or has no usable vector, counts 0 in that list; ties
-        stand by id. A query without a usable vector has the lexical list only.
+        A query without a usable vector has the lexical list only.
         """
         asked = queries.groupBy("query_id").agg(F.first("vector").alias("vector"), F.first("words").alias("words"))
-        lexical = bm25.score(corpus, queries.select("query_id", "term", "mult"))
-        near = vectors.similarities(corpus, asked.withColumnRenamed("query_id", "doc_id"), id_="doc_id")
-        none = F.lit(None).cast("double")
-        every = F.broadcast(asked.select("query_id")).crossJoin(corpus.select(F.col("doc_id").cast("bigint").alias("doc_id"))).select("query_id", "doc_id", none.alias("bm25"), none.alias("cosine"))
-        rows = every.unionByName(lexical.select("query_id", "doc_id", F.col("score").alias("bm25"), none.alias("cosine"))).unionByName(near.select("query_id", "doc_id", none.alias("bm25"), F.col("score").alias("cosine")))
-        both = rows.repartition("query_id").groupBy("query_id", "doc_id").agg(F.coalesce(F.max("bm25"), F.lit(0.0)).alias("bm25"), F.coalesce(F.max("cosine"), F.lit(0.0)).alias("cosine"))
-        w = Window.partitionBy("query_id")
-        ranked = both.withColumn("b", F.row_number().over(w.orderBy(F.desc("bm25"), "doc_id"))).withColumn("c", F.row_number().over(w.orderBy(F.desc("cosine"), "doc_id")))
+        ranked = both_lists(corpus, queries)
         of_query = asked.select("query_id", (F.col("words") <= 5).alias("short"), vectors.usable(F.col("vector"), 64).alias("seen"))
         part = lambda rank, usual, few: 1.0 / (F.when(F.col("short"), few).otherwise(usual) + F.col(rank))
         score = part("b", 60.0, 20.0) + F.when(F.col("seen"), part("c", 60.0, 40.0)).otherwise(0.0)

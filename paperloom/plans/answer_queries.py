@@ -10,8 +10,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions import words as W
+from paperloom.functions.text import keyword_set
 from paperloom.operators import answers as A
+from paperloom.operators import bm25
 from paperloom.operators import context as C
+from paperloom.operators import evaluation as E
 from paperloom.operators import registry_ops as R
 from paperloom.plans.registry import query
 from paperloom.plans.text_queries import _HEADER_SQL, _quote, sql_any
@@ -70,14 +73,21 @@ def assert_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _answers(spark, sf_dir).join(amounts, "doc_id").select("answer_id", "amount", F.col("answer").contains(F.col("amount")).alias("exact"))
 
 
-@query(rf"""with {_ANSWERS}, s as (select file_name as cited_file, lower(string_agg(text, ' ' order by chunk_index, page_number, text)) as t from c group by file_name),
-w as (select answer_id, list_distinct(list_filter(regexp_split_to_array(lower(regexp_replace(answer, '{A.NOTE}', '', 'g')), '[^\p{{L}}\p{{N}}]+'), lambda x: strlen(x) >= 4 and x not in ({", ".join(map(_quote, W.CLAIM_STOP))}))) as w from a),
-b as (select distinct answer_id, trim(regexp_extract(x, '{A.CITED}', 1)) as cited_file from (select answer_id, unnest(regexp_extract_all(answer, '{A.CITED}')) as x from a)),
-r as (select answer_id, cited_file, round(len(list_filter(w, lambda x: contains(t, x))) / len(w), 6) as share from b join w using (answer_id) join s using (cited_file) where len(w) > 0) select * from r where share < 0.3""")
+_OTHER_SUBJECT = ", while a zoologist of the northern aquarium measured seventeen penguins, walruses, narwhals and albatrosses"
+
+
+@query(rf"""with {_ANSWERS}, o as (select answer_id, case when chunk_index % 3 = 0 then regexp_extract(answer, '^\W*\w+') || '{_OTHER_SUBJECT}' || regexp_extract(answer, ' \[[^\[\]]*\]$') else answer end as answer from a),
+s as (select answer_id, unnest(x) as sentence, generate_subscripts(x, 1) as n from (select answer_id, string_split(regexp_replace(answer, ', p\.\s+', ', p.', 'g'), '. ') as x from o)),
+y as (select distinct answer_id, n, sentence, trim(regexp_extract(c, '{A.CITED}', 1)) as cited_file from (select *, unnest(regexp_extract_all(sentence, '{A.CITED}')) as c from s)),
+w as (select answer_id, n, cited_file, unnest(list_distinct(list_filter(regexp_split_to_array(lower(regexp_replace(sentence, '{A.NOTE}', '', 'g')), '[^\p{{L}}\p{{N}}]+'), lambda x: strlen(x) >= 4 and x not in ({", ".join(map(_quote, W.CLAIM_STOP))})))) as word from y),
+k as (select distinct file_name as cited_file, unnest(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+')) as word from c), r as (select answer_id, w.n, w.cited_file, avg(case when k.word is null then 0.0 else 1.0 end) as share from w left join k using (cited_file, word) where w.cited_file in (select cited_file from k) group by all)
+select answer_id, n, cited_file, round(share, 6) as share, share < 0.3 as wrong from r""", wide=("n",))
 def misattribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "page_number", "text"))), lambda p: p["text"])
-    sources = _chunks(spark, sf_dir).groupBy(F.col("file_name").alias("cited_file")).agg(F.lower(F.array_join(texts, " ")).alias("text"))
-    return A.misattributed(_answers(spark, sf_dir), sources)
+    """Every third answer speaks of something that its file doesn't hold."""
+    words = _chunks(spark, sf_dir).select(F.col("file_name").alias("cited_file"), F.explode(F.split(F.lower("text"), r"[^\p{L}\p{N}]+")).alias("word")).distinct()
+    a = _answers(spark, sf_dir)
+    other = F.concat(F.regexp_extract("answer", r"^\W*\w+", 0), F.lit(_OTHER_SUBJECT), F.regexp_extract("answer", r" \[[^\[\]]*\]$", 0))
+    return A.attribution(a.select("answer_id", F.when(F.col("chunk_index") % 3 == 0, other).otherwise(F.col("answer")).alias("answer")), words)
 
 
 def _count_sql(text: str, phrases: tuple[str, ...]) -> str:
@@ -117,27 +127,48 @@ def grade_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.withColumn("overall", total).select("answer_id", *[F.round(c, 4).alias(c) for c in five], "overall", A.letter(F.col("overall")).alias("letter"))
 
 
-# --- evaluation: cases are the amounts of a file's fact sheet, rankings its chunks by size or by place
+# --- evaluation: a case asks with the parties, dates and clauses of a file's fact sheet and expects its amounts. Two
+# backends are compared: the lexical ranking of the file's chunks (rank), and their order in the file (place).
 
 
-_EVAL = f"""{_CHUNKS}, f as (select doc_id, max_by(coalesce(role, 'ClientDocument'), loaded_at) as role, max_by(fact_sheet.amounts, loaded_at) as expected, min(file_name) as file_name from files group by doc_id),
-k as (select doc_id, role, regexp_extract(lower(file_name), '\\.([a-z0-9]+)$', 1) as kind, expected from f where len(expected) > 0),
-r as (select doc_id, lower(text) as t, row_number() over (partition by doc_id order by length(text) desc, chunk_index, page_number, text) as rank, row_number() over (partition by doc_id order by chunk_index, page_number, text) as place from c),
-e as (select k.doc_id, role, kind, len(expected) as n, min(rank) filter (where rank <= 6 and len(list_filter(expected, lambda x: contains(t, lower(x)))) > 0) as hit, min(place) filter (where place <= 6 and len(list_filter(expected, lambda x: contains(t, lower(x)))) > 0) as hit_place,
-  string_agg(t, ' ' order by rank) filter (where rank <= 6) as all_text, any_value(expected) as expected from k left join r using (doc_id) group by all),
+_STOP = ", ".join(map(_quote, W.QUESTION_STOP))
+_TERMS = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: strlen(x) >= 2)"
+_CASE_RANKS = rf"""ck as (select *, chunk_index || ':' || page_number || ':' || md5(text) as k from c),
+q as (select distinct doc_id, term from (select doc_id, unnest(regexp_split_to_array(question, '[^\p{{L}}\p{{N}}]+')) as term from f) where strlen(term) >= 3 and term not in ({_STOP})),
+bp as (select doc_id, k, term, count(*) as tf from (select doc_id, k, unnest({_TERMS}) as term from ck) group by all), bd as (select doc_id, k, coalesce(len({_TERMS}), 0) as dl from ck), bs as (select doc_id, count(*) as n_docs, avg(dl) as avg_dl from bd group by doc_id), bf as (select doc_id, term, count(*) as df from bp group by all),
+b as (select doc_id, k, round(sum(greatest(0, ln((n_docs - df + 0.5) / (df + 0.5) + 1)) * tf * 1.9 / (tf + 0.9 * (0.5 + 0.5 * dl / avg_dl))), 6) as score from q join bf using (doc_id, term) join bp using (doc_id, term) join bd using (doc_id, k) join bs using (doc_id) group by all),
+br as (select *, row_number() over (partition by doc_id order by score desc, k) as rank from b)"""
+_EVAL = f"""{_CHUNKS}, f as (select doc_id, max_by(coalesce(role, 'ClientDocument'), loaded_at) as role, max_by(fact_sheet.amounts, loaded_at) as expected, min(file_name) as file_name, lower(array_to_string(list_concat(coalesce(max_by(fact_sheet.parties, loaded_at), []), coalesce(max_by(fact_sheet.dates, loaded_at), []), coalesce(max_by(fact_sheet.key_clauses, loaded_at), [])), ' ')) as question from files group by doc_id),
+{_CASE_RANKS}, k as (select doc_id, role, regexp_extract(lower(file_name), '\\.([a-z0-9]+)$', 1) as kind, expected from f where len(expected) > 0),
+r as (select doc_id, lower(text) as t, rank, row_number() over (partition by doc_id order by chunk_index, page_number, text) as place from ck left join br using (doc_id, k)),
+e as (select k.doc_id, role, kind, len(k.expected) as n, min(rank) filter (where rank <= 6 and len(list_filter(expected, lambda x: contains(t, lower(x)))) > 0) as hit, min(place) filter (where place <= 6 and len(list_filter(expected, lambda x: contains(t, lower(x)))) > 0) as hit_place,
+  string_agg(t, ' ' order by rank) filter (where rank <= 6) as all_text, any_value(k.expected) as expected from k left join r using (doc_id) group by k.doc_id, role, kind, len(k.expected)),
 m as (select doc_id, role, kind, hit, hit_place, coalesce(1.0 / hit, 0) as mrr, coalesce(hit = 1, false) as p1, round(len(list_filter(expected, lambda x: contains(coalesce(all_text, ''), lower(x)))) / n, 6) as recall from e)"""
-_EVAL = _EVAL.replace("e as (select k.doc_id, role, kind, len(expected) as n,", "e as (select k.doc_id, role, kind, len(k.expected) as n,").replace("any_value(expected) as expected from k left join r using (doc_id) group by all)", "any_value(k.expected) as expected from k left join r using (doc_id) group by k.doc_id, role, kind, len(k.expected))")
 
 
-def _metrics(spark: SparkSession, sf_dir: str, top_k: int = 6) -> DataFrame:
+def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, role, kind, expected, question of every file."""
+    sheet = lambda c: F.max_by(f"fact_sheet.{c}", "loaded_at").alias(c)
     f = read_table(spark, sf_dir, "files").groupBy("doc_id").agg(
-        F.max_by(F.coalesce("role", F.lit("ClientDocument")), "loaded_at").alias("role"), F.max_by("fact_sheet.amounts", "loaded_at").alias("expected"), F.min("file_name").alias("file_name")
-    )
-    k = f.where(F.size("expected") > 0).select("doc_id", "role", F.regexp_extract(F.lower("file_name"), r"\.([a-z0-9]+)$", 1).alias("kind"), "expected")
+        F.max_by(F.coalesce("role", F.lit("ClientDocument")), "loaded_at").alias("role"), sheet("amounts"), sheet("parties"), sheet("dates"), sheet("key_clauses"), F.min("file_name").alias("file_name")
+    )
+    return f.select("doc_id", "role", F.regexp_extract(F.lower("file_name"), r"\.([a-z0-9]+)$", 1).alias("kind"), F.col("amounts").alias("expected"), F.lower(F.concat_ws(" ", "parties", "dates", "key_clauses")).alias("question"))
+
+
+def _case_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, text, rank, score, place of every chunk for the question on its file; no rank where no term is shared."""
+    key = F.concat_ws(":", F.col("chunk_index").cast("string"), F.col("page_number").cast("string"), F.md5(F.encode("text", "UTF-8")))
+    chunks = _chunks(spark, sf_dir).withColumn("k", key)
+    asked = _cases(spark, sf_dir).select("doc_id", F.col("doc_id").alias("query_id"), F.explode(keyword_set(F.col("question"), W.QUESTION_STOP, 3)).alias("term"), F.lit(1).alias("mult"))
     w = Window.partitionBy("doc_id")
-    r = _chunks(spark, sf_dir).select(
-        "doc_id", F.lower("text").alias("t"), F.row_number().over(w.orderBy(F.desc(F.length("text")), "chunk_index", "page_number", "text")).alias("rank"), F.row_number().over(w.orderBy("chunk_index", "page_number", "text")).alias("place")
-    )
+    ranked = bm25.score(chunks.select("doc_id", "k", "text"), asked, id_="k", group="doc_id").withColumn("rank", F.row_number().over(w.orderBy(F.desc("score"), "k")))
+    placed = chunks.withColumn("place", F.row_number().over(w.orderBy("chunk_index", "page_number", "text")))
+    return placed.join(ranked.select("doc_id", "k", "rank", "score"), ["doc_id", "k"], "left").select("doc_id", "text", "rank", "score", "place")
+
+
+def _metrics(spark: SparkSession, sf_dir: str, top_k: int = 6) -> DataFrame:
+    k = _cases(spark, sf_dir).where(F.size("expected") > 0).drop("question")
+    r = _case_ranks(spark, sf_dir).withColumn("t", F.lower("text"))
     joined = k.join(r, "doc_id", "left").withColumn("found", F.filter("expected", lambda x: F.col("t").contains(F.lower(x))))
     hit = F.size("found") > 0
     per = joined.groupBy("doc_id", "role", "kind").agg(
@@ -150,6 +181,33 @@ def _metrics(spark: SparkSession, sf_dir: str, top_k: int = 6) -> DataFrame:
     return per.select("doc_id", "role", "kind", "hit", "hit_place", F.coalesce(1.0 / F.col("hit"), F.lit(0.0)).alias("mrr"), F.coalesce(F.col("hit") == 1, F.lit(False)).alias("p1"), F.round(recall, 6).alias("recall"))
 
 
+@query(f"""with {_EVAL}, mx as (select doc_id, round(sum(greatest(0, ln((n_docs - df + 0.5) / (df + 0.5) + 1))) * 1.9, 6) as most from q join bf using (doc_id, term) join bs using (doc_id) group by doc_id),
+n as (select doc_id, coalesce(expected, []) as expected from f), w as (select n.doc_id, expected, rank, round(score / most, 4) as share, lower(text) as t from n left join (select doc_id, rank, score, text from br join ck using (doc_id, k) where rank <= 6) x using (doc_id) left join mx using (doc_id)),
+h as (select *, len(list_filter(expected, lambda x: contains(t, lower(x)))) > 0 as hit from w), i as (select doc_id, any_value(expected) as expected, min(rank) filter (where hit) as first_hit, max(share) as best, coalesce(bool_or(contains(t, 'arbitrat')), false) as anywhere from h group by doc_id),
+s as (select i.doc_id, bool_or(contains(y, 'arbitrat')) as beside from i join (select doc_id, rank, unnest(regexp_split_to_array(t, '[.!?]')) as y from h) z on i.doc_id = z.doc_id and rank = first_hit where len(list_filter(expected, lambda x: contains(y, lower(x)))) > 0 group by i.doc_id)
+select doc_id, case when len(expected) = 0 then 'negative' else 'standard' end as case_type, case when len(expected) = 0 then anywhere else coalesce(beside, false) end as violated, case when len(expected) = 0 then coalesce(best, 0) < 0.65 and not anywhere else coalesce(m.recall = 1, false) and not coalesce(beside, false) end as passed from i left join s using (doc_id) left join m using (doc_id)""")
+def eval_must_not(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases with what the answer must not say (here: arbitration). Standard cases pass with all that is expected and
+    no such word in the sentences that answer; cases without anything expected pass with low scores and no such word
+    in any result. Scores are shares of the most a chunk could reach."""
+    cases = _cases(spark, sf_dir)
+    f = cases.select("doc_id", F.coalesce("expected", F.array().cast("array<string>")).alias("expected"))
+    top = _case_ranks(spark, sf_dir).where("rank <= 6").select("doc_id", "rank", "score", F.lower("text").alias("t"))
+    return E.judged(f, top, _most_scores(spark, sf_dir), ("arbitrat",)).join(_metrics(spark, sf_dir).select("doc_id", "recall"), "doc_id", "left").select(
+        "doc_id", "case_type", "violated", F.when(F.col("case_type") == "negative", F.col("low") & ~F.col("violated")).otherwise(F.coalesce(F.col("recall") == 1, F.lit(False)) & ~F.col("violated")).alias("passed")
+    )
+
+
+def _most_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, most: what a chunk of a file could reach at most for its question."""
+    chunks = _chunks(spark, sf_dir).withColumn("k", F.concat_ws(":", F.col("chunk_index").cast("string"), F.col("page_number").cast("string"), F.md5(F.encode("text", "UTF-8"))))
+    asked = _cases(spark, sf_dir).select("doc_id", F.explode(keyword_set(F.col("question"), W.QUESTION_STOP, 3)).alias("term")).distinct()
+    terms = bm25.term_stats(bm25.postings(chunks, "k", "doc_id"), "doc_id")
+    n = chunks.groupBy("doc_id").agg(F.count("*").alias("n_docs"))
+    weight = bm25.idf(F.col("n_docs"), F.col("df"))
+    return asked.join(terms, ["doc_id", "term"]).join(n, "doc_id").groupBy("doc_id").agg(F.round(F.sum(weight) * (bm25.K1 + 1), 6).alias("most"))
+
+
 @query(f"with {_EVAL} select doc_id, role, kind, cast(hit as double) as hit, round(mrr, 6) as mrr, p1, recall, recall = 1 as passed from m")
 def eval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _metrics(spark, sf_dir).select("doc_id", "role", "kind", F.col("hit").cast("double").alias("hit"), F.round("mrr", 6).alias("mrr"), "p1", "recall", (F.col("recall") == 1).alias("passed"))

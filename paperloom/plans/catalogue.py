@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from paperloom.plans import answer_queries, more_queries, registry, retrieval_queries, table_queries, text_queries  # noqa: F401
+from paperloom.plans import answer_queries, check_queries, more_queries, registry, retrieval_queries, table_queries, text_queries  # noqa: F401
 from paperloom.plans.registry import Query
 
 FLAGSHIP = "hybrid_retrieve"

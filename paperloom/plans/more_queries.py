@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from paperloom.functions import forms, questions
 from paperloom.functions import words as W
 from paperloom.operators import answers as A
-from paperloom.operators import jurisdiction, retrieval
-from paperloom.plans.answer_queries import _ANSWERS, _CHUNKS, _answers, _chunks, _ranked
+from paperloom.operators import jurisdiction, retrieval, vectors
+from paperloom.operators import registry_ops as R
+from paperloom.plans.answer_queries import _ANSWERS, _CHUNKS, _answers, _chunks
 from paperloom.plans.registry import query
 from paperloom.plans.text_queries import PAGES, _pages
 from paperloom.session import read_table
@@ -66,73 +67,76 @@ def key_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
 _STATUTE = r"\d+\s+(?:U\.?S\.?C\.?|C\.?F\.?R\.?)\s*§\s*\d+"
 
 
-@query(rf"""with {_ANSWERS}, s as (select doc_id, lower(replace(string_agg(text, ' '), ' ', '')) as t from c where chunk_index % 2 = 0 group by doc_id), b as (select answer_id, doc_id, unnest(regexp_extract_all(answer, '{_STATUTE}')) as x from a)
-select distinct answer_id, x as statute from b left join s using (doc_id) where not contains(coalesce(t, ''), lower(replace(x, ' ', '')))""")
+@query(rf"""with {_ANSWERS}, k as (select doc_id, x, count(distinct h) as n, min(h) as h from (select doc_id, md5(text) as h, lower(replace(unnest(regexp_extract_all(text, '{_STATUTE}')), ' ', '')) as x from c) group by doc_id, x),
+b as (select answer_id, doc_id, md5(source) as own, unnest(regexp_extract_all(answer, '{_STATUTE}')) as x from a)
+select distinct answer_id, b.x as statute from b left join k on k.doc_id = b.doc_id and k.x = lower(replace(b.x, ' ', '')) where k.n is null or (k.n = 1 and k.h = own)""")
 def fabricated_statutes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Statutes in answers that do not stand in the even chunks of their file, taken as the sources."""
-    s = _chunks(spark, sf_dir).where("chunk_index % 2 = 0").groupBy("doc_id").agg(F.lower(F.replace(F.array_join(F.collect_list("text"), " "), F.lit(" "), F.lit(""))).alias("t"))
-    b = _answers(spark, sf_dir).select("answer_id", "doc_id", F.explode(F.regexp_extract_all("answer", F.lit(_STATUTE), F.lit(0))).alias("statute"))
-    held = F.coalesce(F.col("t"), F.lit("")).contains(F.lower(F.replace("statute", F.lit(" "), F.lit(""))))
-    return b.join(s, "doc_id", "left").where(~held).select("answer_id", "statute").distinct()
-
-
-@query(rf"""with {_ANSWERS}, s as (select doc_id, string_agg(text, ' ') as t from c where chunk_index % 2 = 0 group by doc_id),
-b as (select answer_id, doc_id, unnest(list_filter(list_transform(regexp_extract_all(answer, '{A.CLAIM}', 1), lambda x: trim(regexp_replace(x, '{A.NOTE}', '', 'g'))), lambda x: strlen(x) >= 15)) as claim from a),
-k as (select answer_id, claim, regexp_extract_all(claim, '{A.TOKEN}') as w, coalesce(t, '') as t from b left join s using (doc_id))
-select distinct answer_id, claim, round(len(list_filter(w, lambda x: contains(t, x))) / len(w), 6) as share, len(list_filter(w, lambda x: contains(t, x))) / len(w) >= 0.6 as grounded from k where len(w) > 0""")
+    """Statutes in answers that no other chunk of their file has; the answer's own chunk is no source."""
+    squeezed = lambda c: F.lower(F.replace(c, F.lit(" "), F.lit("")))
+    found = lambda c: F.explode(F.regexp_extract_all(c, F.lit(_STATUTE), F.lit(0)))
+    held = _chunks(spark, sf_dir).select("doc_id", F.md5(F.encode("text", "UTF-8")).alias("h"), found("text").alias("x")).select("doc_id", "h", squeezed(F.col("x")).alias("k")).distinct()
+    held = held.groupBy("doc_id", "k").agg(F.count("*").alias("n"), F.min("h").alias("h"))
+    b = _answers(spark, sf_dir).select("answer_id", "doc_id", F.md5(F.encode("source", "UTF-8")).alias("own"), found("answer").alias("statute")).withColumn("k", squeezed(F.col("statute")))
+    made_up = F.col("n").isNull() | ((F.col("n") == 1) & (F.col("h") == F.col("own")))
+    return b.join(held, ["doc_id", "k"], "left").where(made_up).select("answer_id", "statute").distinct()
+
+
+@query(rf"""with {_ANSWERS}, k as (select doc_id, t, count(distinct h) as n, min(h) as h from (select doc_id, md5(text) as h, unnest(regexp_extract_all(text, '{A.TOKEN}')) as t from c) group by doc_id, t),
+b as (select distinct answer_id, doc_id, own, claim from (select answer_id, doc_id, md5(source) as own, unnest(list_filter(list_transform(regexp_extract_all(answer, '{A.CLAIM}', 1), lambda x: trim(regexp_replace(x, '{A.NOTE}', '', 'g'))), lambda x: strlen(x) >= 15)) as claim from a)),
+w as (select answer_id, doc_id, own, claim, unnest(regexp_extract_all(claim, '{A.TOKEN}')) as t from b)
+select answer_id, claim, round(avg(case when k.n > 1 or k.h <> own then 1.0 else 0.0 end), 6) as share, avg(case when k.n > 1 or k.h <> own then 1.0 else 0.0 end) >= 0.6 as grounded from w left join k using (doc_id, t) group by answer_id, claim""")
 def claim_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Share of each claim's names and numbers that stand in the even chunks of the file."""
-    s = _chunks(spark, sf_dir).where("chunk_index % 2 = 0").groupBy("doc_id").agg(F.array_join(F.collect_list("text"), " ").alias("t"))
-    b = _answers(spark, sf_dir).select("answer_id", "doc_id", F.explode(A.claims(F.col("answer"))).alias("claim")).where(F.size(F.regexp_extract_all("claim", F.lit(A.TOKEN), F.lit(0))) > 0)
-    share = A.grounded_share(F.col("claim"), F.coalesce(F.col("t"), F.lit("")))
-    return b.join(s, "doc_id", "left").select("answer_id", "claim", F.round(share, 6).alias("share"), (share >= 0.6).alias("grounded")).distinct()
-
+    """Share of each claim's names and numbers that stand in another chunk of the file."""
+    tokens = lambda c: F.explode(F.regexp_extract_all(c, F.lit(A.TOKEN), F.lit(0)))
+    held = _chunks(spark, sf_dir).select("doc_id", F.md5(F.encode("text", "UTF-8")).alias("h"), tokens("text").alias("t")).distinct().groupBy("doc_id", "t").agg(F.count("*").alias("n"), F.min("h").alias("h"))
+    b = _answers(spark, sf_dir).select("answer_id", "doc_id", F.md5(F.encode("source", "UTF-8")).alias("own"), F.explode(A.claims(F.col("answer"))).alias("claim")).distinct()
+    w = b.select("answer_id", "doc_id", "own", "claim", tokens("claim").alias("t")).join(held, ["doc_id", "t"], "left")
+    share = F.avg(F.when((F.col("n") > 1) | (F.col("h") != F.col("own")), 1.0).otherwise(0.0))
+    return w.groupBy("answer_id", "claim").agg(F.round(share, 6).alias("share"), (share >= 0.6).alias("grounded"))
 
-def _greedy(ranked: DataFrame, threshold: float) -> DataFrame:
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("rank", kind="stable")
-        return group.iloc[retrieval.drop_near_duplicates(group["text"].tolist(), threshold)][["doc_id", "chunk_index", "page_number", "rank"]]
 
-    return ranked.select("doc_id", "chunk_index", "page_number", "rank", "text").groupBy("doc_id").applyInPandas(run, "doc_id string, chunk_index bigint, page_number int, rank int")
-
-
-@query(f"""with recursive {_CHUNKS}, r as (select *, row_number() over (partition by doc_id order by length(text) desc, chunk_index, page_number, text) as rank from c), s as (select doc_id, chunk_index, page_number, rank, list_distinct(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) as w from r where rank <= 6),
+@query(f"""with recursive {_CHUNKS}, r as (select *, row_number() over (partition by doc_id order by length(text) desc, chunk_index, page_number, text) as rank from c), s as (select doc_id, chunk_index, page_number, rank, list_distinct(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) as w from r), most as (select max(rank) as n from s),
 p as (select a.doc_id, a.rank as early, b.rank as late from s a join s b on a.doc_id = b.doc_id and a.rank < b.rank where len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) > 0.7),
-k(doc_id, pos, kept) as (select distinct doc_id, 0, [cast(0 as bigint)] from s union all select k.doc_id, pos + 1, case when exists (select 1 from s where s.doc_id = k.doc_id and s.rank = pos + 1) and not exists (select 1 from p where p.doc_id = k.doc_id and p.late = pos + 1 and list_contains(kept, p.early)) then list_append(kept, pos + 1) else kept end from k where pos < 6)
-select s.doc_id, chunk_index, page_number, s.rank from s join k on k.doc_id = s.doc_id and pos = 6 and list_contains(kept, s.rank)""", wide=("rank",))
+k(doc_id, pos, kept) as (select distinct doc_id, 0, [cast(0 as bigint)] from s union all select k.doc_id, pos + 1, case when exists (select 1 from s where s.doc_id = k.doc_id and s.rank = pos + 1) and not exists (select 1 from p where p.doc_id = k.doc_id and p.late = pos + 1 and list_contains(kept, p.early)) then list_append(kept, pos + 1) else kept end from k where pos < (select n from most))
+select s.doc_id, chunk_index, page_number, s.rank from s join k on k.doc_id = s.doc_id and pos = (select n from most) and list_contains(kept, s.rank)""", wide=("rank",))
 def content_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The six longest chunks of a file without those that share over 0.7 of their words with one kept before."""
-    return _greedy(_ranked(spark, sf_dir), 0.70)
-
-
-@query()
+    """All chunks of a file, longest first, without those that share over 0.7 of their words with one kept before."""
+    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc(F.length("text")), "chunk_index", "page_number", "text"))
+    ranked = _chunks(spark, sf_dir).select("doc_id", "chunk_index", "page_number", "text", rank.alias("rank"))
+    return retrieval.distinct_texts(ranked, "doc_id", 0.70).select("doc_id", "chunk_index", "page_number", "rank")
+
+
+@query("""
+with e as (select vec_id, label, list_transform(embedding, lambda x: cast(x as double)) as v from embeddings),
+m as (select label, list(s order by i) as v from (select label, i, sum(x) as s from (select label, unnest(v) as x, generate_subscripts(v, 1) as i from e) group by label, i) group by label),
+s as (select e.label, vec_id, e.v, round(list_cosine_similarity(e.v, m.v), 6) as score from e join m using (label)),
+p1 as (select label, vec_id, v from (select *, row_number() over (partition by label order by score desc, vec_id) as r from s) where r = 1),
+t1 as (select s.label, s.vec_id, s.v, score, greatest(0, round(list_cosine_similarity(s.v, p1.v), 6)) as near from s join p1 on s.label = p1.label and s.vec_id <> p1.vec_id),
+p2 as (select label, vec_id, v from (select *, row_number() over (partition by label order by round(0.7 * score - 0.3 * near, 9) desc, vec_id) as r from t1) where r = 1),
+t2 as (select t1.label, t1.vec_id, t1.v, score, greatest(near, round(list_cosine_similarity(t1.v, p2.v), 6)) as near from t1 join p2 on t1.label = p2.label and t1.vec_id <> p2.vec_id),
+p3 as (select label, vec_id, v from (select *, row_number() over (partition by label order by round(0.7 * score - 0.3 * near, 9) desc, vec_id) as r from t2) where r = 1)
+select label, vec_id, 1 as place from p1 union all select label, vec_id, 2 from p2 union all select label, vec_id, 3 from p3""")
 def mmr_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three of ten vectors of each label, relevant and different."""
-    import numpy as np
-
-    e = read_table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").alias("v"))
-    pool = e.withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))).where("rank <= 10")
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("rank")
-        order = retrieval.mmr([1 / (60 + r) for r in group["rank"]], np.array([np.asarray(v, dtype=float) for v in group["v"]]), 3, 0.7)
-        return group.iloc[order][["label", "vec_id"]].assign(place=range(1, len(order) + 1))
-
-    return pool.groupBy("label").applyInPandas(run, "label int, vec_id bigint, place int")
+    """Three vectors of each label, near its mean and unlike each other, out of all of them."""
+    e = read_table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    sums = e.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.sum(F.col("x").cast("double")).alias("s"))
+    mean = sums.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "s"))), lambda p: p["s"]).alias("m"))
+    scored = e.join(mean, "label").select("label", "vec_id", "embedding", F.round(vectors.cosine(F.col("embedding"), F.col("m")), 6).alias("score"))
+    return retrieval.mmr_rounds(scored, "label", "vec_id", "score", "embedding", 3, 0.7)
 
 
 @query()
 def question_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Terms for a lexical ranking of every document's first sentence, taken as a question."""
+    """Terms for a lexical ranking of every sentence of every document, taken as a question."""
     from collections.abc import Iterator
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(d, n, t) for d, q in zip(batch["doc_id"], batch["q"]) for n, t in enumerate(questions.ranking_terms(q or ""), 1)]
-            yield pd.DataFrame(rows, columns=["doc_id", "n", "term"])
+            rows = [(d, s, n, t) for d, s, q in zip(batch["doc_id"], batch["s"], batch["q"]) for n, t in enumerate(questions.ranking_terms(q or ""), 1)]
+            yield pd.DataFrame(rows, columns=["doc_id", "sentence", "n", "term"])
 
-    first = F.split_part("text", F.lit(". "), F.lit(1))
-    return read_table(spark, sf_dir, "documents").select("doc_id", first.alias("q")).mapInPandas(run, "doc_id bigint, n int, term string")
+    every = F.posexplode(F.split("text", r"[.?!]\s+"))
+    return read_table(spark, sf_dir, "documents").select("doc_id", every.alias("s", "q")).mapInPandas(run, "doc_id bigint, sentence int, n int, term string")
 
 
 @query("""with k as (select cache_key, count(*) as copies, min(vec_id) as first_id, min_by(vector, vec_id) as v from embed_cache group by cache_key) select cache_key, copies, first_id, coalesce(len(v), 0) as size from k""")
@@ -160,9 +164,14 @@ def files_by_role(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.groupBy(F.coalesce("role", F.lit("ClientDocument")).alias("role")).agg(F.count("*").alias("files"), F.count_distinct("doc_id").alias("documents"), F.sum("word_count").alias("words"))
 
 
-@query("select case_id, name from cases where name ilike '%v.%' or name ilike '%lease%'")
+@query("with w as (select distinct lower(word) as word from (select unnest(regexp_split_to_array(name, '[^A-Za-z]+')) as word from cases) where strlen(word) > 3) select word, count(*) as cases, min(case_id) as first_case from w join cases on contains(lower(name), word) group by word")
 def session_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "cases").where(F.col("name").ilike("%v.%") | F.col("name").ilike("%lease%")).select("case_id", "name")
+    """For every word that a case's name has, the cases a search for it gives; the search is for a part of the name."""
+    cases = read_table(spark, sf_dir, "cases").select("case_id", "name")
+    words = cases.select(F.explode(F.split(F.lower("name"), "[^a-z]+")).alias("word")).where(F.octet_length("word") > 3).distinct()
+    # cases are a table of fixed size
+    met = R.search_names(cases, words)
+    return met.groupBy("word").agg(F.count("*").alias("cases"), F.min("case_id").alias("first_case"))
 
 
 @query("select * from (values " + ", ".join(f"('{m}', {v[0]}, {v[1]}, {v[2]}, {v[3]}, cast({v[4]} as double), cast({v[5]} as double), cast({v[6]} as double), cast({v[7]} as double))" for m, v in W.MODES.items()) + ") t(mode, top_k, pool, chars_with, chars_without, mmr_lambda, cosine_floor, jaccard, gap)")

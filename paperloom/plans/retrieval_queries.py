@@ -3,15 +3,17 @@ divisible by 50; texts and vectors are paired by doc_id = vec_id."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions import words as W
-from paperloom.functions.text import keyword_set
+from paperloom.functions.text import any_of, keyword_set
 from paperloom.operators import bm25, classify, fusion, retrieval, vectors
 from paperloom.plans.registry import query
 from paperloom.plans.text_queries import _quote, sql_any
-from paperloom.session import read_table
+from paperloom.session import read_table, shared_folder
 
 _STOP = ", ".join(map(_quote, W.QUESTION_STOP))
 _TOKENS = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: strlen(x) >= 2)"
@@ -22,6 +24,8 @@ _SCORE = """b as (select query_id, doc_id, round(sum(greatest(0, ln((n_docs - df
 _VECTORS = """u as (select vec_id, list_transform(vector, lambda x: cast(x as double)) as v from embed_cache where vector is not null and len(vector) = 64 and len(list_filter(vector, lambda x: x is null or isnan(x) or isinf(x))) = 0),
 v as (select vec_id, v from u where list_inner_product(v, v) > 0)"""
 _COSINE = "c as (select a.vec_id as query_id, b.vec_id as doc_id, round(list_cosine_similarity(a.v, b.v), 6) as score from v a join v b on true where a.vec_id % 50 = 0 and b.vec_id in (select doc_id from documents) and a.vec_id in (select doc_id from documents))"
+_ALL = f"""with {_POST}, {_QUERIES}, {_SCORE}, {_VECTORS}, {_COSINE}, e as (select query_id, doc_id, coalesce(b.score, 0) as bm25, coalesce(c.score, 0) as cosine from (select query_id, doc_id from (select distinct query_id from q) x, documents) left join b using (query_id, doc_id) left join c using (query_id, doc_id)),
+l as (select *, row_number() over (partition by query_id order by bm25 desc, doc_id) as rb, row_number() over (partition by query_id order by cosine desc, doc_id) as rc from e)"""
 _BOTH = f"with {_POST}, {_QUERIES}, {_SCORE}, {_VECTORS}, {_COSINE}, lb as (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from b), lc as (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from c)"
 
 
@@ -38,12 +42,20 @@ def _paired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _documents(spark, sf_dir).join(vec, "doc_id", "left")
 
 
-def _lists(spark: SparkSession, sf_dir: str, depth: int) -> tuple[DataFrame, DataFrame]:
-    docs = _documents(spark, sf_dir)
-    lexical = bm25.top(bm25.score(docs, bm25.keyword_queries(_stated(docs))), depth)
+def _asked(stated: DataFrame) -> DataFrame:
+    """The keywords of each stated text, with its size in words and its vector."""
+    words = F.size(F.filter(F.split("text", r"\s+"), lambda x: x != ""))
+    return stated.select(F.col("doc_id").alias("query_id"), F.explode(keyword_set(F.col("text"), W.QUESTION_STOP, 3)).alias("term"), F.lit(1).alias("mult"), words.alias("words"), "vector")
+
+
+def _ranked_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text for every stated query, with its exact ranks in both lists."""
     corpus = _paired(spark, sf_dir)
-    near = vectors.search(corpus, _stated(corpus), depth, id_="doc_id", same=True)
-    return lexical, near
+    return retrieval.both_lists(corpus.select("doc_id", "text", "vector"), _asked(_stated(corpus)))
+
+
+def _fused(ranked: DataFrame, kb: float, kc: float) -> DataFrame:
+    return ranked.select("query_id", "doc_id", F.round(1.0 / (kb + F.col("b")) + 1.0 / (kc + F.col("c")), 9).alias("score"))
 
 
 @query(f"with {_POST} select doc_id, dl from d")
@@ -113,39 +125,101 @@ def vector_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("vec_id", F.round(F.aggregate("m", F.lit(0.0), lambda s, x: s + x * x), 6).alias("energy"))
 
 
-@query(f"{_BOTH}, r as (select query_id, doc_id, round(sum(s), 9) as score from (select query_id, doc_id, 1.0 / (60 + rank) as s from lb where rank <= 50 union all select query_id, doc_id, 1.0 / (60 + rank) from lc where rank <= 50) group by all) select query_id, doc_id, rank, score from (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from r) where rank <= 10", wide=("rank",))
+_TEN = "select query_id, doc_id, rank, score from (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from r) where rank <= 10"
+
+
+@query(f"{_ALL}, r as (select query_id, doc_id, round(1.0 / (60 + rb) + 1.0 / (60 + rc), 9) as score from l) {_TEN}", wide=("rank",))
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lexical, near = _lists(spark, sf_dir, 50)
-    return bm25.top(fusion.reciprocal_ranks([(lexical, 60.0), (near, 60.0)]), 10).select("query_id", "doc_id", "rank", "score")
+    """Reciprocal ranks over both whole lists."""
+    return bm25.top(_fused(_ranked_rows(spark, sf_dir), 60.0, 60.0), 10).select("query_id", "doc_id", "rank", "score")
 
 
-@query(f"{_BOTH}, r as (select query_id, doc_id, round(sum(s), 9) as score from (select query_id, doc_id, 1.0 / (20 + rank) as s from lb where rank <= 50 union all select query_id, doc_id, 1.0 / (40 + rank) from lc where rank <= 50) group by all) select query_id, doc_id, rank, score from (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from r) where rank <= 10", wide=("rank",))
+@query(f"{_ALL}, r as (select query_id, doc_id, round(1.0 / (20 + rb) + 1.0 / (40 + rc), 9) as score from l) {_TEN}", wide=("rank",))
 def rrf_short_query_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lexical, near = _lists(spark, sf_dir, 50)
-    return bm25.top(fusion.reciprocal_ranks([(lexical, 20.0), (near, 40.0)]), 10).select("query_id", "doc_id", "rank", "score")
+    return bm25.top(_fused(_ranked_rows(spark, sf_dir), 20.0, 40.0), 10).select("query_id", "doc_id", "rank", "score")
+
 
+@query(f"{_ALL}, r as (select query_id, doc_id, round(round(1.0 / (60 + rb) + 1.0 / (60 + rc), 9) + case when starts_with(text, 'FILLED FORM DATA') then 0.15 else 0 end, 9) as score from l join documents using (doc_id)) {_TEN}", wide=("rank",))
+def rrf_form_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fusion for questions about forms: filled forms gain."""
+    docs = _documents(spark, sf_dir).select("doc_id", "text", F.lit(9).alias("position"), F.lit(False).alias("caption"))
+    rows = _fused(_ranked_rows(spark, sf_dir), 60.0, 60.0).join(docs, "doc_id").withColumn("asks_form", F.lit(True)).withColumn("asks_party", F.lit(False))
+    return bm25.top(fusion.boosted(rows), 10).select("query_id", "doc_id", "rank", "score")
 
-_BOOST = f"""{_BOTH}, r as (select query_id, doc_id, round(sum(s), 9) as score from (select query_id, doc_id, 1.0 / (60 + rank) as s from lb where rank <= 50 union all select query_id, doc_id, 1.0 / (60 + rank) from lc where rank <= 50) group by all),
-m as (select *, median(score) over (partition by query_id) as middle from r),
-g as (select query_id, doc_id, score, middle, (0.08 - (doc_id % 7) * 0.03) * case when {sql_any("lower(text)", W.CAPTION_ROLES)} and len(list_filter(list_transform(regexp_split_to_array(text, '\\s+'), lambda x: regexp_replace(x, '[^\\p{{L}}]', '', 'g')), lambda x: strlen(x) >= 3 and not regexp_matches(x, '[^\\p{{Lu}}]') and x not in ({", ".join(map(_quote, W.CAPTION_BOILERPLATE))}))) > 0 then 1.5 else 1 end as gain from m join documents using (doc_id))
-select query_id, doc_id, round(score + case when doc_id % 7 <= 2 and score >= middle and gain > 0 then gain else 0 end, 6) as score from g"""
+
+_PARTY = f"""(text is not null and len(list_filter({list(W.PARTY_ROLES)}, lambda w: contains(lower(text), w))) > 0)"""
+_BOOST = f"""{_ALL}, r as (select query_id, doc_id, round(1.0 / (60 + rb) + 1.0 / (60 + rc), 9) as score from l),
+m as (select *, median(score) over (partition by query_id) as middle from r), y as (select doc_id, text, row_number() over (partition by coalesce(source, '') order by created_at, doc_id) - 1 as position from documents), ask as (select doc_id as query_id, {_PARTY} as asks from documents),
+g as (select query_id, doc_id, score, middle, position, asks, (0.08 - position * 0.03) * case when {sql_any("lower(text)", W.CAPTION_ROLES)} and len(list_filter(list_transform(regexp_split_to_array(text, '\\s+'), lambda x: regexp_replace(x, '[^\\p{{L}}]', '', 'g')), lambda x: strlen(x) >= 3 and not regexp_matches(x, '[^\\p{{Lu}}]') and x not in ({", ".join(map(_quote, W.CAPTION_BOILERPLATE))}))) > 0 then 1.5 else 1 end as gain from m join y using (doc_id) join ask using (query_id))
+select query_id, doc_id, round(score + case when asks and position <= 2 and score >= middle and gain > 0 then gain else 0 end, 9) as score from g"""
 
 
 @query(_BOOST)
 def rrf_intro_boost_median(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boost of early chunks; doc_id mod 7 stands for the place of a text in its file."""
-    lexical, near = _lists(spark, sf_dir, 50)
-    fused = fusion.reciprocal_ranks([(lexical, 60.0), (near, 60.0)])
-    docs = _documents(spark, sf_dir).select("doc_id", "text", (F.col("doc_id") % 7).alias("position"), classify.caption(F.col("text")).alias("caption"))
-    rows = fused.join(docs, "doc_id").withColumn("asks_form", F.lit(False)).withColumn("asks_party", F.lit(True))
-    return fusion.boosted(rows).select("query_id", "doc_id", F.round("score", 6).alias("score"))
+    """Boost of the first texts of a source for queries that name a party, over the median of all fused scores."""
+    d = read_table(spark, sf_dir, "documents")
+    place = F.row_number().over(Window.partitionBy(F.coalesce("source", F.lit(""))).orderBy("created_at", "doc_id")) - 1
+    early = d.select("doc_id", "text", place.alias("position")).select("doc_id", "text", "position", classify.caption(F.col("text")).alias("caption"))
+    asks = d.select(F.col("doc_id").alias("query_id"), F.coalesce(any_of(F.lower("text"), W.PARTY_ROLES), F.lit(False)).alias("asks_party"))
+    rows = _fused(_ranked_rows(spark, sf_dir), 60.0, 60.0).join(early, "doc_id").join(asks, "query_id").withColumn("asks_form", F.lit(False))
+    return fusion.boosted(rows).select("query_id", "doc_id", "score")
 
 
-@query(f"{_BOTH} select query_id, doc_id, round(0.5 * coalesce(c.score, 0) + 0.5 * case when max(coalesce(b.score, 0)) over (partition by query_id) > 0 then coalesce(b.score, 0) / max(coalesce(b.score, 0)) over (partition by query_id) else 0 end, 8) as score from (select * from lb where rank <= 50) b full join (select * from lc where rank <= 50) c using (query_id, doc_id)")
+@query(f"{_ALL} select query_id, doc_id, round(0.5 * cosine + 0.5 * case when max(bm25) over (partition by query_id) > 0 then bm25 / max(bm25) over (partition by query_id) else 0 end, 8) as score from l")
 def hybrid_alpha_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lexical, near = _lists(spark, sf_dir, 50)
-    both = lexical.select("query_id", "doc_id", F.col("score").alias("bm25")).join(near.select("query_id", "doc_id", F.col("score").alias("cosine")), ["query_id", "doc_id"], "full").fillna(0.0, ["bm25", "cosine"])
-    return fusion.alpha_blend(both).select("query_id", "doc_id", "score")
+    return fusion.alpha_blend(_ranked_rows(spark, sf_dir)).select("query_id", "doc_id", "score")
+
+
+@query(f"{_ALL} select query_id, doc_id, round(least(1, 0.5 * cosine + 0.5 * case when max(bm25) over (partition by query_id) > 0 then bm25 / max(bm25) over (partition by query_id) else 0 end + case when starts_with(text, 'FILLED FORM DATA') then 0.15 else 0 end), 8) as score from l join documents using (doc_id)")
+def hybrid_form_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The blend with a boost of filled forms, at most 1."""
+    rows = _ranked_rows(spark, sf_dir).join(_documents(spark, sf_dir).select("doc_id", "text"), "doc_id")
+    return fusion.alpha_blend(rows, form_boost=0.15).select("query_id", "doc_id", "score")
+
+
+@query(f"{_ALL} select query_id, doc_id, round(bm25, 6) as score from l")
+def bm25_score_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score of every text for every query, 0 where no term is shared."""
+    docs = _documents(spark, sf_dir)
+    asked = bm25.keyword_queries(_stated(docs))
+    every = F.broadcast(asked.select("query_id").distinct()).crossJoin(docs.select("doc_id"))  # stated queries against all rows
+    return every.join(bm25.score(docs, asked), ["query_id", "doc_id"], "left").select("query_id", "doc_id", F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
+@query(f"with {_POST}, {_QUERIES}, {_SCORE} select query_id, doc_id, rank, score from (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from b) where rank <= 5", wide=("rank",))
+def bm25_saved_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ranking from postings that were written once and are read by their terms."""
+    docs = _documents(spark, sf_dir)
+    path = f"{shared_folder(spark)}/bm25-{uuid.uuid4().hex}"
+    bm25.save_index(docs, path)
+    asked = bm25.keyword_queries(_stated(docs))
+    return bm25.top(bm25.score(docs, asked, post=bm25.load_index(spark, path, asked)), 5).select("query_id", "doc_id", "rank", "score")
+
+
+_VARIANTS = f"""v as (select query_id, term, 0 as variant from q union all select query_id, term, 1 from q where strlen(term) >= 6 union all select query_id, term, 2 from q where regexp_matches(term, '^[a-m]')),
+vb as (select query_id, variant, doc_id, round(sum(greatest(0, ln((n_docs - df + 0.5) / (df + 0.5) + 1)) * tf * 1.9 / (tf + 0.9 * (0.5 + 0.5 * dl / avg_dl))), 6) as score from v join f using (term) join p using (term) join d using (doc_id), s group by all),
+vr as (select *, row_number() over (partition by query_id, variant order by score desc, doc_id) as rank from vb)"""
+
+
+@query(f"with {_POST}, {_QUERIES}, {_VARIANTS}, r as (select query_id, doc_id, round(sum(1.0 / (60 + rank)), 9) as score from vr group by all) {_TEN}", wide=("rank",))
+def multi_query_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists of three variants of each query (all its keywords, the long ones, those of the first half of the
+    alphabet), merged by the sum of their reciprocal ranks."""
+    docs = _documents(spark, sf_dir)
+    asked = bm25.keyword_queries(_stated(docs))
+    variants = asked.withColumn("variant", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    kept = (F.col("variant") == 0) | ((F.col("variant") == 1) & (F.octet_length("term") >= 6)) | ((F.col("variant") == 2) & F.col("term").rlike("^[a-m]"))
+    return bm25.top(retrieval.merge_variants(docs, variants.where(kept)), 10).select("query_id", "doc_id", "rank", "score")
+
+
+_FLOORS = {m: v[5] for m, v in W.MODES.items()}
+
+
+@query(f"{_ALL}, best_of as (select query_id, max(cosine) as best from l group by query_id) select query_id, best, case when best >= {_FLOORS['quick']} then 'quick' when best >= {_FLOORS['balanced']} then 'balanced' when best >= {_FLOORS['extended']} then 'extended' else 'not_found' end as route from best_of")
+def route_by_cosine_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The strictest mode whose floor a query's best cosine reaches; below all floors nothing is answered from documents."""
+    best = _ranked_rows(spark, sf_dir).groupBy("query_id").agg(F.max("cosine").alias("best"))
+    return best.select("query_id", "best", retrieval.route(F.col("best"), _FLOORS).alias("route"))
 
 
 @query(f"""with {_POST}, {_QUERIES}, {_SCORE}, r as (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from b), o as (select * from r where rank <= 20),
@@ -190,9 +264,7 @@ def diversity_best_per_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hybrid_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: both rankings, fusion, near-duplicate removal, adaptive cut and diversity for all stated queries."""
     corpus = _paired(spark, sf_dir)
-    stated = _stated(corpus)
-    words = F.size(F.filter(F.split("text", r"\s+"), lambda x: x != ""))
-    terms = stated.select(F.col("doc_id").alias("query_id"), F.explode(keyword_set(F.col("text"), W.QUESTION_STOP, 3)).alias("term"), F.lit(1).alias("mult"), words.alias("words"), "vector")
+    terms = _asked(_stated(corpus))
     return retrieval.Hybrid().retrieve(corpus.select("doc_id", "text", "vector"), terms, retrieval.Settings.of_mode("balanced"))
 
 

@@ -82,9 +82,30 @@ def history_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.groupBy("session_id").agg(turns.alias("turns")).select("session_id", questions.history_markup(F.col("turns")).alias("markup"))
 
 
+def _rough(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers as a generator may leave them: with a line said twice, a made-up court, a cut file name, hedges, a
+    citation over two lines, and a sign-off or an unfinished sentence."""
+    a = _answers(spark, sf_dir)
+    odd = F.col("chunk_index") % 2 == 0
+    cut = F.expr("substring(file_name, 1, greatest(6, length(file_name) - 6))")
+    parts = [
+        F.lit("It appears that "), "answer", F.lit("\nThe notice must be given in writing within ten days.\nThe notice must be given in writing within ten days."),
+        F.lit("\nThe Marlowe County Court decided this in 1999. See ["), cut, F.lit(", p. "), F.col("page_number").cast("string"), F.lit("].\nIt rests on [") , "file_name", F.lit(",\np. 1]."),
+        F.when(odd, "\nI hope this helps! Let me know if you have questions.").otherwise("\nThe remaining part of the"),
+    ]
+    return a.select("answer_id", "source", "file_name", F.concat(*parts).alias("answer"))
+
+
 @query()
 def answer_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _answers(spark, sf_dir).select("answer_id", cleanup.clean_answer_udf("answer", "source").alias("answer"))
+    made_up, known = F.array(F.lit("Marlowe County")), F.array("file_name")
+    return _rough(spark, sf_dir).select("answer_id", cleanup.clean_answer_udf("answer", "source", known, made_up).alias("answer"))
+
+
+@query()
+def answer_finish(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sign-offs, repeated lines, broken citations and unfinished sentences alone."""
+    return _rough(spark, sf_dir).select("answer_id", cleanup.finish_udf("answer").alias("answer"))
 
 
 @query(f"select doc_id, count(*) as pages, cast(sum(length(text)) as bigint) as size from {PAGES} group by doc_id")

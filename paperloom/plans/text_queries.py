@@ -246,11 +246,6 @@ def key_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.clause_lines(_pages(spark, sf_dir))
 
 
-@query(extract.ENTITY_SQL.format(pages=PAGES))
-def role_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.role_entities(_pages(spark, sf_dir))
-
-
 @query(r"""
 with w as (select doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: strlen(x) >= 2)) as t from documents)
 select doc_id, count(*) as tokens, count(distinct t) as distinct_tokens from w group by doc_id""")

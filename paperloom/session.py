@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -20,6 +23,7 @@ def local_session(app: str = "paperloom", cores: str = "*", **conf: str) -> Spar
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app)
     for key, value in {**base, **conf}.items():
@@ -48,18 +52,28 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all of the cluster shares: that of spark.checkpoint.dir, or, where it is unset, a temporary one."""
+    """The folder that all of the cluster shares, which spark.checkpoint.dir names.
+
+    Only a local master, which is one machine, may do without it; it then gets a temporary folder that is removed
+    at its end. On a cluster a machine's own folder would not be seen by the others, so that is an error.
+    """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="paperloom-ckpt-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named:
+            if not re.fullmatch(r"local(\[.*\])?", sc.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
+            named = tempfile.mkdtemp(prefix="paperloom-ckpt-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
+        sc.setCheckpointDir(named)
     return sc._jsc.sc().getCheckpointDir().get()
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
     """Write df to the cluster's shared checkpoint folder and cut its lineage.
 
-    The folder is the one named by spark.checkpoint.dir; only where that is unset (tests, one
-    machine) a temporary folder is used.
+    The folder is that of `shared_folder`; spark.cleaner.referenceTracking.cleanCheckpoints lets Spark remove
+    what is no longer referenced.
     """
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

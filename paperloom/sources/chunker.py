@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -100,49 +101,54 @@ def hard_split(text: str, most: int) -> list[str]:
     return out
 
 
+def paragraph_runs(text: str) -> list[tuple[str, bool, list[str]]]:
+    """(headings above it, whether a gap or heading opens it, its sentences) of each paragraph of a page; headings
+    without a paragraph stand alone."""
+    runs: list[tuple[str, bool, list[str]]] = []
+    for piece, breaks in fragments(text):
+        above = runs[-1] if runs else None
+        waiting = above is not None and not above[2]  # headings that wait for their paragraph
+        if breaks and is_heading(piece):
+            runs.append((f"{runs.pop()[0]}\n{piece}" if waiting else piece, breaks, []))
+        elif waiting:
+            runs[-1] = (above[0], breaks, [piece])
+        elif above is None or breaks:
+            runs.append(("", breaks, [piece]))
+        else:
+            above[2].append(piece)
+    return runs
+
+
+def last_whole(parts: list[str], most: int) -> list[str]:
+    """The last parts that, a blank after each, are no longer than `most` together."""
+    room, k = most, len(parts)
+    while k and size(parts[k - 1]) + 1 <= room:
+        k -= 1
+        room -= size(parts[k]) + 1
+    return parts[k:]
+
+
+def packed_run(heading: str, opens: bool, pieces: list[str], chunk_size: int, overlap: int) -> list[str]:
+    """A paragraph in chunks of whole sentences. What is cut out of the sentence that opens it repeats nothing."""
+    parts = [(n, part) for n, piece in enumerate(pieces) for part in (hard_split(piece, chunk_size) if size(piece) > chunk_size else [piece])]
+    held, fresh = ([heading + "\n"] if heading else []), []
+    out: list[str] = []
+    for n, part in parts:
+        if held and size(" ".join([*held, part])) > chunk_size:
+            out.append(" ".join(held))
+            held, fresh = [] if opens and n == 0 else last_whole(fresh, overlap), []
+        held.append(part)
+        fresh.append(part)
+    return [*out, " ".join(held)]
+
+
 def page_chunks(text: str, chunk_size: int = 1000, overlap: int = 150) -> list[tuple[str, int, int]]:
     """(text, start, end) of a page's chunks: whole sentences up to `chunk_size`, headings kept with what
     follows, whole sentences repeated up to `overlap` within a paragraph. Offsets add up chunk lengths."""
-    chunks: list[tuple[str, int, int]] = []
-    current, buffer, parked = "", [], None
-
-    def flush() -> None:
-        body = current.strip()
-        if body:
-            at = chunks[-1][2] if chunks else 0
-            chunks.append((body, at, at + size(body)))
-
-    for piece, breaks in fragments(text or ""):
-        if breaks and is_heading(piece):
-            flush()
-            current, buffer = "", []
-            parked = piece if parked is None else f"{parked}\n{piece}"
-            continue
-        if breaks or parked is not None:
-            flush()
-            current, buffer = "", []
-            if parked is not None:
-                current, parked = parked + "\n", None
-        for part in hard_split(piece, chunk_size) if size(piece) > chunk_size else [piece]:
-            if current and size(current) + size(part) + 1 > chunk_size:
-                flush()
-                current = ""
-                if not breaks:
-                    held, total = [], 0
-                    for s in reversed(buffer):
-                        if total + size(s) + 1 > overlap:
-                            break
-                        held.append(s)
-                        total += size(s) + 1
-                    current = " ".join(reversed(held))
-                buffer = []
-            current += (" " if current else "") + part
-            buffer.append(part)
-    if parked is not None:
-        flush()
-        current = parked
-    flush()
-    return chunks
+    bodies = [b.strip() for run in paragraph_runs(text or "") for b in packed_run(*run, chunk_size, overlap)]
+    bodies = [b for b in bodies if b]
+    ends = list(accumulate(map(size, bodies)))
+    return [(b, end - size(b), end) for b, end in zip(bodies, ends)]
 
 
 def chunk_documents(pages: DataFrame, chunk_size: int = 1000, overlap: int = 150, runt: int = 100) -> DataFrame:

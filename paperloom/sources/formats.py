@@ -10,6 +10,7 @@ import io
 import re
 import zipfile
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 from email import message_from_bytes, policy
 from html.parser import HTMLParser
 from xml.etree import ElementTree
@@ -21,15 +22,37 @@ from pyspark.sql import functions as F
 # The formats, their first bytes and the limits.
 EXTENSIONS = ("pdf", "docx", "txt", "md", "csv", "eml", "html", "htm", "mhtml", "xml", "xlsx", "png", "jpg", "jpeg", "tif", "tiff")
 MAGIC = {"pdf": (b"%PDF",), "png": (b"\x89PNG\r\n\x1a\n",), "jpg": (b"\xff\xd8\xff",), "jpeg": (b"\xff\xd8\xff",), "tif": (b"II*\x00", b"MM\x00*"), "tiff": (b"II*\x00", b"MM\x00*")}
-MOST_BYTES, MOST_TEXT, PAGE_BYTES = 40 * 1024 * 1024, 2_000_000, 7_000
+MOST_BYTES, PAGE_BYTES = 40 * 1024 * 1024, 7_000
 UNPRINTABLE = re.compile("[\x00-\x09\x0b-\x1f\x7f-\x9f\ue000-\uf8ff\ufff0-\U0010ffff]")
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 
 
-def tidy(text: str) -> str:
+@dataclass
+class Limits:
+    """How much of a file is read; `hit` tells afterwards whether something was left out. 0 means no limit."""
+
+    text: int = 2_000_000
+    csv_rows: int = 50_000
+    sheet_rows: int = 10_000
+    cells: int = 200
+    cell: int = 500
+    attribute: int = 300
+    xml_lines: int = 100_000
+    hit: bool = False
+
+    def cut(self, value, name: str):
+        """The first part of a text or list, as long as the limit allows."""
+        most = getattr(self, name)
+        if most and len(value) > most:
+            self.hit = True
+            return value[:most]
+        return value
+
+
+def tidy(text: str, limits: Limits | None = None) -> str:
     """Plain line ends, printable characters, at most two line ends in a run, no line more than three times in a row."""
-    text = text.encode()[:MOST_TEXT].decode(errors="ignore").replace("\r", "\n").replace("\t", " ")
+    text = (limits or Limits()).cut(text.encode(), "text").decode(errors="ignore").replace("\r", "\n").replace("\t", " ")
     lines = [line.strip() for line in re.sub(r"\n{3,}", "\n\n", UNPRINTABLE.sub("", text)).split("\n")]
     kept = [x for i, x in enumerate(lines) if not x or i < 3 or not x == lines[i - 1] == lines[i - 2] == lines[i - 3]]
     return "\n".join(kept).strip()
@@ -92,12 +115,13 @@ def markdown_text(text: str) -> str:
     return re.sub(r"(?m)^\s{0,3}(?:[#>\-*+]\s+|`{3,}.*$)", "", text)
 
 
-def csv_lines(text: str) -> list[str]:
+def csv_lines(text: str, limits: Limits | None = None) -> list[str]:
+    limits = limits or Limits()
     rows = list(csv.reader(io.StringIO(text)))
     head = [h.strip() for h in rows[0]] if rows else []
     out = []
-    for n, row in enumerate(rows[1:50_001], 1):
-        cells = [f"{head[k] if k < len(head) else f'col_{k + 1}'}: {v.strip()[:500]}" for k, v in enumerate(row[:200]) if v.strip()]
+    for n, row in enumerate(limits.cut(rows[1:], "csv_rows"), 1):
+        cells = [f"{head[k] if k < len(head) else f'col_{k + 1}'}: {limits.cut(v.strip(), 'cell')}" for k, v in enumerate(limits.cut(row, "cells")) if v.strip()]
         if cells:
             out.append(f"Row {n} | " + " | ".join(cells))
     return out
@@ -114,7 +138,8 @@ def mail_text(data: bytes, prefer_html: bool = False) -> str:
     return "\n".join(head) + "\n\n" + (f"Email Body:\n{body}" if body else "")
 
 
-def xml_lines(text: str) -> list[str]:
+def xml_lines(text: str, limits: Limits | None = None) -> list[str]:
+    limits = limits or Limits()
     if re.search(r"(?i)<!(doctype|entity)", text):
         raise ValueError("declarations of types and entities are not allowed")
     out: list[str] = []
@@ -122,13 +147,13 @@ def xml_lines(text: str) -> list[str]:
     def walk(node, path: str) -> None:
         path = f"{path}/{node.tag.split('}')[-1]}".lstrip("/")
         if (node.text or "").strip():
-            out.append(f"{path}: {node.text.strip()[:500]}")
-        out.extend(f"{path}@{k.split('}')[-1]}: {v.strip()[:300]}" for k, v in node.attrib.items() if v.strip())
+            out.append(f"{path}: {limits.cut(node.text.strip(), 'cell')}")
+        out.extend(f"{path}@{k.split('}')[-1]}: {limits.cut(v.strip(), 'attribute')}" for k, v in node.attrib.items() if v.strip())
         for child in node:
             walk(child, path)
 
     walk(ElementTree.fromstring(text), "")
-    return out[:100_000]
+    return limits.cut(out, "xml_lines")
 
 
 def docx_pages(data: bytes) -> list[str]:
@@ -158,7 +183,8 @@ def docx_pages(data: bytes) -> list[str]:
     return ["\n".join(p) for p in pages if p]
 
 
-def xlsx_lines(data: bytes) -> list[str]:
+def xlsx_lines(data: bytes, limits: Limits | None = None) -> list[str]:
+    limits = limits or Limits()
     out = []
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         names = z.namelist()
@@ -167,9 +193,7 @@ def xlsx_lines(data: bytes) -> list[str]:
         sheets = sorted((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.search(r"(\d+)\.xml", n)[1]))
         for title, sheet in zip(titles, sheets):
             head: list[str] = []
-            for n, row in enumerate(ElementTree.fromstring(z.read(sheet)).iter(f"{S}row"), 1):
-                if n > 10_000:
-                    break
+            for n, row in enumerate(limits.cut(list(ElementTree.fromstring(z.read(sheet)).iter(f"{S}row")), "sheet_rows"), 1):
                 values: list[str] = []
                 for c in row.iter(f"{S}c"):
                     at = 0
@@ -184,27 +208,28 @@ def xlsx_lines(data: bytes) -> list[str]:
                 if not head:
                     head = values
                     continue
-                cells = [f"{head[k] if k < len(head) and head[k] else f'col_{k + 1}'}: {v[:500]}" for k, v in enumerate(values[:200]) if v]
+                cells = [f"{head[k] if k < len(head) and head[k] else f'col_{k + 1}'}: {limits.cut(v, 'cell')}" for k, v in enumerate(limits.cut(values, "cells")) if v]
                 if cells:
                     out.append(f"Sheet {title} | Row {n} | " + " | ".join(cells))
     return out
 
 
-def parse(data: bytes, extension: str, provider: Callable[[bytes, str], list[str]] | None = None) -> list[str]:
+def parse(data: bytes, extension: str, provider: Callable[[bytes, str], list[str]] | None = None, limits: Limits | None = None) -> list[str]:
     """Pages of a file; raises ValueError where there is no text to be had."""
+    limits = limits or Limits()
     text = lambda: data.decode(errors="replace")
     if extension == "docx":
-        pages = [tidy(p) for p in docx_pages(data)]
+        pages = [tidy(p, limits) for p in docx_pages(data)]
     elif extension in ("pdf", "png", "jpg", "jpeg", "tif", "tiff"):
         if provider is None:
             raise ValueError(f"no provider of text for {extension}")
-        pages = [tidy(p) for p in provider(data, extension)]
+        pages = [tidy(p, limits) for p in provider(data, extension)]
     else:
         whole = {
-            "txt": text, "md": lambda: markdown_text(text()), "csv": lambda: "\n".join(csv_lines(text())), "html": lambda: html_text(text()), "htm": lambda: html_text(text()),
-            "eml": lambda: mail_text(data), "mhtml": lambda: mail_text(data, prefer_html=True), "xml": lambda: "\n".join(xml_lines(text())), "xlsx": lambda: "\n".join(xlsx_lines(data)),
+            "txt": text, "md": lambda: markdown_text(text()), "csv": lambda: "\n".join(csv_lines(text(), limits)), "html": lambda: html_text(text()), "htm": lambda: html_text(text()),
+            "eml": lambda: mail_text(data), "mhtml": lambda: mail_text(data, prefer_html=True), "xml": lambda: "\n".join(xml_lines(text(), limits)), "xlsx": lambda: "\n".join(xlsx_lines(data, limits)),
         }
-        pages = paginate(tidy(whole[extension]()))
+        pages = paginate(tidy(whole[extension](), limits))
     pages = [p for p in pages if p.strip()]
     if not pages:
         raise ValueError("no text")
@@ -227,8 +252,10 @@ def problem(content: Column, extension: Column, length: Column) -> Column:
     return F.when(~extension.isin(*EXTENSIONS), "unsupported type").when(length == 0, "empty").when(length > MOST_BYTES, "too large").when(bad, "content is not of this type")
 
 
-def load_files(spark: SparkSession, folder: str, provider: Callable[[bytes, str], list[str]] | None = None) -> DataFrame:
-    """doc_id, file_path, file_name, content_hash, page_number, text, parse_error of the files in a folder.
+def load_files(spark: SparkSession, folder: str, provider: Callable[[bytes, str], list[str]] | None = None, limits: Limits | None = None) -> DataFrame:
+    """doc_id, file_path, file_name, content_hash, page_number, text, truncated, parse_error of the files in a folder.
+
+    `truncated` tells that the limits left something of the file out.
 
     A file that can't be read gives one row with its error; others go on (files of no bytes at all are
     passed over by the reader). The id is a hash of path and
@@ -245,16 +272,16 @@ def load_files(spark: SparkSession, folder: str, provider: Callable[[bytes, str]
         for batch in batches:
             out = []
             for r in batch.itertuples(index=False):
-                error, pages = r.parse_error, []
+                error, pages, own = r.parse_error, [], replace(limits or Limits(), hit=False)
                 if error is None:
                     try:
-                        pages = parse(r.content, r.extension, provider)
+                        pages = parse(r.content, r.extension, provider, own)
                     except Exception as e:  # noqa: BLE001  (a bad file must not stop the others)
                         error = f"{type(e).__name__}: {e}"
                 for n, page in enumerate(pages, 1):
-                    out.append((r.doc_id, r.file_path, r.file_name, r.content_hash, n, page, None))
+                    out.append((r.doc_id, r.file_path, r.file_name, r.content_hash, n, page, own.hit, None))
                 if error is not None:
-                    out.append((r.doc_id, r.file_path, r.file_name, r.content_hash, None, None, error))
-            yield pd.DataFrame(out, columns=["doc_id", "file_path", "file_name", "content_hash", "page_number", "text", "parse_error"]).astype({"page_number": "Int32"})
+                    out.append((r.doc_id, r.file_path, r.file_name, r.content_hash, None, None, own.hit, error))
+            yield pd.DataFrame(out, columns=["doc_id", "file_path", "file_name", "content_hash", "page_number", "text", "truncated", "parse_error"]).astype({"page_number": "Int32"})
 
-    return rows.mapInPandas(run, "doc_id string, file_path string, file_name string, content_hash string, page_number int, text string, parse_error string")
+    return rows.mapInPandas(run, "doc_id string, file_path string, file_name string, content_hash string, page_number int, text string, truncated boolean, parse_error string")

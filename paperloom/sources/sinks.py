@@ -7,12 +7,14 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.session import checkpoint
 
-def citation_lines(citations: DataFrame) -> DataFrame:
-    """line: Source, File, Page, Score, Excerpt as CSV with doubled quotes. citations: n, file_name, page_number, score, excerpt."""
+
+def citation_lines(citations: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """n, line (and the columns to keep): Source, File, Page, Score, Excerpt as CSV with doubled quotes. citations: n, file_name, page_number, score, excerpt."""
     quote = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
     line = F.concat_ws(",", F.col("n").cast("string"), quote(F.col("file_name")), F.col("page_number").cast("string"), F.format_string("%.3f", F.col("score").cast("double")), quote(F.substring("excerpt", 1, 200)))
-    return citations.select("n", line.alias("line"))
+    return citations.select(*keep, "n", line.alias("line"))
 
 
 def memo(turns: DataFrame) -> DataFrame:
@@ -26,9 +28,26 @@ def report_json(summary: DataFrame) -> DataFrame:
     return summary.select(F.to_json(F.struct(*[F.col(c) for c in summary.columns])).alias("json"))
 
 
-def overwrite_documents(rows: DataFrame, path: str) -> None:
-    """Write rows so that the partitions of their documents, and no others, are replaced."""
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("doc_id").parquet(path)
+BUCKETS = 256
+
+
+def replace_documents(rows: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """Put rows into a table of documents in place of what it has of these documents.
+
+    The table lies in folders by a hash of doc_id. Only folders of documents that come in are rewritten, each by a
+    few tasks; their other documents are carried over through a checkpoint, as a table can't be read while it is
+    written. All rows of a document must come in at once.
+    """
+    spark = rows.sparkSession
+    fresh = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    merged = fresh
+    if files.exists(place) and files.listStatus(place):
+        touched = fresh.select("bucket").distinct()  # at most `buckets` rows
+        old = spark.read.parquet(path).join(F.broadcast(touched), "bucket", "left_semi").join(fresh.select("doc_id").distinct(), "doc_id", "left_anti")
+        merged = checkpoint(old.select(*fresh.columns).unionByName(fresh))
+    merged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
 
 def session_name(question: str, names: list[str] = ()) -> str:

@@ -14,10 +14,12 @@ PAGES = "doc_id string, file_path string, content_hash string, page_number int,
 
 
 def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    try:
-        return spark.read.parquet(path)
-    except Exception:  # noqa: BLE001  (no batch has been written yet)
+    """A table of batches; empty before the first one is written. Any other trouble with reading it is an error."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(place) or not files.listStatus(place):
         return spark.createDataFrame([], schema)
+    return spark.read.parquet(path)
 
 
 def merge_batch(store: str, chunk_size: int = 1000, overlap: int = 150) -> Callable[[DataFrame, int], None]:
@@ -52,10 +54,10 @@ def start(spark: SparkSession, source: str, store: str, checkpoint: str, trigger
 
 
 def current(spark: SparkSession, store: str, table: str) -> DataFrame:
-    """The rows of a table that belong to the last version of each path."""
-    ledger = spark.read.parquet(f"{store}/ledger")
-    last = ledger.groupBy("file_path").agg(F.max_by("doc_id", "batch").alias("doc_id")).select("doc_id").distinct()
-    return spark.read.parquet(f"{store}/{table}").join(last, "doc_id", "left_semi")
+    """The rows of a table that belong to the last version of each path, which the batch that took it in wrote."""
+    ledger = _read(spark, f"{store}/ledger", "file_path string, content_hash string, doc_id string, batch int")
+    last = ledger.groupBy("file_path").agg(F.max_by(F.struct("doc_id", "batch"), "batch").alias("v")).select("v.doc_id", "v.batch").distinct()
+    return spark.read.parquet(f"{store}/{table}").join(last, ["doc_id", "batch"], "left_semi").drop("batch")
 
 
 def arrivals(pages: DataFrame, delay: str = "3 days", window: str = "1 day") -> DataFrame:

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import cleanup, excerpts, questions
 from paperloom.functions import text as T
-from paperloom.functions.sentences import paragraphs, sentence_spans
 from paperloom.operators import classify, jurisdiction
 from paperloom.sources import chunker
 
@@ -92,13 +91,6 @@ def test_excerpts():
     assert excerpts.sentences("Mr. Smith paid Inc. No. 5 today. Then left the place.") == ["Mr. Smith paid Inc. No. 5 today.", "Then left the place."]
 
 
-def test_sentence_ends():
-    t = 'Dr. No v. J. R. Doe at 5 p.m. as usual. "Did he?" counsel asked. See 40 U.S.C. § 3. (See page 4.) Paid... and gone. 1. Next'
-    got = [t[a:b] for a, b in sentence_spans(t, 0, len(t))]
-    assert got == ["Dr. No v. J. R. Doe at 5 p.m. as usual.", '"Did he?" counsel asked.', "See 40 U.S.C. § 3.", "(See page 4.)", "Paid... and gone.", "1. Next"]
-    assert [("a\n \nb")[a:b] for a, b in paragraphs("a\n \nb")] == ["a", "b"]
-
-
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet="ab. \nA1é", max_size=400), st.integers(20, 90))
 def test_chunks_hold_everything(text, most):
