@@ -84,8 +84,14 @@ def score(docs: DataFrame, queries: DataFrame, id_: str = "doc_id", group: str |
     # idf belongs to the few query terms, so it is joined to them and not to the postings
     wanted = wanted.join(terms, [*extra, "term"])
     wanted = wanted.join(corpus, extra) if group else wanted.join(F.broadcast(corpus))  # one row
-    wanted = wanted.select(*extra, "query_id", "term", (F.col("mult") * idf(F.col("n_docs"), F.col("df"))).alias("qw"), "avg_dl")
-    hits = post.join(wanted, [*extra, "term"])
+    wanted = checkpoint(wanted.select(*extra, "query_id", "term", (F.col("mult") * idf(F.col("n_docs"), F.col("df"))).alias("qw"), "avg_dl"))
+    matched = post.where(F.col("term") != NO_TERM)
+    if wanted.count() <= BROADCAST_TERMS:
+        # every document's postings lie in one task and meet the query terms there, so that the scores, of which
+        # there are many more than postings, are summed up without a shuffle
+        hits = matched.repartition(id_).join(F.broadcast(wanted), [*extra, "term"])
+    else:
+        hits = matched.join(wanted, [*extra, "term"])
     return hits.groupBy(*extra, "query_id", id_).agg(F.round(F.sum(F.col("qw") * weight(F.col("tf"), F.col("dl"), F.col("avg_dl"))), 6).alias("score"))
 
 
