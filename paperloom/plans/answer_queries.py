@@ -281,7 +281,16 @@ def relevance_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ranked(spark, sf_dir).select("doc_id", "rank", label.alias("relevance"), F.round(F.least(F.col("score") / 0.035, F.lit(1.0)), 6).alias("shown"))
 
 
-@query()
+_COMPRESS = r"(x <> '' and not regexp_matches(x, '^[_\-=.]+$') and not (regexp_matches(x, '^[Pp]age ') and strlen(x) < 15) and not (strlen(x) > 5 and not regexp_matches(x, '[\p{L}\p{N}]') and len(list_distinct(string_split(x, ''))) <= 2))"
+_CONTEXT = f"""{_BUDGET.replace("1000", "5500")}, h as ({_HEADER_SQL.replace("from c)", "from b4)")}), mx as (select doc_id, max(score) as most from s group by doc_id),
+ln as (select doc_id, rank, unnest(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g')))) as x, generate_subscripts(string_split(text, chr(10)), 1) as i from b4),
+cl as (select doc_id, rank, coalesce(string_agg(x, chr(10) order by i) filter (where {_COMPRESS}), '') as body from ln group by doc_id, rank),
+lb as (select h.*, body, '--- Source ' || rank || ': ' || file_name || ' | p. ' || page_number || case when header is null then '' else ' | §' || header end || ' | relevance: ' || case when score / most > 0.85 then 'high' when score / most > 0.60 then 'medium' else 'low' end || ' ---' || chr(10) as label, count(*) over (partition by doc_id) as cnt from h join mx using (doc_id) join cl using (doc_id, rank)),
+pa as (select doc_id, label || case when length(body) <= greatest(0, budget - length(label)) then body else substring(body, 1, greatest(0, budget - length(label))) || '...' end as part, case when cnt < 3 or rank = 1 then rank when rank = 2 then cnt else cnt - rank + 2 end as place from lb),
+tt as (select *, sum(length(part) + case when place > 1 then 7 else 0 end) over (partition by doc_id order by place rows unbounded preceding) as total from pa)"""
+
+
+@query(f"with {_CONTEXT} select doc_id, string_agg(part, chr(10) || chr(10) || '---' || chr(10) || chr(10) order by place) as context, count(*) as used from tt where total <= 5500 group by doc_id")
 def context_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.assemble(C.budgets(_ranked(spark, sf_dir), 5500, 200), 5500)
 

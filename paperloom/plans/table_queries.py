@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions import cleanup, excerpts, questions
-from paperloom.plans.answer_queries import _answers, _chunks, _turns
+from paperloom.plans.answer_queries import _TURNS, _answers, _chunks, _turns
 from paperloom.plans.registry import query
 from paperloom.plans.text_queries import PAGES, _pages
 from paperloom.session import read_table
@@ -58,10 +58,17 @@ def question_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("doc_id", "n", F.posexplode(questions.variants_udf("q")).alias("variant_no", "variant"))
 
 
-@query()
+_WORDY = "len(list_filter(regexp_split_to_array(p, '\\s+'), lambda x: x <> '')) >= 2"
+_CUTS = ", ".join(f"case when len(string_split(q, '{j}')) between 2 and 4 and len(list_filter(string_split(q, '{j}'), lambda p: not ({_WORDY}))) = 0 then len(string_split(q, '{j}')) else 0 end as n{k}" for k, j in enumerate(questions.JOINTS))
+
+
+@query(f"""with s as (select doc_id, unnest(string_split(text, '. ')) as x, generate_subscripts(string_split(text, '. '), 1) - 1 as n from documents), t as (select doc_id, n, regexp_replace(regexp_replace(x, '^\\s+|\\s+$', '', 'g'), '\\?+$', '') as q from s),
+c as (select *, {_CUTS} from t), b as (select doc_id, n, case when greatest(n0, n1, n2) = 0 then [] when n0 = greatest(n0, n1, n2) then string_split(q, ' and ') when n1 = greatest(n0, n1, n2) then string_split(q, ' & ') else string_split(q, ' as well as ') end as parts from c),
+f as (select doc_id, n, list_filter(list_transform(parts, lambda p: regexp_replace(p, '^\\s+|\\s+$', '', 'g')), lambda p: strlen(p) > 5) as parts from b)
+select doc_id, n, generate_subscripts(parts, 1) - 1 as part_no, unnest(parts) as part from f""", wide=("n", "part_no"))
 def question_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = read_table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", r"\. ")).alias("n", "q"))
-    return s.select("doc_id", "n", F.posexplode(questions.parts_udf("q")).alias("part_no", "part"))
+    return s.select("doc_id", "n", F.posexplode(questions.parts(F.col("q"))).alias("part_no", "part"))
 
 
 @query()
@@ -69,11 +76,13 @@ def followup_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _turns(spark, sf_dir)
     before = F.lag("content").over(Window.partitionBy("session_id").orderBy("turn"))
     rows = t.withColumn("before", before).where("role = 'user'")
-    asked = F.concat(F.lit("what about "), "content")
+    # every other question is one that stands by itself
+    asked = F.when(F.col("turn") % 4 < 2, F.concat(F.lit("what about "), "content")).otherwise(F.col("content"))
     return rows.select("session_id", "turn", questions.follow_up_udf(asked, "before", "before").alias("question"))
 
 
-@query()
+@query(f"""with {_TURNS}, l as (select *, lead(role) over w as nr, lead(content) over w as na from m window w as (partition by session_id order by turn)), p as (select *, row_number() over (partition by session_id order by turn desc) as back from l where role = 'user' and nr = 'assistant')
+select session_id, string_agg('<|im_start|>user' || chr(10) || substr(content, 1, 400) || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) || substr(na, 1, 600) || '<|im_end|>' || chr(10), '' order by turn) as markup from p where back <= 2 group by session_id""")
 def history_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from paperloom.operators.registry_ops import paired_turns
 
