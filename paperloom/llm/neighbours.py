@@ -1,7 +1,7 @@
 """Problem 4: the k most similar vectors of every vector, by a permutation index.
 
 Every vector is represented by its ordered nearest pivots. It is posted in the inverted file of its
-nearest pivot and looked up in the files of its first `probes` pivots. In each file the footrule
+nearest pivot and looked up in the files of those of its pivots that are about as near. In each file the footrule
 distance of the truncated permutations ranks the candidates, for the one that asks and for those
 that are posted, and the best `keep` are reranked by the cosine in double precision.
 
@@ -71,6 +71,19 @@ class Pivots:
         return who
 
 
+def closeness_to(x: np.ndarray, pivots: np.ndarray, perm: np.ndarray) -> np.ndarray:
+    """The cosine of each row to its ordered pivots."""
+    return np.concatenate([np.einsum("ij,ikj->ik", x[a : a + 2048], pivots[perm[a : a + 2048]]) for a in range(0, len(x), 2048)] or [np.zeros(perm.shape, np.float32)])
+
+
+def reach_of(sim: np.ndarray, probes: float) -> float:
+    """How much farther than its nearest pivot others may be for a row to be looked up there, so that rows are
+    looked up under `probes` pivots on average."""
+    gaps = np.sort((sim[:, :1] - sim[:, 1:]).ravel())
+    wanted = int(round((probes - 1) * len(sim)))
+    return float(gaps[min(wanted, len(gaps)) - 1]) if wanted and len(gaps) else -1.0
+
+
 def best_columns(sim: np.ndarray, many: int) -> np.ndarray:
     """Numbers of the `many` largest columns of each row, largest first."""
     top = np.argpartition(sim, sim.shape[1] - many, axis=1)[:, sim.shape[1] - many :]
@@ -217,13 +230,15 @@ def parts_of_files(file: np.ndarray, home: np.ndarray, h1: np.ndarray, asking: n
     return tuple(np.concatenate(p) for p in (rows, parts_a, parts_b, roles))
 
 
-def nearest(vectors: DataFrame, k: int = 5, dim: int = 64, per_file: int = 240, probes: int = 3, keep: int = 64, block: int = 4096) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 5, dim: int = 64, per_file: int = 240, probes: float = 3, keep: int = 64, block: int = 4096) -> DataFrame:
     """vec_id, near_id, rank, cosine: the k most similar other vectors of every usable vector.
 
     Unusable (null, wrong length, null or not finite element, all zero) vectors and null ids take no
     part. Ties of the cosine, rounded to 6 decimals, go to the smaller id; a row repeated with the
     same id and vector counts once. Pivots are fitted on a hash sample of the ids (`sample_size` rows, which
     grow with the root of the table beyond MEANS * per_file rows); every vector is indexed and looked up.
+    A vector is posted under its nearest pivot and looked up under all of its first PREFIX that are not much
+    farther than that, `probes` on average: more in dense regions, where many files are near.
     A file with more than `block` posted or asking rows, as the sample tells, is searched in parts.
     """
     spark = vectors.sparkSession
@@ -245,13 +260,19 @@ def nearest(vectors: DataFrame, k: int = 5, dim: int = 64, per_file: int = 240,
         chosen = [np.asarray(r["vector"], dtype=np.float32).tobytes() for r in keyed.orderBy(place, "vec_id").limit(wanted).collect()]
     unit = np.frombuffer(b"".join(chosen), dtype=np.float32).reshape(-1, dim).astype(np.float64)
     unit = (unit / np.sqrt((unit * unit).sum(axis=1))[:, None]).astype(np.float32)
-    pivots = Pivots(fit_pivots(unit, count))
+    # the pivots lie nearer to the rows they are means of, so reach and sizes are measured on rows that were left out
+    kept_out = len(unit) // 5
+    pivots = Pivots(fit_pivots(unit[kept_out:], count))
     total = len(pivots.pivots)
-    width, probes = min(PREFIX, total), min(probes, total)
-    seen = pivots.ordered(unit, probes)
-    scale = rows / len(unit) / block
+    width = min(PREFIX, total)
+    measured = unit[:kept_out] if kept_out > 100 else unit
+    seen = pivots.ordered(measured, width)
+    sim = closeness_to(measured, pivots.pivots, seen)
+    reach = reach_of(sim, probes)
+    looked = (sim >= sim[:, :1] - reach) & (np.arange(width) > 0) | (np.arange(width) == 0)
+    scale = rows / len(measured) / block
     posted = np.maximum(1, np.ceil(np.bincount(seen[:, 0], minlength=total) * scale)).astype(np.int64)
-    asking = np.maximum(1, np.ceil(np.bincount(seen.ravel(), minlength=total) * scale)).astype(np.int64)
+    asking = np.maximum(1, np.ceil(np.bincount(seen[looked], minlength=total) * scale)).astype(np.int64)
     shared = spark.sparkContext.broadcast((pivots, asking, posted))
     number_type = np.uint16 if total <= 65_536 else np.int32
 
@@ -272,10 +293,11 @@ def nearest(vectors: DataFrame, k: int = 5, dim: int = 64, per_file: int = 240,
             perm = pv.ordered(x[first].astype(np.float32), PREFIX)
             payload = [p.tobytes() + v.tobytes() for p, v in zip(perm.astype(number_type), raw[first])]
             h1, h2 = batch["h1"].to_numpy()[first], batch["h2"].to_numpy()[first]
-            file = perm[:, :probes].ravel()
-            home = np.arange(len(file)) % probes == 0
-            row, a, b, role = parts_of_files(file, home, np.repeat(h1 & 0x7FFFFFFFFFFFFFFF, probes), blocks_a, blocks_b)
-            c = row // probes
+            sim = closeness_to(x[first].astype(np.float32), pv.pivots, perm)
+            at, place = np.nonzero((sim >= sim[:, :1] - reach) | (np.arange(width) == 0))
+            file = perm[at, place]
+            row, a, b, role = parts_of_files(file, place == 0, h1[at] & 0x7FFFFFFFFFFFFFFF, blocks_a, blocks_b)
+            c = at[row]
             yield pd.DataFrame({"file": file[row], "a": a, "b": b, "role": role, "h1": h1[c], "h2": h2[c], "ids": [ids[i] for i in c], "payload": [payload[i] for i in c]})
 
     def search(group: pd.DataFrame) -> pd.DataFrame:
@@ -301,7 +323,7 @@ def nearest(vectors: DataFrame, k: int = 5, dim: int = 64, per_file: int = 240,
         return pd.DataFrame({"h1": one["h1"].to_numpy()[at], "h2": one["h2"].to_numpy()[at], "near": [r[1] for r in out], "cosine": [r[2] for r in out]})
 
     # tasks of a fixed number of rows, whatever the session's setting is
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows * probes // 24_000)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(rows * probes) // 24_000)
     routed = keyed.mapInPandas(route, ROUTED).repartition(tasks, "file", "a", "b")
     parts = routed.groupBy("file", "a", "b").applyInPandas(search, "h1 bigint, h2 int, near array<bigint>, cosine array<double>")
     lists = (
