@@ -173,3 +173,19 @@ def any_of(text: Column, phrases: tuple[str, ...]) -> Column:
     for p in phrases:
         out = out | text.contains(p)
     return out
+
+
+def pdf_string(data: Column) -> Column:
+    """Text of the bytes of a PDF string: UTF-16BE behind its mark, else UTF-8 with what is no text replaced."""
+    wide = F.decode(F.substring(data, 3, 1_000_000_000), "UTF-16BE")
+    return F.when(F.substring(data, 1, 2) == F.lit(b"\xfe\xff"), wide).otherwise(F.make_valid_utf8(data.cast("string")))
+
+
+def byte_prefix(text: Column, most: int) -> Column:
+    """The longest beginning of a text of at most `most` bytes that ends with a whole character."""
+    cut = F.make_valid_utf8(F.substring(F.encode(text, "UTF-8"), 1, most).cast("string"))
+    # the half of a character at the end has become one or more replacement signs; those of the text itself have three bytes
+    whole = F.regexp_replace(cut, "\ufffd+$", "")
+    kept = F.length(whole) + F.floor((most - F.octet_length(whole)) / 3)
+    own = F.substring(text, F.lit(1), kept.cast("int"))
+    return F.when(F.octet_length(text) <= most, text).when(own.endswith("\ufffd") & (F.octet_length(own) <= most), own).otherwise(whole)

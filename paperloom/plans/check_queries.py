@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from paperloom.functions import text as T
 from paperloom.functions import words as W
 from paperloom.operators import answers as A
 from paperloom.operators import bm25, extract, jurisdiction
@@ -15,7 +16,7 @@ from paperloom.plans.answer_queries import _ANSWERS, _TURNS, _answers, _chunks,
 from paperloom.plans.registry import query
 from paperloom.plans.text_queries import PAGES, _pages, _quote, sql_any
 from paperloom.session import read_table, shared_folder
-from paperloom.sources import sinks
+from paperloom.sources import cases, sinks
 from paperloom.streaming import ingest
 
 # Answers that name courts, counties, case numbers and parties: half of what they name stands in the file, half is made up.
@@ -237,3 +238,32 @@ def citation_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.row_number().over(Window.partitionBy("doc_id").orderBy("chunk_index", "page_number", "text"))
     rows = _chunks(spark, sf_dir).withColumn("n", n).select("doc_id", "n", "file_name", "page_number", (1.0 / (60 + F.col("n"))).alias("score"), F.col("text").alias("excerpt"))
     return sinks.citation_lines(rows, keep=("doc_id",)).select("doc_id", "n", F.md5(F.encode("line", "UTF-8")).alias("line"))
+
+
+@query("""with f as (select doc_id, min(file_name) as file_name from files group by doc_id), j as (select 'in/' || file_name as pdf, 'What is in ' || file_name || '?' as query, case when doc_id like '%3' then 'negative' end as type from f)
+select pdf, query, regexp_replace(regexp_extract(pdf, '([^/]*)$', 1), '\\.[^.]*$', '') || ': ' || substring(query, 1, 30) as label, 6 as top_k, coalesce(type, 'standard') as type, 'medium' as difficulty, coalesce(type = 'negative', false) as negative from j""", wide=("top_k",))
+def eval_case_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases written as JSON with most fields left out, and read with their defaults."""
+    path = f"{shared_folder(spark)}/cases-{uuid.uuid4().hex}"
+    f = read_table(spark, sf_dir, "files").groupBy("doc_id").agg(F.min("file_name").alias("file_name"))
+    f.select(F.concat(F.lit("in/"), "file_name").alias("pdf"), F.concat(F.lit("What is in "), "file_name", F.lit("?")).alias("query"), F.when(F.col("doc_id").like("%3"), "negative").alias("type")).write.json(path)
+    return cases.with_defaults(spark.read.schema(cases.SCHEMA).json(path)).select("pdf", "query", "label", "top_k", "type", "difficulty", "negative")
+
+
+@query("select doc_id, text as wide, text as plain from documents where text is not null")
+def pdf_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as the two kinds of byte strings that PDF files hold, and decoded again."""
+    d = read_table(spark, sf_dir, "documents").where("text is not null")
+    wide = F.concat(F.lit(b"\xfe\xff"), F.encode("text", "UTF-16BE"))
+    return d.select("doc_id", T.pdf_string(wide).alias("wide"), T.pdf_string(F.encode("text", "UTF-8")).alias("plain"))
+
+
+@query("with t as (select case_id, name, description, created_at from cases) select 'cases' as name, count(*) as n, count(description) as filled from t union all select 'files', (select count(*) from (select distinct doc_id, file_name, case_id from files)), (select count(case_id) from (select distinct doc_id, file_name, case_id from files)) union all select 'settings', 0, 0")
+def state_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables saved as JSON and loaded again, with one that was never saved."""
+    path = f"{shared_folder(spark)}/state-{uuid.uuid4().hex}"
+    own = {"cases": read_table(spark, sf_dir, "cases").select("case_id", "name", "description", "created_at"), "files": read_table(spark, sf_dir, "files").select("doc_id", "file_name", "case_id").distinct()}
+    cases.save_state(own, path)
+    got = cases.load_state(spark, path, {**{k: ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in v.schema) for k, v in own.items()}, "settings": "key string, value string"})
+    row = lambda name, column: got[name].agg(F.count("*").alias("n"), F.count(column).alias("filled")).select(F.lit(name).alias("name"), "n", "filled")
+    return row("cases", "description").unionByName(row("files", "case_id")).unionByName(row("settings", "value"))

@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 
 from paperloom import session
 from paperloom.functions import cleanup
+from paperloom.functions import text as T
 from paperloom.operators import answers as A
 from paperloom.operators import bm25, extract, retrieval, vectors
 from paperloom.operators import registry_ops as R
-from paperloom.sources import formats, samples, sinks
+from paperloom.sources import cases, formats, samples, sinks
 from paperloom.streaming import ingest
 
 
@@ -182,3 +183,18 @@ def test_sessions_and_paths(spark):
     assert [r["session_id"] for r in shown.collect()] == [1] and R.without(s, "session_id", 2).count() == 3
     url = lambda u: spark.range(1).select(R.path_of_url(F.lit(u))).first()[0]
     assert url("/a%20b+c%25.pdf") == "/a b+c%.pdf" and url("/100%.pdf") == "/100%.pdf"
+
+
+@pytest.mark.parametrize("text", ["", "plain", "größe über alles", "a\U0001f600b\U0001f600", "x\ufffdy\ufffd\ufffd", "é" * 40, None])
+def test_prefixes_of_bytes_end_with_a_character(spark, text):
+    df = spark.createDataFrame([(text,)], "text string")
+    for most in range(0, 14):
+        got = df.select(T.byte_prefix(F.col("text"), most)).first()[0]
+        assert got == (None if text is None else text.encode()[:most].decode(errors="ignore"))
+
+
+def test_cases_and_states(spark, tmp_path):
+    (tmp_path / "eval.json").write_text('[{"pdf": "in/lease one.pdf", "query": "Who is the tenant of the northern flat?"}, {"pdf": "b.pdf", "query": "q", "expected": ["x"], "type": "adversarial", "top_k": 3}, {"pdf": null, "query": "q"}, {"pdf": "c.pdf", "query": "q", "type": "negative"}]')
+    got = {r["pdf"]: r for r in cases.load_cases(spark, str(tmp_path / "eval.json")).collect()}
+    assert len(got) == 3 and got["in/lease one.pdf"]["label"] == "lease one: Who is the tenant of the north" and got["in/lease one.pdf"]["top_k"] == 6
+    assert [got[k]["negative"] for k in ("in/lease one.pdf", "b.pdf", "c.pdf")] == [False, False, True]
