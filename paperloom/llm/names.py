@@ -221,6 +221,33 @@ def close(a: str, b: str) -> int:
     return min(distance(a, b, 2), distance(skeleton(a), skeleton(b), 2) or 1) if a != b else 0
 
 
+class GivenIndex:
+    """Given names seen so far, by all that `same_given` can go by: sound, beginnings, nicknames and single slips."""
+
+    def __init__(self) -> None:
+        self.order: dict[str, int] = {}
+        self.by_key: dict[str, list[str]] = {}
+
+    @staticmethod
+    def keys(g: str) -> tuple[set[str], set[str]]:
+        """(keys to be found under, keys to look up)."""
+        sk = skeleton(g)
+        full = {f"n:{f}" for f in (g, *NICKNAMES.get(g, ()))}
+        slips = {f"d:{sk}", *(f"d:{sk[:k]}{sk[k + 1 :]}" for k in range(len(sk)))} if len(sk) >= 4 else set()
+        heads = [sk[:k] for k in range(2, len(sk) + 1)]
+        return {f"s:{sk}", *(f"h:{h}" for h in heads)} | full | slips, {f"h:{sk}", *(f"s:{h}" for h in heads), f"s:{sk}"} | full | slips
+
+    def add(self, g: str) -> None:
+        self.order[g] = len(self.order)
+        for key in self.keys(g)[0]:
+            self.by_key.setdefault(key, []).append(g)
+
+    def like(self, g: str) -> list[str]:
+        """The names that may be one with g, in the order they were added."""
+        found = {h for key in self.keys(g)[1] for h in self.by_key.get(key, ())}
+        return sorted(found, key=self.order.__getitem__)
+
+
 def resolve(forms: list[tuple[str, str, str, str, int]], own: Iterable[str] = ()) -> list[tuple[list[str], bool]]:
     """Parties of one family of names: for each form (kind, given, middle, suffix, count) the labels it
     can stand for, and whether a given name or business other than a nickname or initial stands behind them.
@@ -238,9 +265,11 @@ def resolve(forms: list[tuple[str, str, str, str, int]], own: Iterable[str] = ()
         if len(g) > 1:
             weight[g] = weight.get(g, 0) + forms[i][4]
     roots: dict[str, str] = {}
+    seen = GivenIndex()
     for g in sorted(weight, key=lambda g: (g in NICKNAMES and g not in GIVEN, len(g) < 4, g not in GIVEN, -weight[g], g)):
-        fits = [roots[h] for h in roots if same_given(g, h, own) and (h == roots[h] or skeleton(h) == skeleton(roots[h]))]
-        roots[g] = fits[0] if fits else g
+        fit = next((roots[h] for h in seen.like(g) if same_given(g, h, own) and (h == roots[h] or skeleton(h) == skeleton(roots[h]))), g)
+        roots[g] = fit
+        seen.add(g)
     groups: dict[str, list[int]] = {}
     for i in persons:
         if len(forms[i][1]) > 1:
@@ -251,15 +280,15 @@ def resolve(forms: list[tuple[str, str, str, str, int]], own: Iterable[str] = ()
         for s in suffixes or [""]:
             mids = sorted({forms[i][2] for i in rows if forms[i][3] in ("", s)} - {""}) if len(suffixes) < 2 else sorted({forms[i][2] for i in rows if forms[i][3] == s} - {""})
             parties.extend((g, m, s) for m in (mids if len(mids) > 1 else [mids[0] if mids else ""]))
+    by_root: dict[str, list[tuple[str, str, str]]] = {}
+    by_sound: dict[str, list[tuple[str, str, str]]] = {}
+    for p in parties:
+        by_root.setdefault(p[0], []).append(p)
+        by_sound.setdefault(skeleton(p[0])[:1], []).append(p)
     for i in persons:
         _, given, middle, suffix, _ = forms[i]
-        fits = [
-            p
-            for p in parties
-            if (given == "" or (skeleton(p[0])[:1] == skeleton(given)[:1] if len(given) == 1 else p[0] == roots[given]))
-            and (not middle or not p[1] or p[1] == middle)
-            and (not suffix or not p[2] or p[2] == suffix)
-        ]
+        near_by = parties if given == "" else by_sound.get(skeleton(given)[:1], []) if len(given) == 1 else by_root.get(roots[given], [])
+        fits = [p for p in near_by if (not middle or not p[1] or p[1] == middle) and (not suffix or not p[2] or p[2] == suffix)]
         labels[i] = ["p|" + "|".join(p) for p in fits] or [f"p|{given}||{suffix}"]
     orgs = [i for i, f in enumerate(forms) if f[0] == "org"]
     trades = sorted({forms[i][1] for i in orgs}, key=lambda t: (-len(t.split()), t))

@@ -176,3 +176,20 @@ def test_pairs_of_a_hot_party(spark):
     got = [(r["key_a"], r["key_b"]) for r in E.mention_pairs(df, block=7).collect()]
     assert len(got) == len(set(got)) == 60 * 59 // 2 + 1 and all(a < b for a, b in got)
     assert {(r["key"], r["mentions"]) for r in E.parties(df).where("party <> 'p'").collect()} == {("x", 2), ("y", 2), ("z", 1)}
+
+
+def test_large_families_are_resolved_by_look_up():
+    """The index gives what a comparison with all names gives, and a family of thousands of names takes seconds."""
+    import time
+
+    rng = random.Random(8)
+    names = sorted(set(N.NICKNAMES) | N.GIVEN)
+    names += ["".join(rng.choice("aeioumnrstl") for _ in range(rng.randint(2, 9))) for _ in range(300)]
+    names = list(dict.fromkeys(names))
+    index = N.GivenIndex()
+    for n, g in enumerate(names):
+        assert [h for h in index.like(g) if N.same_given(g, h)] == [h for h in names[:n] if N.same_given(g, h)]
+        index.add(g)
+    many = list(dict.fromkeys("".join(rng.choice("abdefgiklmnoprstuvz") for _ in range(8)) for _ in range(6000)))
+    began = time.time()
+    assert len(N.resolve([("person", g, "", "", 1) for g in many])) == len(many) and time.time() - began < 20
