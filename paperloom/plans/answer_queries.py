@@ -1,7 +1,7 @@
 """Queries of context, answer checks, grading, evaluation and bookkeeping.
 
 Answers are formed from the data: the text of a chunk with a citation of its file, of a page that may be
-beyond its end, or, for every fifth chunk, of the file that follows by name.
+beyond its end, or, for every fifth chunk, of another file.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from paperloom.plans.text_queries import _HEADER_SQL, PAGES, _pages, _quote, sql
 from paperloom.session import read_table
 
 _CHUNKS = "c as (select distinct doc_id, chunk_index, file_name, page_number, text from chunks)"
-_ANSWERS = f"""{_CHUNKS}, nf as (select file_name, lead(file_name) over (order by file_name) as following from (select distinct file_name from c)),
+_ANSWERS = f"""{_CHUNKS}, nf as (select file_name, lead(file_name) over (partition by substr(md5(file_name), 1, 1) order by file_name) as following from (select distinct file_name from c)),
 a as (select doc_id || ':' || chunk_index || ':' || page_number || ':' || md5(text) as answer_id, doc_id, chunk_index, c.file_name, page_number, text as source, text || ' [' || case when chunk_index % 5 = 0 then coalesce(following, c.file_name) else c.file_name end || ', p. ' || (page_number + chunk_index % 3) || ']' as answer from c join nf using (file_name))"""
 
 
@@ -32,8 +32,9 @@ def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _chunks(spark, sf_dir)
     names = c.select("file_name").distinct()
-    # the file that follows by name: a total order of the names of files, which are few beside the chunks
-    following = names.withColumn("following", F.lead("file_name").over(Window.orderBy("file_name")))
+    # another file: the one that follows by name among those of the same hash digit
+    digit = F.substring(F.md5(F.encode("file_name", "UTF-8")), 1, 1)
+    following = names.withColumn("following", F.lead("file_name").over(Window.partitionBy(digit).orderBy("file_name")))
     cited = F.when(F.col("chunk_index") % 5 == 0, F.coalesce("following", "file_name")).otherwise(F.col("file_name"))
     page = (F.col("page_number") + F.col("chunk_index") % 3).cast("string")
     answer_id = F.concat_ws(":", "doc_id", F.col("chunk_index").cast("string"), F.col("page_number").cast("string"), F.md5(F.encode("text", "UTF-8")))
