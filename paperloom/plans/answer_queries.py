@@ -6,6 +6,8 @@ beyond its end, or, for every fifth chunk, of another file.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -240,16 +242,25 @@ def eval_mode_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- context
 
 
-_RANKED = f"{_CHUNKS}, r as (select *, row_number() over (partition by doc_id order by length(text) desc, chunk_index, page_number, text) as rank from c), s as (select *, 1.0 / (60 + rank) as score from r where rank <= 6)"
+# Every file is asked the same question; its chunks are ranked for it.
+_QUESTION = "what deposit and rent must the tenant or buyer pay under the agreement, and who keeps the premises in good repair"
+_KEYWORDS = sorted({w for w in re.split(r"[^a-z]+", _QUESTION) if len(w) >= 3} - set(W.QUESTION_STOP))
+_RANKED = f"""{_CHUNKS}, ck as (select *, chunk_index || ':' || page_number || ':' || md5(text) as k from c), q as (select distinct doc_id, unnest({_KEYWORDS}) as term from c),
+bp as (select doc_id, k, term, count(*) as tf from (select doc_id, k, unnest({_TERMS}) as term from ck) group by all), bd as (select doc_id, k, coalesce(len({_TERMS}), 0) as dl from ck), bs as (select doc_id, count(*) as n_docs, avg(dl) as avg_dl from bd group by doc_id), bf as (select doc_id, term, count(*) as df from bp group by all),
+b as (select doc_id, k, round(sum(greatest(0, ln((n_docs - df + 0.5) / (df + 0.5) + 1)) * tf * 1.9 / (tf + 0.9 * (0.5 + 0.5 * dl / avg_dl))), 6) as score from q join bf using (doc_id, term) join bp using (doc_id, term) join bd using (doc_id, k) join bs using (doc_id) group by all),
+r as (select ck.*, score, row_number() over (partition by doc_id order by score desc, k) as rank from b join ck using (doc_id, k)), s as (select * from r where rank <= 6)"""
 
 
 def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc(F.length("text")), "chunk_index", "page_number", "text"))
-    return _chunks(spark, sf_dir).withColumn("rank", rank).where("rank <= 6").withColumn("score", 1.0 / (60 + F.col("rank")))
+    key = F.concat_ws(":", F.col("chunk_index").cast("string"), F.col("page_number").cast("string"), F.md5(F.encode("text", "UTF-8")))
+    chunks = _chunks(spark, sf_dir).withColumn("k", key)
+    asked = chunks.select("doc_id").distinct().select("doc_id", F.col("doc_id").alias("query_id"), F.explode(F.array(*map(F.lit, _KEYWORDS))).alias("term"), F.lit(1).alias("mult"))
+    ranked = bm25.top(bm25.score(chunks.select("doc_id", "k", "text"), asked, id_="k", group="doc_id"), 6, id_="k")
+    return chunks.join(ranked.select("doc_id", "k", "rank", "score"), ["doc_id", "k"]).drop("k")
 
 
 _BUDGET = f"""{_RANKED}, b1 as (select *, count(*) over w as n, sum(score) over w as total from s window w as (partition by doc_id)),
-b2 as (select *, cast(least(200, floor(1000 / n)) as bigint) as floor_, greatest(cast(floor(round(score / total * 1000, 6)) as bigint), cast(least(200, floor(1000 / n)) as bigint)) as raw from b1),
+b2 as (select *, cast(least(200, floor(1000 / n)) as bigint) as floor_, greatest(cast(case when total <= 0 then floor(1000 / n) else floor(round(score / total * 1000, 6)) end as bigint), cast(least(200, floor(1000 / n)) as bigint)) as raw from b1),
 b3 as (select *, greatest(0, sum(raw) over (partition by doc_id) - 1000) as over_, coalesce(sum(raw - floor_) over (partition by doc_id order by rank desc rows between unbounded preceding and 1 preceding), 0) as later from b2),
 b4 as (select *, cast(raw - least(raw - floor_, greatest(0, over_ - later)) as bigint) as budget from b3)"""
 
@@ -272,10 +283,9 @@ def sandwich_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ranked(spark, sf_dir).select("doc_id", "rank", C.sandwich(F.col("rank"), n).cast("bigint").alias("place"))
 
 
-@query(f"with {_RANKED}, m as (select *, max(score) over (partition by doc_id) as most from s) select doc_id, rank, case when score / most > 0.985 then 'high' when score / most > 0.96 then 'medium' else 'low' end as relevance, round(least(score / 0.035, 1), 6) as shown from m", wide=("rank",))
+@query(f"with {_RANKED}, m as (select *, max(score) over (partition by doc_id) as most from s) select doc_id, rank, case when most > 0 and score / most > 0.85 then 'high' when most > 0 and score / most > 0.60 then 'medium' else 'low' end as relevance, round(least(score / 0.035, 1), 6) as shown from m", wide=("rank",))
 def relevance_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    share = F.col("score") / F.max("score").over(Window.partitionBy("doc_id"))
-    label = F.when(share > 0.985, "high").when(share > 0.96, "medium").otherwise("low")
+    label = C.relevance(F.col("score"), F.max("score").over(Window.partitionBy("doc_id")))
     return _ranked(spark, sf_dir).select("doc_id", "rank", label.alias("relevance"), F.round(F.least(F.col("score") / 0.035, F.lit(1.0)), 6).alias("shown"))
 
 
@@ -283,7 +293,7 @@ _COMPRESS = r"(x <> '' and not regexp_matches(x, '^[_\-=.]+$') and not (regexp_m
 _CONTEXT = f"""{_BUDGET.replace("1000", "5500")}, h as ({_HEADER_SQL.replace("from c)", "from b4)")}), mx as (select doc_id, max(score) as most from s group by doc_id),
 ln as (select doc_id, rank, unnest(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g')))) as x, generate_subscripts(string_split(text, chr(10)), 1) as i from b4),
 cl as (select doc_id, rank, coalesce(string_agg(x, chr(10) order by i) filter (where {_COMPRESS}), '') as body from ln group by doc_id, rank),
-lb as (select h.*, body, '--- Source ' || rank || ': ' || file_name || ' | p. ' || page_number || case when header is null then '' else ' | §' || header end || ' | relevance: ' || case when score / most > 0.85 then 'high' when score / most > 0.60 then 'medium' else 'low' end || ' ---' || chr(10) as label, count(*) over (partition by doc_id) as cnt from h join mx using (doc_id) join cl using (doc_id, rank)),
+lb as (select h.*, body, '--- Source ' || rank || ': ' || file_name || ' | p. ' || page_number || case when header is null then '' else ' | §' || header end || ' | relevance: ' || case when most > 0 and score / most > 0.85 then 'high' when most > 0 and score / most > 0.60 then 'medium' else 'low' end || ' ---' || chr(10) as label, count(*) over (partition by doc_id) as cnt from h join mx using (doc_id) join cl using (doc_id, rank)),
 pa as (select doc_id, label || case when length(body) <= greatest(0, budget - length(label)) then body else substring(body, 1, greatest(0, budget - length(label))) || '...' end as part, case when cnt < 3 or rank = 1 then rank when rank = 2 then cnt else cnt - rank + 2 end as place from lb),
 tt as (select *, sum(length(part) + case when place > 1 then 7 else 0 end) over (partition by doc_id order by place rows unbounded preceding) as total from pa)"""
 
