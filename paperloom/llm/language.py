@@ -249,7 +249,7 @@ def sentence_languages(documents: DataFrame, model: PieceModel) -> DataFrame:
 
 def foreign_paragraphs(sentences: DataFrame) -> DataFrame:
     """doc_id, para_no, lang: languages of a paragraph's sentences that the label does not name."""
-    return sentences.where((F.col("lang") != OTHER) & ~F.col("lang").eqNullSafe(F.col("label"))).select("doc_id", F.col("para_no").cast("bigint").alias("para_no"), "lang").distinct()
+    return sentences.where((F.col("lang") != OTHER) & ~F.col("lang").eqNullSafe(F.col("label"))).select("doc_id", F.col("para_no").cast("int").alias("para_no"), "lang").distinct()
 
 
 def document_languages(documents: DataFrame, sentences: DataFrame) -> DataFrame:

@@ -181,8 +181,22 @@ def test_sizes(spark):
     assert got[1] == 4 and got[2] == got[3] == 0 and got[4] > 3000
 
 
-def test_queries_run(spark):
+@pytest.mark.parametrize("name", ["p1_found", "p2_parties", "p3_pages", "p4_found", "p5_found", "p6_fill", "p7_shares_all", "p8_documents", "p8_segments"])
+def test_queries_run(spark, name):
+    """Queries run to the end over whole tables."""
     from paperloom.llm import queries
 
-    for name, f in queries.queries().items():
-        assert f(spark, "/root/testdata/sf0.001").columns, name
+    got = queries.queries()[name](spark, "/root/testdata/sf0.001")
+    assert got.count() > 0 and len(set(got.columns)) == len(got.columns)
+
+
+def test_pn_found_have_the_columns_laid_down(spark):
+    from paperloom.llm import queries
+
+    want = {
+        "p1_found": "doc_id:string page_number:int start_off:bigint end_off:bigint", "p2_found": "key_a:string key_b:string", "p3_found": "doc_id:string page_number:int line_no:int kind:string",
+        "p4_found": "vec_id_a:bigint vec_id_b:bigint", "p5_found": "doc_id:string page_number:int line_no:int", "p8_found": "doc_id:bigint para_no:int lang:string",
+    }
+    for name, columns in want.items():
+        got = queries.queries()[name](spark, "/root/testdata/sf0.001")
+        assert got.dtypes == [tuple(c.split(":")) for c in columns.split()], name
