@@ -52,7 +52,7 @@ def test_fused_top_is_that_of_whole_lists():
 
 
 @pytest.mark.skipif(not DATA.exists(), reason="no test data")
-@pytest.mark.parametrize("name", ["bm25_score_all", "hybrid_form_blend", "rrf_intro_boost_median"])
+@pytest.mark.parametrize("name", ["bm25_score_all", "hybrid_alpha_blend", "hybrid_form_blend", "rrf_intro_boost_median"])
 def test_pairs_are_handed_on_as_they_are_scored(spark, name):
     plan = entry.queries()[name](spark, str(DATA))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.lstrip().startswith("MapInArrow") and "Window" not in plan
