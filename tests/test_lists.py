@@ -59,7 +59,7 @@ def test_pairs_are_handed_on_as_they_are_scored(spark, name):
 
 
 @pytest.mark.skipif(not DATA.exists(), reason="no test data")
-@pytest.mark.parametrize("name", ["adaptive_topk", "bm25_filtered", "bm25_saved_index", "bm25_topk", "hybrid_retrieve", "jaccard_of_results", "multi_query_rrf", "route_by_cosine_floor", "rrf_form_boost", "rrf_fusion"])
+@pytest.mark.parametrize("name", ["adaptive_topk", "bm25_filtered", "bm25_saved_index", "bm25_topk", "jaccard_of_results", "hybrid_retrieve", "multi_query_rrf", "route_by_cosine_floor", "rrf_form_boost", "rrf_fusion", "rrf_short_query_k"])
 def test_ranked_queries_score_in_lists(spark, monkeypatch, name):
     """None of them makes a row for each pair, which bm25.score and vectors.similarities do."""
 
