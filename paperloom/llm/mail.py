@@ -299,15 +299,15 @@ def closings(paragraphs: DataFrame, ratio: int = 4) -> DataFrame:
 
 
 def ancestors(paragraphs: DataFrame) -> DataFrame:
-    """scope, text, anchors, doc_id, sent, quoted of the paragraphs that earlier messages of a thread hold.
+    """scope, text, anchors, doc_id, sent, quoted, once of the paragraphs that earlier messages of a thread hold.
 
     They are what its mails quote or forward, and what they newly say. A paragraph that stands in two threads
-    is a usual phrase, which proves no copy.
+    is a usual phrase, which proves no copy. One that stands `once` can be copied within a longer paragraph only.
     """
     said = paragraphs.where((F.col("part") != TAIL) & (F.col("thread") != ""))
     each = said.groupBy("text", "thread").agg(F.count("*").alias("n"))
-    once = each.groupBy("text").agg(F.count("*").alias("threads"), F.sum("n").alias("n")).where("threads = 1 and n > 1").select("text")
-    return said.join(once, "text", "left_semi").select(F.concat(F.lit("t|"), "thread").alias("scope"), "text", "anchors", "doc_id", "sent", (F.col("part") == HISTORY).alias("quoted"))
+    own = each.groupBy("text").agg(F.count("*").alias("threads"), F.sum("n").alias("n")).where("threads = 1").select("text", (F.col("n") == 1).alias("once"))
+    return said.join(own, "text").select(F.concat(F.lit("t|"), "thread").alias("scope"), "text", "anchors", "doc_id", "sent", (F.col("part") == HISTORY).alias("quoted"), "once")
 
 
 def packed(text: bytes, dictionary: bytes = b"") -> int:
@@ -369,14 +369,14 @@ def reduce_mails(pages: DataFrame) -> DataFrame:
     scopes = F.array(F.lit(""), F.concat(F.lit("s|"), "sender"), F.concat(F.lit("t|"), "thread"))
     asked = own.select(*keys, "sent", "anchors", F.explode(scopes).alias("scope")).select(*keys, "sent", "scope", F.explode("anchors").alias("anchor"))
     none = F.lit(None)
-    known = closings(paragraphs).select("scope", "text", "anchors", none.cast("string").alias("of"), none.cast("bigint").alias("at"), F.lit(False).alias("quoted"))
-    known = known.unionByName(ancestors(paragraphs).select("scope", "text", "anchors", F.col("doc_id").alias("of"), F.col("sent").alias("at"), "quoted"))
+    known = closings(paragraphs).select("scope", "text", "anchors", none.cast("string").alias("of"), none.cast("bigint").alias("at"), F.lit(False).alias("quoted"), F.lit(False).alias("once"))
+    known = known.unionByName(ancestors(paragraphs).select("scope", "text", "anchors", F.col("doc_id").alias("of"), F.col("sent").alias("at"), "quoted", "once"))
     known = checkpoint(known)
     posted = known.withColumn("anchor", F.explode("anchors")).select("scope", "anchor", "of", "at", "quoted", F.xxhash64("text").alias("e")).distinct()
     # a mail's own quotes are its ancestors, and so is what another mail of the thread held before it
     earlier = F.col("of").isNull() | (F.col("quoted") & (F.col("of") == F.col("doc_id"))) | ((F.col("of") != F.col("doc_id")) & (F.col("at") < F.col("sent")))
     met = asked.join(posted, ["scope", "anchor"]).where(earlier).select(*keys, "scope", "e").distinct()
-    entries = known.select("scope", F.xxhash64("text").alias("e"), F.col("text").alias("entry")).distinct()
+    entries = known.select("scope", F.xxhash64("text").alias("e"), F.col("text").alias("entry"), "once").distinct()
     lines = own.select("doc_id", "page_number", "para", "lines", "text", "widths")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -388,6 +388,7 @@ def reduce_mails(pages: DataFrame) -> DataFrame:
             ]
             yield pd.DataFrame(rows, columns=["doc_id", "page_number", "line_no"])
 
-    copies = lines.join(met, keys).join(entries, ["scope", "e"]).select("doc_id", "page_number", "lines", "text", "widths", "entry", "scope").mapInPandas(verify, "doc_id string, page_number int, line_no int").distinct()
+    longer = ~F.col("once") | (F.length("entry") < F.length("text"))
+    copies = lines.join(met, keys).join(entries, ["scope", "e"]).where(longer).select("doc_id", "page_number", "lines", "text", "widths", "entry", "scope").mapInPandas(verify, "doc_id string, page_number int, line_no int").distinct()
     typed = own.select("doc_id", "page_number", F.explode(F.arrays_zip("lines", "typed")).alias("x")).select("doc_id", "page_number", F.col("x.lines").alias("line_no"), F.col("x.typed").alias("text"))
     return typed.join(copies, ["doc_id", "page_number", "line_no"], "left_anti")

@@ -100,6 +100,13 @@ def test_copies_of_earlier_mails_of_the_thread_go(spark):
     assert written(spark, [first, second, third])[1] == ["Hi Anna,", "Agreed, and thanks.", said]
 
 
+def test_ancestors_that_stand_once_go_from_longer_paragraphs(spark):
+    said = "The boiler in the northern workshop was replaced before the hearing."
+    first = f"{head()}Hi Bob,\n\n{said}\n\nBest,\nAnna"
+    longer = f"{head('Bob', 'Anna', 'RE: keys', 2)}Hi Anna,\n\n{said}\nThe new invoice follows on Monday.\n\nBest,\nBob"
+    assert written(spark, [first, longer])[1] == ["Hi Anna,", "The new invoice follows on Monday."]
+
+
 def test_short_phrases_of_ancestors_stay(spark):
     assert written(spark, [f"{head()}Yes.\n\nOn 9 May 2023, Bob Doe <bob@b.c> wrote:\n> Yes."]) == [["Yes."]]
 
