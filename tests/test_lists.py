@@ -69,3 +69,39 @@ def test_ranked_queries_score_in_lists(spark, monkeypatch, name):
     for module, f in ((bm25, "score"), (lists.V, "similarities")):
         monkeypatch.setattr(module, f, none)
     assert entry.queries()[name](spark, str(DATA)).count() > 0
+
+
+DATA_10 = Path("/root/testdata/sf0.01")
+
+
+@pytest.mark.skipif(not DATA_10.exists(), reason="no test data")
+@pytest.mark.parametrize("name", ["bm25_score_all"])
+def test_all_scores_stand_document_by_document(spark, name):
+    """Within a task the queries of a document stand together, so that its id is stored once for all of them."""
+    got = entry.queries()[name](spark, str(DATA_10)).select(F.spark_partition_id().alias("p"), "query_id", "doc_id").collect()
+    parts: dict[int, list] = {}
+    for r in got:
+        parts.setdefault(r["p"], []).append((r["doc_id"], r["query_id"]))
+    assert max(len({q for _, q in rows}) for rows in parts.values()) > 1
+    assert len({(r["query_id"], r["doc_id"]) for r in got}) == len(got) == 20_000
+    for rows in parts.values():
+        assert [d for d, _ in rows] == sorted(d for d, _ in rows)
+
+
+def test_sums_over_often_and_seldom_terms(spark, monkeypatch):
+    """Terms of many documents are added as whole lists, the others by place; neither changes a score."""
+    docs = corpus(spark)
+    queries = spark.createDataFrame([(q, f"w{t}", 1 + (q + t) % 2) for q in range(6) for t in range(1 + q, 60, 1 + q)], "query_id bigint, term string, mult int")
+    own = lists.Corpus(lists.build(docs))
+    asked = queries.groupBy("query_id").agg(F.collect_list(F.xxhash64("term")).alias("h"), F.collect_list("mult").alias("m")).orderBy("query_id").collect()
+    terms = []
+    for r in asked:
+        h, m = np.array(r["h"]), np.array(r["m"], float)
+        terms.append(("", np.sort(h), m[np.argsort(h)]))
+    want = {(r["query_id"], r["doc_id"]): r["score"] for r in bm25.score(docs, queries).collect()}
+    for often in (0.0, 0.15, 2.0):
+        monkeypatch.setattr(lists, "OFTEN", often)
+        got = own.lexical(terms, 0.9, 0.5)
+        assert got.shape == (6, 214)
+        for q, row in enumerate(got):
+            assert row == pytest.approx([want.get((q, d), 0.0) for d in own.ids.tolist()], abs=2e-6)
